@@ -1,0 +1,142 @@
+import glob
+import os
+
+import pytest
+from pyspark.sql import functions as F
+from rows import RAW_SCHEMA, raw_frame
+
+from tidemark.config import SILVER_SCHEMA
+from tidemark.operators.rows import ContractError
+from tidemark.operators.stages import bronze_to_silver
+from tidemark.sources.runs import log_run, scan_runs
+from tidemark.sources.tables import current_location, inspect_schema, scan_csv, scan_table, write_overwrite
+
+CSV = """customerID,SeniorCitizen,tenure,PhoneService,InternetService,Contract,MonthlyCharges,TotalCharges,Churn,extra
+A,0,1,Yes,DSL,Month-to-month,29.85,29.85,No,x
+B,1,0,No,No,Two year,50.5, ,Yes,x
+C,0,30,Yes,Fiber optic,One year,70.0,2100,YES,x
+C,0,30,Yes,Fiber optic,One year,70.0,2100,YES,x
+D,0,,Yes,,One year,,12.5,,x
+,0,3,Yes,DSL,One year,20.0,60,No,x
+"""
+
+
+@pytest.fixture
+def csv_path(tmp_path):
+    path = tmp_path / "raw.csv"
+    path.write_text(CSV)
+    return str(path)
+
+
+def silver_rows(df):
+    return sorted(map(tuple, bronze_to_silver(df).collect()))
+
+
+def test_csv_as_text_inferred_and_declared_give_the_same_silver(spark, csv_path):
+    expected = silver_rows(raw_frame(spark))
+    text = scan_csv(spark, csv_path)
+    assert {f.dataType.simpleString() for f in text.schema.fields} == {"string"}
+    assert silver_rows(text) == expected
+    assert silver_rows(scan_csv(spark, csv_path, infer=True)) == expected
+    assert silver_rows(scan_csv(spark, csv_path, schema=raw_frame(spark).schema)) == expected
+
+
+def test_csv_without_blank_totals_infers_a_number(spark, tmp_path):
+    path = tmp_path / "raw.csv"
+    path.write_text("\n".join(line for line in CSV.splitlines() if not line.startswith("B")))
+    inferred = scan_csv(spark, str(path), infer=True)
+    assert dict(inferred.dtypes)["TotalCharges"] == "double"
+    assert [r[0] for r in silver_rows(inferred)] == ["A", "C"]
+
+
+def test_csv_header_is_checked(spark, csv_path):
+    wrong = spark.createDataFrame([], RAW_SCHEMA.replace("Churn", "Churned")).schema
+    with pytest.raises(Exception, match="(?i)header"):
+        scan_csv(spark, csv_path, schema=wrong).collect()
+
+
+def test_overwrite_replaces(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write_overwrite(spark.range(5), path)
+    first = scan_table(spark, path)
+    write_overwrite(spark.range(3), path)
+    assert scan_table(spark, path).count() == 3
+    # A reader that started on the old version can finish on it.
+    assert first.count() == 5
+
+
+def test_overwrite_from_the_table_itself(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write_overwrite(spark.range(5), path)
+    write_overwrite(scan_table(spark, path).where("id > 1"), path)
+    assert sorted(r.id for r in scan_table(spark, path).collect()) == [2, 3, 4]
+
+
+def test_failed_write_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write_overwrite(spark.range(5), path)
+    before = current_location(spark, path)
+    broken = spark.range(3).select(F.raise_error(F.lit("broken")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        write_overwrite(broken, path)
+    assert current_location(spark, path) == before
+    assert scan_table(spark, path).count() == 5
+
+
+def test_versioned_table_cannot_be_misread_by_its_path(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write_overwrite(spark.range(5), path)
+    write_overwrite(spark.range(5), path)
+    with pytest.raises(Exception, match="(?i)schema"):
+        spark.read.parquet(path)
+
+
+def test_plain_folders_are_read_as_they_are(spark, tmp_path):
+    path = str(tmp_path / "plain")
+    spark.range(4).write.parquet(path)
+    assert current_location(spark, path) is None
+    assert scan_table(spark, path).count() == 4
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "orc", "json"])
+def test_formats(spark, tmp_path, fmt):
+    path = str(tmp_path / fmt)
+    write_overwrite(spark.range(4), path, fmt)
+    assert scan_table(spark, path, fmt).count() == 4
+
+
+def test_contract(spark, tmp_path):
+    path = str(tmp_path / "silver")
+    silver = bronze_to_silver(raw_frame(spark))
+    write_overwrite(silver, path)
+    assert scan_table(spark, path, contract=SILVER_SCHEMA).count() == 3
+    write_overwrite(silver.drop("churn"), path)
+    with pytest.raises(ContractError, match="churn"):
+        scan_table(spark, path, contract=SILVER_SCHEMA)
+
+
+def test_scan_reads_needed_columns_and_rows_only(spark, tmp_path):
+    path = str(tmp_path / "silver")
+    write_overwrite(bronze_to_silver(raw_frame(spark)), path)
+    df = scan_table(spark, path).where(F.col("tenure") > 24).select("customer_id")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<customer_id:string,tenure:int>" in plan
+    assert "GreaterThan(tenure,24)" in plan
+
+
+def test_inspect(spark):
+    rows = inspect_schema(spark.range(7).selectExpr("id", "'a' AS s")).collect()
+    assert [tuple(r) for r in rows] == [(1, "id", "bigint", 7), (2, "s", "string", 7)]
+
+
+def test_run_records_are_appended(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    log_run(spark, path, "a", {"max_depth": "4"}, {"auc_roc": 0.75}, "models/1")
+    log_run(spark, path, "b", {}, {})
+    rows = {r.run_name: r for r in scan_runs(spark, path).collect()}
+    assert rows["a"].params == {"max_depth": "4"}
+    assert rows["a"].metrics == {"auc_roc": 0.75}
+    assert rows["a"].model_path == "models/1"
+    assert (rows["b"].params, rows["b"].metrics, rows["b"].model_path) == ({}, {}, None)
+    assert all(r.started_at is not None for r in rows.values())
+    assert len(glob.glob(os.path.join(path, "*.parquet"))) == 2

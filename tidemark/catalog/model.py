@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,15 +26,15 @@ def stored_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_table(spark, path)
 
 
-@functools.cache
-def _trained(application_id: str, sf_dir: str) -> Trained:
-    spark = SparkSession.getActiveSession()
-    return train_and_evaluate(stored_gold(spark, sf_dir))
+_FITTED: dict[tuple[str, str], Trained] = {}
 
 
 def trained(spark: SparkSession, sf_dir: str) -> Trained:
     """The model fitted on the whole table; queries of one session that score it share the fit."""
-    return _trained(spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITTED:
+        _FITTED[key] = train_and_evaluate(stored_gold(spark, sf_dir))
+    return _FITTED[key]
 
 
 @query(

@@ -357,7 +357,7 @@ def label_encode_shuffled_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The path for a code table too large to broadcast, with one label on a third of all rows."""
     label = F.when(F.col("l_returnflag") == "A", F.lit("A")).otherwise(F.col("l_partkey").cast("string"))
     labelled = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", label.alias("label"))
-    return label_encode(labelled, "label", "code", broadcast_bytes=0)
+    return label_encode(labelled, "label", "code", broadcast_bytes=0, hot_share=0.01)
 
 
 @query(

@@ -116,6 +116,29 @@ EVENT_RANGES = {
     "late_payments": (0, 5),
 }
 
+# Category values and thresholds behind the gold flags.
+PHONE_YES = "Yes"
+INTERNET_NO = "No"
+MONTHLY_CONTRACT = "Month-to-month"
+LONG_CONTRACT = "Two year"
+HIGH_CHARGE = 65
+LONG_TENURE = 24
+
+# Rows a feature table must have to be published.
+MIN_ROWS = 5000
+
+# Boosted trees, the split they are evaluated on, and the name of the run.
+ROUNDS = 100
+LEARNING_RATE = 0.1
+DEPTH = 4
+SEED = 42
+TEST_SIZE = 0.2
+RUN_NAME = "gradient-boosting-v1"
+
+# Consumer timeouts in milliseconds.
+REQUEST_TIMEOUT_MS = 60000
+SESSION_TIMEOUT_MS = 30000
+
 EVENT_ID_PATTERN = r"^CUST-([0-9]{5}|[1-9][0-9]{5,})$"
 ISO_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"
 
@@ -126,23 +149,23 @@ ISO_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{
 class FeatureRules:
     """Values and thresholds behind the gold flags."""
 
-    phone_yes: str = "Yes"
-    internet_no: str = "No"
-    monthly_contract: str = "Month-to-month"
-    long_contract: str = "Two year"
-    high_charge: float = 65
-    long_tenure: int = 24
+    phone_yes: str = PHONE_YES
+    internet_no: str = INTERNET_NO
+    monthly_contract: str = MONTHLY_CONTRACT
+    long_contract: str = LONG_CONTRACT
+    high_charge: float = HIGH_CHARGE
+    long_tenure: int = LONG_TENURE
 
 
 @dataclass(frozen=True)
 class ModelParams:
     """Boosted-tree settings and the split they are evaluated on."""
 
-    rounds: int = 100
-    learning_rate: float = 0.1
-    depth: int = 4
-    seed: int = 42
-    test_size: float = 0.2
+    rounds: int = ROUNDS
+    learning_rate: float = LEARNING_RATE
+    depth: int = DEPTH
+    seed: int = SEED
+    test_size: float = TEST_SIZE
 
     def logged(self) -> dict[str, str]:
         """The settings a run record keeps."""
@@ -163,8 +186,8 @@ class JobConfig:
     model_path: str
     runs_path: str
     table_format: str = "parquet"
-    min_rows: int = 5000
-    run_name: str = "gradient-boosting-v1"
+    min_rows: int = MIN_ROWS
+    run_name: str = RUN_NAME
     infer_schema: bool = False
     prefer_complete: bool = False
     rules: FeatureRules = field(default_factory=FeatureRules)
@@ -177,7 +200,7 @@ class JobConfig:
             raw_path=raw_path,
             silver_path=f"{base}/silver/customers",
             gold_path=f"{base}/gold/features",
-            model_path=f"{base}/models/churn-model",
+            model_path=f"{base}/models/churn",
             runs_path=f"{base}/models/runs",
             **settings,
         )

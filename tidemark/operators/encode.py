@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.operators.sizing import BROADCAST_BYTES, broadcast_if_small, part_offsets, sorted_positions
 
 # A label with at least this share of all rows is joined by broadcast; there can be no more
-# than 1 / HOT_SHARE of them.
-HOT_SHARE = 0.001
+# than 1 / HOT_SHARE of them, and a label below it is small enough for one shuffle task.
+HOT_SHARE = 1e-5
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
@@ -24,7 +24,12 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
 
 
 def label_encode(
-    df: DataFrame, column: str, out: str, nulls: str = "keep", broadcast_bytes: int = BROADCAST_BYTES
+    df: DataFrame,
+    column: str,
+    out: str,
+    nulls: str = "keep",
+    broadcast_bytes: int = BROADCAST_BYTES,
+    hot_share: float = HOT_SHARE,
 ) -> DataFrame:
     """Add ``out``, the place of the row's label among all labels in sort order.
 
@@ -50,8 +55,12 @@ def label_encode(
         joined = source.join(small, source[column] == small["label"], "left")
         return joined.select(*columns, F.when(source[column].isNull(), null_code).otherwise(small["code"]).alias(out))
 
-    is_hot = F.col("rows") >= F.lit(size["n"] * HOT_SHARE)
-    hot = F.broadcast(codes.where(is_hot).select("label", "code"))
+    hot = None
+    while hot is None:
+        is_hot = F.col("rows") >= F.lit(size["n"] * hot_share)
+        hot = broadcast_if_small(codes.where(is_hot).select("label", "code"))
+        # Long labels may not fit; ask for a larger share, which fewer of them have.
+        hot_share *= 10
     cold = codes.where(~is_hot).select(F.col("label").alias("_label"), F.col("code").alias("_code"))
     tagged = source.join(hot, source[column] == hot["label"], "left").select(*columns, F.col("code").alias("_hot"))
     is_null = F.col(column).isNull()

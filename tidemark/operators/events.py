@@ -76,12 +76,18 @@ def parse_events(
 
     Text that is no JSON object gives a row of nulls, a field of the wrong type a null, and
     unknown fields are dropped. ``keep_corrupt`` adds the text of such a message in
-    ``_corrupt_record``, null for a message that parsed whole.
+    ``_corrupt_record``, null for a message that parsed whole. An empty body has the empty
+    text.
     """
-    target = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]) if keep_corrupt else schema
+    text = F.col(value).cast("string")
+    if not keep_corrupt:
+        return messages.select(F.from_json(text, schema, {"mode": "PERMISSIVE"}).alias("data")).select("data.*")
+    target = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    parsed = F.from_json(F.col(value).cast("string"), target, options)
-    return messages.select(parsed.alias("data")).select("data.*")
+    parsed = messages.select(text.alias("_text"), F.from_json(text, target, options).alias("data"))
+    # A blank or missing body yields no struct at all, so there is no field to hold its text.
+    corrupt = F.when(F.col("data").isNull(), F.coalesce("_text", F.lit(""))).otherwise(F.col(f"data.{CORRUPT}"))
+    return parsed.select(*[F.col(f"data.{name}") for name in schema.names], corrupt.alias(CORRUPT))
 
 
 def event_rules() -> dict[str, Column]:

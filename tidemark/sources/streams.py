@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.config import REQUEST_TIMEOUT_MS, SESSION_TIMEOUT_MS
+
 
 @dataclass(frozen=True)
 class StreamSource:
@@ -17,9 +19,16 @@ class StreamSource:
     options: Mapping[str, str] = field(default_factory=dict)
 
 
-def text_source(path: str, files_per_batch: int | None = None) -> StreamSource:
-    """New text files in a folder, one message per line."""
-    options = {} if files_per_batch is None else {"maxFilesPerTrigger": str(files_per_batch)}
+def text_source(path: str, files_per_batch: int | None = None, bytes_per_batch: int | None = None) -> StreamSource:
+    """New text files in a folder, one message per line.
+
+    Either limit splits a large backlog into batches, so a failure repeats one of them only.
+    """
+    options = {}
+    if files_per_batch is not None:
+        options["maxFilesPerTrigger"] = str(files_per_batch)
+    if bytes_per_batch is not None:
+        options["maxBytesPerTrigger"] = str(bytes_per_batch)
     return StreamSource("text", path, options)
 
 
@@ -44,8 +53,8 @@ def kafka_source(
         "kafka.sasl.jaas.config": jaas_config,
         "subscribe": topic,
         "startingOffsets": "earliest",
-        "kafka.request.timeout.ms": "60000",
-        "kafka.session.timeout.ms": "30000",
+        "kafka.request.timeout.ms": str(REQUEST_TIMEOUT_MS),
+        "kafka.session.timeout.ms": str(SESSION_TIMEOUT_MS),
     }
     if min_partitions is not None:
         options["minPartitions"] = str(min_partitions)
