@@ -123,6 +123,7 @@ def test_timeout_stops_the_query(spark):
 def test_topic_options():
     source = kafka_source("host:9093", "events", "login", min_partitions=64, max_offsets_per_trigger=10)
     assert source.fmt == "kafka" and source.path is None
+    assert "login" not in repr(source)
     assert source.options == {
         "kafka.bootstrap.servers": "host:9093",
         "kafka.security.protocol": "SASL_SSL",

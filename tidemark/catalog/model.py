@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog import query
-from tidemark.catalog.inputs import GOLD_SQL, raw_customers, table
+from tidemark.catalog.inputs import GOLD_SQL, SILVER_SQL, raw_customers, table
 from tidemark.catalog.tables import staged_batch
 from tidemark.config import FEATURES, LABEL
 from tidemark.operators.metrics import auc_roc, classification_report, confusion
@@ -55,24 +55,33 @@ def select_features_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.select("customer_id", LABEL, *[F.col("_v")[i].alias(name) for i, name in enumerate(FEATURES)])
 
 
-_SPLIT_SQL = """
-WITH source AS (SELECT event_id, CAST(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS INTEGER) AS label
-                FROM events),
+def split_sql(source: str, key: str, label: str) -> str:
+    """The exact split as SQL: rank all rows of a class, and take the class's quota."""
+    return f"""
+WITH source AS ({source}),
      sizes AS (SELECT count(*) AS n, count(*) - CAST(ceil(0.2::DOUBLE * count(*)) AS BIGINT) AS train FROM source),
-     classes AS (SELECT label, count(*) AS class_rows FROM source GROUP BY label),
-     shares AS (SELECT label, train, train * class_rows // n AS base, (train * class_rows) % n AS remainder
+     classes AS (SELECT {label}, count(*) AS class_rows FROM source GROUP BY {label}),
+     shares AS (SELECT {label}, train, train * class_rows // n AS base, (train * class_rows) % n AS remainder
                 FROM classes, sizes),
-     quotas AS (SELECT label, base + CASE WHEN row_number() OVER (ORDER BY remainder DESC, label)
-                                               <= train - sum(base) OVER () THEN 1 ELSE 0 END AS quota
+     quotas AS (SELECT {label}, base + CASE WHEN row_number() OVER (ORDER BY remainder DESC, {label})
+                                                 <= train - sum(base) OVER () THEN 1 ELSE 0 END AS quota
                 FROM shares),
-     ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(event_id AS VARCHAR)))
+     ranked AS (SELECT *, row_number() OVER (PARTITION BY {label} ORDER BY md5('42:' || CAST({key} AS VARCHAR)))
                           AS place
                 FROM source)
-SELECT event_id, label, CASE WHEN place <= quota THEN 'train' ELSE 'test' END AS split
-FROM ranked JOIN quotas USING (label)
+SELECT {key}, {label}, CASE WHEN place <= quota THEN 'train' ELSE 'test' END AS split
+FROM ranked JOIN quotas USING ({label})
 """
 
 
+_SPLIT_SQL = split_sql(
+    """SELECT event_id, CAST(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS INTEGER) AS label FROM events""",
+    "event_id",
+    "label",
+)
+_GOLD_SPLIT_SQL = split_sql(GOLD_SQL, "customer_id", LABEL)
+
+
 def labelled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_purchase = (F.col("event_type") == "purchase").cast("int")
     return table(spark, sf_dir, "events").select("event_id", "value", is_purchase.alias("label"))
@@ -152,8 +161,27 @@ def classification_report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classification_report(thresholded_events(spark, sf_dir), "label", "prediction")
 
 
-@query("train_gbt")
+@query(
+    "train_gbt",
+    f"""SELECT CAST(100 AS INTEGER) AS trees, CAST(13 AS INTEGER) AS features, true AS depth_kept,
+               count(*) FILTER (WHERE split = 'test') AS held_out, true AS better_than_chance
+        FROM ({_GOLD_SPLIT_SQL}) AS parts""",
+)
 def train_gbt_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shape of the fitted model, and the rows it was not fitted on."""
+    fitted = trained(spark, sf_dir)
+    trees = fitted.model.stages[-1]
+    return fitted.scored.agg(
+        F.lit(trees.getNumTrees).alias("trees"),
+        F.lit(trees.numFeatures).alias("features"),
+        F.lit(max(tree.depth for tree in trees.trees) <= 4).alias("depth_kept"),
+        F.count(F.lit(1)).alias("held_out"),
+        F.lit(fitted.auc > 0.5).alias("better_than_chance"),
+    )
+
+
+@query("feature_weights")
+def feature_weights_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weight of each feature in the fitted trees."""
     weights = trained(spark, sf_dir).model.stages[-1].featureImportances.toArray()
     rows = [(i, name, float(weights[i])) for i, name in enumerate(FEATURES)]
@@ -170,25 +198,64 @@ def predict_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trained(spark, sf_dir).scored.select("customer_id", LABEL, "prediction")
 
 
+@query(
+    "scored_rows",
+    f"""SELECT customer_id, churn, true AS is_probability, true AS agrees
+        FROM ({_GOLD_SPLIT_SQL}) AS parts WHERE split = 'test'""",
+)
+def scored_rows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exactly the held-out rows are scored, and label and probability agree."""
+    probability, prediction = F.col("churn_probability"), F.col("prediction")
+    return trained(spark, sf_dir).scored.select(
+        "customer_id",
+        LABEL,
+        probability.between(0, 1).alias("is_probability"),
+        (prediction == (probability > 0.5).cast("int")).alias("agrees"),
+    )
+
+
 @query("model_report")
 def model_report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = trained(spark, sf_dir)
     return fitted.report.withColumn("auc_roc", F.lit(fitted.auc))
 
 
-@query("save_model")
+@query("save_model", f"SELECT customer_id, true AS same_probability, true AS same_class FROM ({GOLD_SQL}) AS gold")
 def save_model_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions of the stored model on all of gold."""
-    path = save_model(trained(spark, sf_dir).model, scratch_path(spark, "model"))
-    gold = stored_gold(spark, sf_dir)
-    return predict(load_model(path), gold).select("customer_id", "churn_probability", "prediction")
+    """The stored model predicts for all of gold what the fitted one does."""
+    model = trained(spark, sf_dir).model
+    loaded = load_model(save_model(model, scratch_path(spark, "model")))
+    first = predict(model, stored_gold(spark, sf_dir))
+    names = {"churn_probability": "first_probability", "prediction": "first_class"}
+    both = predict(loaded, first.withColumnsRenamed(names))
+    return both.select(
+        "customer_id",
+        (F.col("churn_probability") == F.col("first_probability")).alias("same_probability"),
+        (F.col("prediction") == F.col("first_class")).alias("same_class"),
+    )
 
 
-@query("run_batch")
+@query(
+    "run_batch",
+    f"""SELECT 'gradient-boosting-v1' AS run_name, '100' AS n_estimators, '0.1' AS learning_rate, '4' AS max_depth,
+               (SELECT count(*) FROM ({SILVER_SQL}) AS silver) AS silver_rows, count(*) AS gold_rows,
+               CAST(6 AS INTEGER) AS checks_passed,
+               (SELECT count(*) FROM ({_GOLD_SPLIT_SQL}) AS parts WHERE split = 'test') AS test_rows,
+               true AS better_than_chance
+        FROM ({GOLD_SQL}) AS gold""",
+)
 def run_batch_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole batch run; returns its run record."""
+    """The whole batch run from raw files to run record."""
     config = staged_batch(spark, sf_dir)
-    run_batch(spark, config)
-    return scan_runs(spark, config.runs_path).select(
-        "run_name", F.col("params")["max_depth"].alias("max_depth"), F.col("metrics")["auc_roc"].alias("auc_roc")
+    result = run_batch(spark, config)
+    run = scan_runs(spark, config.runs_path)
+    params = F.col("params")
+    return run.select(
+        "run_name",
+        *[params[name].alias(name) for name in ("n_estimators", "learning_rate", "max_depth")],
+        F.lit(scan_table(spark, config.silver_path).count()).cast("bigint").alias("silver_rows"),
+        F.lit(scan_table(spark, config.gold_path).count()).cast("bigint").alias("gold_rows"),
+        F.lit(sum(line["passed"] for line in result.quality)).alias("checks_passed"),
+        F.lit(result.trained.scored.count()).cast("bigint").alias("test_rows"),
+        (F.col("metrics")["auc_roc"] > 0.5).alias("better_than_chance"),
     )

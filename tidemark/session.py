@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+_MB = 1024 * 1024
+
 
 def local_session(cores: str = "*", app: str = "tidemark", **conf: str) -> SparkSession:
     """A local session for tests and measurements; a cluster brings its own session."""
@@ -26,6 +28,25 @@ def local_session(cores: str = "*", app: str = "tidemark", **conf: str) -> Spark
     return builder.getOrCreate()
 
 
+def scale_conf(input_bytes: int, cores: int) -> dict[str, str]:
+    """Settings for a run over that much input on that many cores.
+
+    Splits grow with the input so that map and reduce tasks stay in the tens of thousands:
+    their product is the number of shuffle blocks. Reduce tasks start at twice the cores or
+    one per split, whichever is more, and adaptive execution merges those that turn out
+    small. Up to 30,000 of them keep one at a few GB for 100 TB, which sorts with spilling.
+    """
+    split = min(max(input_bytes // 30_000, 128 * _MB), 2048 * _MB)
+    reducers = min(max(2 * cores, -(-input_bytes // split)), 30_000)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(split),
+        "spark.sql.shuffle.partitions": str(reducers),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * _MB),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+    }
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, named by the session's own setting.
 

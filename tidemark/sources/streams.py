@@ -16,7 +16,8 @@ class StreamSource:
 
     fmt: str
     path: str | None = None
-    options: Mapping[str, str] = field(default_factory=dict)
+    # Not shown: the options of a topic hold its login.
+    options: Mapping[str, str] = field(default_factory=dict, repr=False)
 
 
 def text_source(path: str, files_per_batch: int | None = None, bytes_per_batch: int | None = None) -> StreamSource:
