@@ -16,6 +16,28 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables a
 ROWS_ONLY = {"feature_weights", "predict_proba", "predict", "model_report"}
 
 
+# One query per operator of the survey's inventory.
+INVENTORY = """
+scan_csv scan_table scan_stream inspect_schema
+write_overwrite write_stream_append encode_events save_model log_run
+project derive rename flatten_struct cast_types select_features
+drop_null_rows filter_null filter_not_in compare case_when
+dedup_key row_count distinct_count null_counts
+clean_blank_numeric clean_yes_no bronze_to_silver
+feat_equals feat_not_equals feat_guarded_ratio feat_threshold silver_to_gold
+dq_not_null dq_unique dq_in_set dq_min_rows dq_report dq_event_contract
+fn_trim fn_lower fn_divide fn_from_json parse_events fn_current_timestamp fn_coalesce_zero fn_format_id fn_round
+fn_iso_timestamp generate_events
+label_encode stratified_split train_gbt predict_proba predict auc_roc confusion classification_report
+stream_available_now stream_append stream_checkpoint stream_bronze
+run_batch run_stream
+""".split()
+
+
+def test_inventory_is_covered():
+    assert set(INVENTORY) <= set(entry.queries())
+
+
 @pytest.fixture(scope="module")
 def con():
     return connect(SF_DIR)

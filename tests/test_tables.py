@@ -55,6 +55,14 @@ def test_csv_header_is_checked(spark, csv_path):
         scan_csv(spark, csv_path, schema=wrong).collect()
 
 
+@pytest.mark.parametrize("infer", [False, True])
+def test_a_file_with_reordered_columns_is_rejected(spark, tmp_path, infer):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "b.csv").write_text("b,a\n1,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        scan_csv(spark, str(tmp_path), infer=infer).collect()
+
+
 def test_overwrite_replaces(spark, tmp_path):
     path = str(tmp_path / "t")
     write_overwrite(spark.range(5), path)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import CATEGORIES, FEATURES, LABEL, ModelParams
 from tidemark.operators.metrics import auc_roc, classification_report
-from tidemark.operators.sizing import materialize
+from tidemark.operators.sizing import store
 from tidemark.operators.split import stratified_split
 from tidemark.session import enable_checkpoints
 
@@ -116,7 +116,7 @@ def train_and_evaluate(gold: DataFrame, params: ModelParams | None = None, key:
     test = parts.where(F.col("split") == "test").drop("split")
     model = train_gbt(gold, train, params, key)
     # Scored once: the metrics and the caller read the stored scores.
-    scored = materialize(predict(model, test).select(key, LABEL, "churn_probability", "prediction"))
+    scored = store(predict(model, test).select(key, LABEL, "churn_probability", "prediction"))
     return Trained(
         model=model,
         scored=scored,

@@ -23,16 +23,17 @@ _PUBLISHED_SCHEMA = "version string, published_at timestamp"
 def scan_csv(
     spark: SparkSession, path: str, schema: T.StructType | None = None, infer: bool = False, **options
 ) -> DataFrame:
-    """A CSV file or folder with a header line.
+    """A CSV file or folder with header lines.
 
-    With ``schema`` the columns are typed and their names checked against the header. With
-    neither argument every column is text, which reads one line of one file up front;
-    ``infer`` adds a pass over all data to guess the types.
+    Without ``schema`` every column is text under its name in the header, which reads one
+    line of one file up front; ``infer`` adds a pass over all data to guess the types. In
+    each case every file's header is checked against the column names, so a file with
+    other or reordered columns stops the job instead of filling the wrong ones.
     """
     reader = spark.read.option("header", True).options(**options)
-    if schema is not None:
-        return reader.schema(schema).option("enforceSchema", False).csv(path)
-    return reader.option("inferSchema", infer).csv(path)
+    if schema is None:
+        schema = reader.option("inferSchema", infer).csv(path).schema
+    return reader.option("inferSchema", False).schema(schema).option("enforceSchema", False).csv(path)
 
 
 def write_overwrite(df: DataFrame, path: str, fmt: str = "parquet") -> str:
