@@ -35,7 +35,8 @@ def test_blank_numeric_on_a_column_that_is_already_a_number(spark):
 @pytest.mark.parametrize("on", [True, False])
 def test_whole_numbers(spark, ansi, on):
     ansi(on)
-    assert values(spark, ["3", "3.7", "-2.9", "x", "", "99999999999", None], to_int) == [3, 3, -2, None, None, None, None]
+    texts = ["3", "3.7", "-2.9", "x", "", "99999999999", None]
+    assert values(spark, texts, to_int) == [3, 3, -2, None, None, None, None]
 
 
 def test_yes_in_any_case_untrimmed(spark):

@@ -27,7 +27,9 @@ def test_sorted_codes(spark):
     assert {r.id: r.code for r in rows} == {0: 2, 1: 0, 2: 1, 3: 1}
 
 
-@pytest.mark.parametrize("settings", [{}, {"broadcast_bytes": 0, "hot_share": 0.01}, {"broadcast_bytes": 0, "hot_share": 2.0}])
+@pytest.mark.parametrize(
+    "settings", [{}, {"broadcast_bytes": 0, "hot_share": 0.01}, {"broadcast_bytes": 0, "hot_share": 2.0}]
+)
 def test_matches_brute_force_with_a_hot_label(spark, settings):
     labels = [None if i % 50 == 7 else x for i, x in enumerate(skewed())]
     rows = label_encode(labelled(spark, labels), "label", "code", **settings).collect()

@@ -30,7 +30,9 @@ def test_types(spark):
     assert generate_events(spark.range(1), "id").schema.simpleString() == EVENT_SCHEMA.simpleString()
 
 
-@pytest.mark.parametrize("n, text", [(42, "CUST-00042"), (0, "CUST-00000"), (99999, "CUST-99999"), (123456, "CUST-123456")])
+@pytest.mark.parametrize(
+    "n, text", [(42, "CUST-00042"), (0, "CUST-00000"), (99999, "CUST-99999"), (123456, "CUST-123456")]
+)
 def test_id_format(spark, n, text):
     assert generate_events(spark.range(n, n + 1), "id").first().customer_id == text
 

@@ -50,7 +50,8 @@ def test_long_tenure_is_strict(spark, tenure, flag):
 
 
 @pytest.mark.parametrize(
-    "tenure, total, expected", [(10, 500.0, 50.0), (0, 500.0, 42.0), (None, 500.0, 42.0), (-1, 500.0, 42.0), (10, None, None)]
+    "tenure, total, expected",
+    [(10, 500.0, 50.0), (0, 500.0, 42.0), (None, 500.0, 42.0), (-1, 500.0, 42.0), (10, None, None)],
 )
 def test_charge_per_month(spark, tenure, total, expected):
     row = gold(spark, tenure=tenure, total_charges=total, monthly_charges=42.0)

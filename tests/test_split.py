@@ -60,6 +60,16 @@ def test_text_ids_and_labels(spark):
     assert train == brute_force(rows, 0.2, 42)
 
 
+def test_a_repeated_id_stays_together(spark):
+    """A third of all rows under one id: no error, and all of them in one part."""
+    rows = [(7 if i % 3 == 0 else i, i % 2) for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, label int")
+    train, test = split_ids(df, rank_rows=1)
+    by_class = stratified_split(df, "id", "label", rank_rows=1).where("id = 7")
+    assert by_class.select("label", "split").distinct().count() == 2
+    assert train | test == {i for i, _ in rows}
+
+
 def test_columns_are_kept(spark):
     df = spark.createDataFrame([(i, i % 2, "x") for i in range(20)], "id int, label int, more string")
     assert stratified_split(df, "id", "label").columns == ["id", "label", "more", "split"]

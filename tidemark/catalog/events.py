@@ -115,7 +115,8 @@ def event_key_set_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = mixed_events(spark, sf_dir, "event_type")
     short = F.to_json(F.struct(*EVENT_SCHEMA.names[1:]), {"ignoreNullFields": "false"})
     whole = F.to_json(F.struct(*EVENT_SCHEMA.names), {"ignoreNullFields": "false"})
-    messages = events.select("event_type", F.when(F.col("event_type") == "error", short).otherwise(whole).alias("value"))
+    body = F.when(F.col("event_type") == "error", short).otherwise(whole)
+    messages = events.select("event_type", body.alias("value"))
     return messages.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(key_set_matches()).alias("exact")
     )

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 RAW_EXPRESSIONS = {
     "customerID": "CASE WHEN l_discount = 0.1 AND l_tax = 0.0 THEN NULL ELSE CAST(l_orderkey AS STRING) END",
     "SeniorCitizen": "CASE WHEN l_linenumber = 7 THEN '1' WHEN l_tax = 0.08 THEN NULL ELSE '0' END",
-    "tenure": "CASE WHEN l_tax = 0.05 AND l_discount = 0.02 THEN NULL ELSE CAST(CAST(l_quantity AS INT) - 1 AS STRING) END",
+    "tenure": (
+        "CASE WHEN l_tax = 0.05 AND l_discount = 0.02 THEN NULL ELSE CAST(CAST(l_quantity AS INT) - 1 AS STRING) END"
+    ),
     "PhoneService": "CASE WHEN l_linestatus = 'O' THEN 'Yes' WHEN l_tax = 0.02 THEN 'yes' ELSE 'No' END",
     "InternetService": (
         "CASE WHEN l_tax = 0.07 AND l_discount = 0.03 THEN NULL WHEN l_returnflag = 'N' THEN 'No' "

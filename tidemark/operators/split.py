@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.sizing import materialize
 
-# A boundary bucket with at most this many rows is ranked directly; a larger one is cut finer.
+# The keys of a boundary prefix with at most this many rows are counted one by one; a larger
+# prefix is first cut finer.
 RANK_ROWS = 1_000_000
 MAX_CLASSES = 10_000
 
@@ -52,17 +53,16 @@ def stratified_split(
     """Add ``out``: "train" or "test", with exact class ratios and the same rows every run.
 
     Within each class the rows with the smallest keys are the training part. The boundary
-    key of each class is found by counting rows per key prefix, so only counts and the few
-    rows of the boundary buckets are shuffled; the rows themselves get their part from a
-    comparison in a narrow pass. ``id_column`` must be unique and not null.
+    key of each class is found by counting rows per key prefix, so only counts are
+    shuffled; the rows themselves get their part from a comparison in a narrow pass.
+    ``id_column`` must be unique and not null: rows with the same id go to the same part.
     """
     label = F.col(label_column)
-    keys = df.select(label.alias("_class"), split_key(id_column, seed).alias("_key"))
+    open_keys = df.select(label.alias("_class"), split_key(id_column, seed).alias("_key"))
+    counts = _prefix_counts(open_keys, _STEP)
 
-    counts = _prefix_counts(keys, _STEP)
-    class_rows = {
-        r["_class"]: r["n"] for r in counts.groupBy("_class").agg(F.sum("n").alias("n")).limit(MAX_CLASSES + 1).collect()
-    }
+    sizes = counts.groupBy("_class").agg(F.sum("n").alias("n")).limit(MAX_CLASSES + 1).collect()
+    class_rows = {size["_class"]: size["n"] for size in sizes}
     if None in class_rows:
         raise ValueError(f"null in {label_column}")
     if len(class_rows) > MAX_CLASSES:
@@ -70,45 +70,46 @@ def stratified_split(
     quotas = train_quotas(class_rows, test_size)
 
     # One row per class, at most MAX_CLASSES, from here to the result.
-    spark = df.sparkSession
     class_type = df.schema[label_column].dataType.simpleString()
-    want = spark.createDataFrame(list(quotas.items()), f"_class {class_type}, _want bigint")
-    open_keys, digits = keys, _STEP
+    want = df.sparkSession.createDataFrame(list(quotas.items()), f"_class {class_type}, _want bigint")
+    digits = _STEP
     while True:
-        running = Window.partitionBy("_class").orderBy("_prefix")
-        # At most 65,536 prefixes per class are left at each level.
-        placed = counts.join(F.broadcast(want), "_class").withColumn("_upto", F.sum("n").over(running))
-        boundary = materialize(
-            placed.where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("n") < F.col("_want"))).select(
-                "_class", "_prefix", (F.col("_want") - F.col("_upto") + F.col("n")).alias("_want"), "n"
-            )
-        )
+        boundary = _boundary(counts, want)
+        widest = boundary.agg(F.max("n")).first()[0]
+        if digits == _DIGITS or widest is None:
+            break
+        # Keep the rows of the boundary prefixes only, and look at more of their keys.
+        inside = F.broadcast(boundary.select("_class", "_prefix"))
         open_keys = (
             open_keys.withColumn("_prefix", F.substring("_key", 1, digits))
-            .join(F.broadcast(boundary.select("_class", "_prefix", "_want")), ["_class", "_prefix"])
-            .select("_class", "_key", "_want")
+            .join(inside, ["_class", "_prefix"])
+            .select("_class", "_key")
         )
-        widest = boundary.agg(F.max("n")).first()[0]
-        if widest is None or widest <= rank_rows or digits >= _DIGITS:
-            break
         want = boundary.select("_class", "_want")
-        digits += _STEP
-        open_keys = open_keys.drop("_want")
+        digits = _DIGITS if widest <= rank_rows else digits + _STEP
         counts = _prefix_counts(open_keys, digits)
 
-    ranked = open_keys.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("_class").orderBy("_key"))
-    )
-    limits = materialize(ranked.where(F.col("_rank") == F.col("_want")).select("_class", F.col("_key").alias("_limit")))
     # A class without a limit has no training row.
+    limits = F.broadcast(boundary.select("_class", F.col("_prefix").alias("_limit")))
     part = F.when(split_key(id_column, seed) <= F.col("_limit"), F.lit("train")).otherwise(F.lit("test"))
-    return (
-        df.join(F.broadcast(limits), label == F.col("_class"), "left").select(*[df[name] for name in df.columns], part.alias(out))
-    )
+    joined = df.join(limits, label == F.col("_class"), "left")
+    return joined.select(*[df[name] for name in df.columns], part.alias(out))
 
 
 def _prefix_counts(keys: DataFrame, digits: int) -> DataFrame:
-    """Rows per class and key prefix; at most 65,536 rows per class and level."""
-    return materialize(
-        keys.groupBy("_class", F.substring("_key", 1, digits).alias("_prefix")).agg(F.count(F.lit(1)).alias("n"))
-    )
+    """Rows per class and key prefix."""
+    prefix = F.substring("_key", 1, digits).alias("_prefix")
+    return materialize(keys.groupBy("_class", prefix).agg(F.count(F.lit(1)).alias("n")))
+
+
+def _boundary(counts: DataFrame, want: DataFrame) -> DataFrame:
+    """Per class, the prefix in which the last wanted row lies, and how many it still takes.
+
+    The running count goes over the prefixes of one level: at most 65,536 per class, or the
+    keys of a boundary prefix with at most ``rank_rows`` rows.
+    """
+    upto = F.sum("n").over(Window.partitionBy("_class").orderBy("_prefix"))
+    placed = counts.join(F.broadcast(want), "_class").withColumn("_upto", upto)
+    below = F.col("_upto") - F.col("n")
+    holds = (below < F.col("_want")) & (F.col("_upto") >= F.col("_want"))
+    return materialize(placed.where(holds).select("_class", "_prefix", (F.col("_want") - below).alias("_want"), "n"))
