@@ -8,6 +8,7 @@ from rows import RAW_SCHEMA, raw_frame
 from tidemark.config import SILVER_SCHEMA
 from tidemark.operators.rows import ContractError
 from tidemark.operators.stages import bronze_to_silver
+from tidemark.sources import tables
 from tidemark.sources.runs import log_run, scan_runs
 from tidemark.sources.tables import current_location, inspect_schema, scan_csv, scan_table, write_overwrite
 
@@ -113,6 +114,16 @@ def test_formats(spark, tmp_path, fmt):
     assert scan_table(spark, path, fmt).count() == 4
 
 
+def test_formats_with_a_transaction_log_overwrite_in_place(spark, tmp_path, monkeypatch):
+    """Their connectors are not here; another format stands in for the direct write."""
+    monkeypatch.setattr(tables, "ATOMIC_FORMATS", frozenset({"orc"}))
+    path = str(tmp_path / "t")
+    for rows in (4, 2):
+        assert write_overwrite(spark.range(rows), path, "orc") == path
+        assert scan_table(spark, path, "orc").count() == rows
+    assert current_location(spark, path) is None
+
+
 def test_contract(spark, tmp_path):
     path = str(tmp_path / "silver")
     silver = bronze_to_silver(raw_frame(spark))
