@@ -1,9 +1,11 @@
 import random
+from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
-from tidemark.operators.metrics import auc_roc, classification_report, confusion
+from tidemark.operators.metrics import auc_roc, classification_report, confusion, range_fold
 
 
 def brute_force_auc(rows):
@@ -55,6 +57,25 @@ def test_auc_extremes(spark):
     assert auc([]) is None
 
 
+@pytest.mark.parametrize("scale", [1, 10**11])
+def test_fold_is_exact_for_any_counts(scale):
+    rng = random.Random(8)
+    pos = [rng.randint(0, 9) * scale for _ in range(200)]
+    neg = [rng.randint(0, 9) * scale for _ in range(200)]
+    expected = sum(p * (2 * sum(neg[:i]) + neg[i]) for i, p in enumerate(pos))
+    table = pa.table({"p": pos, "n": neg, "part": pa.array([3] * 200, pa.int32())})
+    for size in (7, 200):
+        (row,) = range_fold()(table.to_batches(max_chunksize=size))
+        assert row.to_pylist() == [{"_part": 3, "_won": Decimal(expected), "_pos": sum(pos), "_neg": sum(neg)}]
+    assert list(range_fold()([])) == []
+
+
+def test_two_shuffles_of_the_scores(spark):
+    df = spark.createDataFrame([(0.1, 0)], "score double, label int")
+    plan = auc_roc(df, "score", "label")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") + plan.count("Exchange rangepartitioning(") == 2
+
+
 def report(spark, pairs):
     df = spark.createDataFrame(pairs, "label int, prediction int")
     return {r["name"]: r for r in classification_report(df, "label", "prediction").collect()}

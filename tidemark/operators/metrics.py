@@ -2,15 +2,52 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import CLASS_NAMES
-from tidemark.operators.sizing import part_offsets, sorted_positions
 
 _WHOLE = "decimal(38,0)"
+_RANGE_SCHEMA = f"_part int, _won {_WHOLE}, _pos bigint, _neg bigint"
+
+
+def range_fold() -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function that folds a sorted range of scores to one row.
+
+    The row holds the range's counts, and twice the pairs won inside it. A batch holds
+    positives, negatives and the range's number. Sums are exact: counts too large for
+    64-bit products are multiplied as Python numbers. The function is nested so that it
+    travels to the workers by value, whether or not they can import this package.
+    """
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, won, positives, negatives = None, 0, 0, 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            pos, neg = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            part = batch.column(2)[0].as_py()
+            pos_total, neg_total = int(pos.sum()), int(neg.sum())
+            below = np.cumsum(neg) - neg
+            if 2 * pos_total * neg_total >= 2**63:
+                pos, neg, below = pos.astype(object), neg.astype(object), below.astype(object)
+            won += int(np.dot(pos, 2 * below + neg)) + 2 * negatives * pos_total
+            positives, negatives = positives + pos_total, negatives + neg_total
+        if part is not None:
+            columns = {
+                "_part": pa.array([part], pa.int32()),
+                "_won": pa.array([Decimal(won)], pa.decimal128(38, 0)),
+                "_pos": pa.array([positives], pa.int64()),
+                "_neg": pa.array([negatives], pa.int64()),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return fold
 
 
 def auc_roc(df: DataFrame, score: str, label: str, positive=1) -> DataFrame:
@@ -18,29 +55,31 @@ def auc_roc(df: DataFrame, score: str, label: str, positive=1) -> DataFrame:
 
     It is the share of (positive, negative) pairs that the score orders correctly, a tie
     counting half. Rows are first counted per score, so equal scores collapse before the
-    shuffle. The running count of negatives is taken inside each range of the sorted
-    scores and lifted by the total of the earlier ranges; sums are whole numbers, with one
-    division at the end. Null when a class is missing.
+    shuffle, and the scores are then sorted across the cluster. Each sorted range is folded
+    to one row where it lies; a window over ranges would need a third shuffle of all
+    scores. What is left is one row per range, to which the negatives of the lower ranges
+    are added. Sums are whole numbers, with one division at the end. Null when a class is
+    missing.
     """
     is_positive = F.col(label) == F.lit(positive)
     per_score = df.groupBy(F.col(score).alias("_score")).agg(
         F.count_if(is_positive).alias("_pos"), F.count_if(~is_positive).alias("_neg")
     )
-    placed = sorted_positions(per_score, "_score")
-    before = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.withColumn("_within", F.coalesce(F.sum("_neg").over(before), F.lit(0))).join(
-        # One row per partition of the sort.
-        F.broadcast(part_offsets(placed, "_neg", "_earlier")),
-        "_part",
+    ranges = (
+        per_score.orderBy("_score")
+        .select("_pos", "_neg", F.spark_partition_id().alias("_part"))
+        .mapInArrow(range_fold(), _RANGE_SCHEMA)
     )
-    below = (F.col("_earlier") + F.col("_within")).cast(_WHOLE)
-    half_pairs = F.col("_pos") * (below * 2 + F.col("_neg"))
-    summed = ranked.agg(
-        F.sum(half_pairs.cast(_WHOLE)).alias("_won"),
+    # One row per partition of the sort from here on.
+    lower = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.sum("_neg").over(lower), F.lit(0)).cast("decimal(18,0)")
+    lifted = ranges.withColumn("_won", F.col("_won") + F.col("_pos").cast("decimal(18,0)") * earlier * F.lit(2))
+    summed = lifted.agg(
+        F.sum(F.col("_won").cast(_WHOLE)).alias("_won"),
         F.coalesce(F.sum("_pos"), F.lit(0)).alias("positives"),
         F.coalesce(F.sum("_neg"), F.lit(0)).alias("negatives"),
     )
-    pairs = F.col("positives").cast("decimal(19,0)") * F.col("negatives").cast("decimal(18,0)") * F.lit(2)
+    pairs = F.col("positives").cast("decimal(18,0)") * F.col("negatives").cast("decimal(18,0)") * F.lit(2)
     value = F.when(
         (F.col("positives") > 0) & (F.col("negatives") > 0), F.col("_won").cast("double") / pairs.cast("double")
     )
