@@ -70,6 +70,7 @@ def test_overwrite_replaces(spark, tmp_path):
     first = scan_table(spark, path)
     write_overwrite(spark.range(3), path)
     assert scan_table(spark, path).count() == 3
+    assert "/0000000002-" in current_location(spark, path)
     # A reader that started on the old version can finish on it.
     assert first.count() == 5
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -48,25 +47,33 @@ def write_overwrite(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     if fmt in ATOMIC_FORMATS:
         df.write.format(fmt).mode("overwrite").save(path)
         return path
-    version = f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    spark = df.sparkSession
+    before = _current_version(spark, path)
+    # Numbered, so that a clock that is behind cannot hide a newer version.
+    number = 1 if before is None else int(before.split("-")[0]) + 1
+    version = f"{number:010d}-{uuid.uuid4().hex[:8]}"
     location = f"{path}/{_VERSIONS}/{version}"
     df.write.format(fmt).mode("errorifexists").save(location)
-    line = df.sparkSession.range(1, numPartitions=1).select(
+    line = spark.range(1, numPartitions=1).select(
         F.lit(version).alias("version"), F.current_timestamp().alias("published_at")
     )
     line.write.mode("append").json(f"{path}/{_PUBLISHED}")
     return location
 
 
-def current_location(spark: SparkSession, path: str) -> str | None:
-    """The folder of the current version; None where the path is not a versioned table."""
+def _current_version(spark: SparkSession, path: str) -> str | None:
     try:
         published = spark.read.schema(_PUBLISHED_SCHEMA).json(f"{path}/{_PUBLISHED}")
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    version = published.agg(F.max("version").alias("v")).first()["v"]
+    return published.agg(F.max("version").alias("version")).first()["version"]
+
+
+def current_location(spark: SparkSession, path: str) -> str | None:
+    """The folder of the current version; None where the path is not a versioned table."""
+    version = _current_version(spark, path)
     return None if version is None else f"{path}/{_VERSIONS}/{version}"
 
 
