@@ -122,8 +122,12 @@ def test_fill_zero(spark):
     assert list(stages[1].transform(stages[0].transform(df)).first().features) == [0.0, 0.0]
 
 
-def test_small_tables_are_spread_over_the_cores(spark):
+def test_small_tables_are_spread_over_the_cores(spark, monkeypatch):
     df = spark.range(0, 100, 1, 1)
+    assert m.spread(df, "id").rdd.getNumPartitions() == 1
+    monkeypatch.setattr(m, "ROWS_PER_TASK", 40)
+    assert m.spread(df, "id").rdd.getNumPartitions() == 3
+    monkeypatch.setattr(m, "ROWS_PER_TASK", 1)
     assert m.spread(df, "id").rdd.getNumPartitions() == 8
     wide = spark.range(0, 100, 1, 9)
     assert m.spread(wide, "id") is wide

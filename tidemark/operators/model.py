@@ -21,6 +21,9 @@ from tidemark.session import enable_checkpoints
 # The fitted encoder keeps its labels in the model, on the driver and in each task.
 MAX_LABELS = 10_000
 
+# Below this many rows a training task costs more to start than to run.
+ROWS_PER_TASK = 20_000
+
 
 @dataclass(frozen=True)
 class Trained:
@@ -82,12 +85,16 @@ def classifier(params: ModelParams, label: str = LABEL) -> GBTClassifier:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Training input on all cores; a table that already has enough partitions stays as it is.
+    """Training input on as many cores as its rows are worth.
 
     Boosting runs hundreds of jobs over its input, so one shuffle of a small table pays off.
+    A table that already has a partition per core stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key).sortWithinPartitions(key)
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    tasks = min(cores, max(1, -(-df.count() // ROWS_PER_TASK)))
+    return df.repartition(tasks, key).sortWithinPartitions(key)
 
 
 def train_gbt(
