@@ -75,9 +75,9 @@ def stratified_split(
     digits = _STEP
     while True:
         boundary = _boundary(counts, want)
-        widest = boundary.agg(F.max("n")).first()[0]
-        if digits == _DIGITS or widest is None:
+        if digits == _DIGITS:
             break
+        widest = boundary.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
         # Keep the rows of the boundary prefixes only, and look at more of their keys.
         inside = F.broadcast(boundary.select("_class", "_prefix"))
         open_keys = (
