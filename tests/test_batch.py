@@ -37,7 +37,7 @@ def config(tmp_path):
 def test_whole_run(spark, config):
     result = run_batch(spark, config)
     assert all(line["passed"] for line in result.quality)
-    assert scan_table(spark, config.silver_path).count() == 600
+    assert result.rows == {"silver": 600, "gold": 600}
     gold = scan_table(spark, config.gold_path)
     assert gold.count() == 600
     run = scan_runs(spark, config.runs_path).first()

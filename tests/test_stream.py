@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from tidemark.streaming.bronze import (
     scan_events,
     scan_quarantine,
     stream_bronze,
+    write_stream_append,
 )
 
 
@@ -79,6 +81,22 @@ def test_backlog_in_several_batches(spark, places):
     assert text_source("x", bytes_per_batch=10).options == {"maxBytesPerTrigger": "10"}
 
 
+def test_interrupted_run_is_continued_without_loss_or_repeats(spark, places):
+    folder, out, checkpoint = places
+    for i in range(8):
+        put(folder, f"{i}.json", message(10 * i), message(10 * i + 1))
+    source = text_source(str(folder), files_per_batch=1)
+    events = bronze_events(scan_stream(spark, source))
+    query = write_stream_append(events, out, checkpoint, partition_by="quarantined")
+    deadline = time.time() + 60
+    while not query.recentProgress and time.time() < deadline:
+        time.sleep(0.05)
+    query.stop()
+    stream_bronze(spark, source, out, checkpoint)
+    ids = sorted(r.customer_id for r in scan_events(spark, out).collect())
+    assert ids == [f"CUST-{10 * i + k:05d}" for i in range(8) for k in range(2)]
+
+
 def test_batch_and_stream_share_the_code(spark, places):
     folder, out, checkpoint = places
     made = generate_events(spark.range(50), "id", at=F.lit("2024-05-01 10:00:00").cast("timestamp_ntz"))

@@ -253,8 +253,8 @@ def run_batch_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.select(
         "run_name",
         *[params[name].alias(name) for name in ("n_estimators", "learning_rate", "max_depth")],
-        F.lit(scan_table(spark, config.silver_path).count()).cast("bigint").alias("silver_rows"),
-        F.lit(scan_table(spark, config.gold_path).count()).cast("bigint").alias("gold_rows"),
+        F.lit(result.rows["silver"]).cast("bigint").alias("silver_rows"),
+        F.lit(result.rows["gold"]).cast("bigint").alias("gold_rows"),
         F.lit(sum(line["passed"] for line in result.quality)).alias("checks_passed"),
         F.lit(result.trained.scored.count()).cast("bigint").alias("test_rows"),
         (F.col("metrics")["auc_roc"] > 0.5).alias("better_than_chance"),

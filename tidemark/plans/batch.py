@@ -16,6 +16,9 @@ from tidemark.sources.tables import scan_csv, scan_table, write_overwrite
 
 @dataclass(frozen=True)
 class BatchResult:
+    """Rows per layer, the checks' outcome, the model with its metrics, and where it is."""
+
+    rows: dict[str, int]
     quality: list[dict]
     trained: Trained
     model_path: str
@@ -57,7 +60,9 @@ def build_model(spark: SparkSession, config: JobConfig) -> tuple[Trained, str]:
 
 def run_batch(spark: SparkSession, config: JobConfig) -> BatchResult:
     """All steps in order; an error in one stops the run, so no model is trained on old data."""
-    build_silver(spark, config)
-    _, quality = build_gold(spark, config)
+    silver = build_silver(spark, config)
+    gold, quality = build_gold(spark, config)
+    # Counts of the stored tables: they come from file footers, not from the plans.
+    rows = {"silver": silver.count(), "gold": gold.count()}
     trained, path = build_model(spark, config)
-    return BatchResult(quality, trained, path)
+    return BatchResult(rows, quality, trained, path)
