@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.config import CONTRACTS, EVENT_SCHEMA, PAYMENT_METHODS, SERVICES
 from tidemark.operators.events import (
     dq_event_contract,
+    dq_message_contract,
     encode_events,
     flag_violations,
     generate_events,
@@ -170,6 +171,15 @@ def test_generated_events_keep_the_contract(spark):
     assert all(r.violations == 0 and r.rows == 500 for r in report)
 
 
+def test_message_contract(spark):
+    good = json.dumps(dict(zip(EVENT_SCHEMA.names, GOOD)))
+    more = json.dumps(dict(zip(EVENT_SCHEMA.names, GOOD)) | {"more": 1})
+    df = spark.createDataFrame([(good,), (more,), ("not json",)], "value string")
+    report = {r.rule: (r.violations, r["rows"]) for r in dq_message_contract(df).collect()}
+    assert report.pop("key_set") == (2, 3)
+    assert set(report.values()) == {(1, 3)} and len(report) == 10
+
+
 @pytest.mark.parametrize(
     "message, exact",
     [

@@ -11,6 +11,7 @@ from tidemark.config import EVENT_SCHEMA
 from tidemark.functions import format_customer_id, iso_utc
 from tidemark.operators.events import (
     dq_event_contract,
+    dq_message_contract,
     encode_events,
     flag_violations,
     generate_events,
@@ -112,14 +113,32 @@ def fn_from_json_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def event_key_set_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of one event type lack a key, the others have exactly the declared ones."""
+    return short_messages(spark, sf_dir).groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(key_set_matches()).alias("exact")
+    )
+
+
+def short_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event type and message body; messages of one type lack the first key."""
     events = mixed_events(spark, sf_dir, "event_type")
     short = F.to_json(F.struct(*EVENT_SCHEMA.names[1:]), {"ignoreNullFields": "false"})
     whole = F.to_json(F.struct(*EVENT_SCHEMA.names), {"ignoreNullFields": "false"})
-    body = F.when(F.col("event_type") == "error", short).otherwise(whole)
-    messages = events.select("event_type", body.alias("value"))
-    return messages.groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(key_set_matches()).alias("exact")
-    )
+    return events.select("event_type", F.when(F.col("event_type") == "error", short).otherwise(whole).alias("value"))
+
+
+@query(
+    "dq_message_contract",
+    """SELECT 'key_set' AS rule, count(*) FILTER (WHERE event_type = 'error') AS violations, count(*) AS "rows"
+       FROM events UNION ALL """
+    + " UNION ALL ".join(
+        # A body without an id has a null id; in this input its other spelling breaks the same rule.
+        f"""SELECT '{rule}' AS rule, count(*) FILTER (WHERE NOT coalesce({test}, false)) AS violations,
+                   count(*) AS "rows" FROM ({MIXED_EVENTS_SQL}) AS e"""
+        for rule, test in _RULES_SQL.items()
+    ),
+)
+def dq_message_contract_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dq_message_contract(short_messages(spark, sf_dir))
 
 
 @query(

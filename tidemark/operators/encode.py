@@ -38,7 +38,8 @@ def label_encode(
 
     A code table of checked size is broadcast. A larger one is joined by a shuffle, after
     the frequent labels (a bounded number) were joined by broadcast, so that no task gets
-    the rows of a hot label.
+    the rows of a hot label. ``df`` is read for its labels first, and then once or twice in
+    full, so it should be a stored table.
     """
     if nulls not in ("keep", "error", "skip"):
         raise ValueError(f"nulls must be keep, error or skip, not {nulls}")

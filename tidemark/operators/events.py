@@ -135,8 +135,18 @@ def quarantine(events: DataFrame) -> DataFrame:
 
 def dq_event_contract(events: DataFrame) -> DataFrame:
     """Violations per rule: ``(rule, violations, rows)``, from one aggregate."""
-    rules = event_rules()
-    counted = events.agg(
+    return _violations(events, event_rules())
+
+
+def dq_message_contract(messages: DataFrame, value: str = "value") -> DataFrame:
+    """The same for message bodies, with the rule that a body has exactly the declared keys."""
+    parsed = F.from_json(F.col(value).cast("string"), EVENT_SCHEMA, {"mode": "PERMISSIVE"})
+    checked = messages.select(key_set_matches(value).alias("_exact"), parsed.alias("data")).select("_exact", "data.*")
+    return _violations(checked, {"key_set": F.col("_exact"), **event_rules()})
+
+
+def _violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    counted = rows.agg(
         F.count(F.lit(1)).alias("rows"), *[F.count_if(~_holds(rule)).alias(name) for name, rule in rules.items()]
     )
     lines = [

@@ -116,7 +116,7 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def train_and_evaluate(gold: DataFrame, params: ModelParams | None = None, key: str = "customer_id") -> Trained:
-    """Split, train, score the held-out part and measure it."""
+    """Split, train, score the held-out part and measure it. ``gold`` should be a stored table."""
     params = params or ModelParams()
     parts = stratified_split(gold, key, LABEL, params.test_size, params.seed)
     train = parts.where(F.col("split") == "train").drop("split")

@@ -56,6 +56,7 @@ def stratified_split(
     key of each class is found by counting rows per key prefix, so only counts are
     shuffled; the rows themselves get their part from a comparison in a narrow pass.
     ``id_column`` must be unique and not null: rows with the same id go to the same part.
+    ``df`` is read a few times, mostly for two columns, so it should be a stored table.
     """
     label = F.col(label_column)
     open_keys = df.select(label.alias("_class"), split_key(id_column, seed).alias("_key"))

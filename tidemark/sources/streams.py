@@ -47,6 +47,7 @@ def kafka_source(
     ``max_offsets_per_trigger`` bounds a batch after a long pause. The login text is the
     caller's: nothing here stores it.
     """
+    # The consumer's security, start and timeouts.
     options = {
         "kafka.bootstrap.servers": servers,
         "kafka.security.protocol": "SASL_SSL",
