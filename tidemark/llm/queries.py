@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.pii import detect_pii, pii_digest
 from tidemark.llm.quality import quality_rules
+from tidemark.llm.secrets import scan_secrets, secret_digest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans and those the trained classifier adds."""
+    return pii_digest(detect_pii(table(spark, sf_dir, "documents")))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document; a document's source owns it, its language is the repository."""
+    return secret_digest(scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, n-gram score and verdict of every document."""
     scored, name = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -19,6 +31,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_pii": op2_pii,
+    "op5_secrets": op5_secrets,
     "op8_quality_rules": op8_quality_rules,
 }
 

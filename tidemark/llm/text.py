@@ -12,7 +12,7 @@ SPACE = " \t\n\x0b\f\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-SPANS = "array<struct<start:bigint,stop:bigint,match:string>>"
+SPANS = "array<struct<start:bigint,stop:bigint,match:string,left:string>>"
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -53,11 +53,12 @@ def const_array(values: Iterable[object], element: str) -> Column:
     return F.split(F.lit(",".join(str(v) for v in values)), ",").cast(f"array<{element}>")
 
 
-def find_all(text: Column, pattern: str, when: Column | None = None) -> Column:
+def find_all(text: Column, pattern: str, when: Column | None = None, left: int = 0) -> Column:
     """Leftmost non-overlapping matches with their places in code points.
 
     Places come from the lengths of the matches and of the pieces between them, which the
-    same pattern cuts. ``when`` is a cheap test that a text can match at all.
+    same pattern cuts. ``when`` is a cheap test that a text can match at all. ``left`` keeps so
+    many characters before a match, as far as the match before it.
     """
 
     def place(found: Column) -> Column:
@@ -67,7 +68,12 @@ def find_all(text: Column, pattern: str, when: Column | None = None) -> Column:
             def step(acc: Column, i: Column) -> Column:
                 begin = acc["at"] + F.length(gaps[i])
                 stop = begin + F.length(found[i])
-                one = F.struct(begin.alias("start"), stop.alias("stop"), found[i].alias("match"))
+                one = F.struct(
+                    begin.alias("start"),
+                    stop.alias("stop"),
+                    found[i].alias("match"),
+                    F.right(gaps[i], F.lit(left)).alias("left"),
+                )
                 return F.struct(stop.alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
 
             return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["spans"])
@@ -77,9 +83,3 @@ def find_all(text: Column, pattern: str, when: Column | None = None) -> Column:
     spans = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
     return spans if when is None else F.when(when, spans).otherwise(F.array().cast(SPANS))
 
-
-def span_names(kind: str, spans: Column) -> Column:
-    """``kind:start:stop`` of each span."""
-    return F.transform(
-        spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["stop"].cast("string"))
-    )
