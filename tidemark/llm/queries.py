@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.imatch import fingerprint_edits
 from tidemark.llm.pii import detect_pii, pii_digest
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.secrets import scan_secrets, secret_digest
@@ -30,10 +31,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.col(f"{name}.*"))
 
 
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, with their likeness."""
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_pii": op2_pii,
     "op5_secrets": op5_secrets,
     "op8_quality_rules": op8_quality_rules,
+    "op10_imatch": op10_imatch,
 }
 
 SQL: dict[str, str] = {}
