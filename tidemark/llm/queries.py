@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.chat import CLOSE, chat_digest, digest_sql
 from tidemark.llm.imatch import fingerprint_edits
+from tidemark.llm.jaccard import JaccardParams, jaccard_digest
 from tidemark.llm.pii import detect_pii, pii_digest
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.secrets import scan_secrets, secret_digest
@@ -39,6 +40,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by a Jaccard index of at least 0.9 on three-word shingles."""
+    return jaccard_digest(table(spark, sf_dir, "documents"), JaccardParams(words=3, percent=90))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, n-gram score and verdict of every document."""
     scored, name = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -54,6 +60,7 @@ QUERIES = {
     "op1_chat": op1_chat,
     "op2_pii": op2_pii,
     "op5_secrets": op5_secrets,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_quality_rules": op8_quality_rules,
     "op10_imatch": op10_imatch,
 }
