@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.chat import CLOSE, chat_digest, digest_sql
 from tidemark.llm.imatch import fingerprint_edits
 from tidemark.llm.jaccard import JaccardParams, jaccard_digest
+from tidemark.llm.mixing import mix_digest
 from tidemark.llm.pii import detect_pii, pii_digest
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.secrets import scan_secrets, secret_digest
@@ -35,6 +36,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(detect_pii(table(spark, sf_dir, "documents")))
 
 
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that the mixture of sources takes, by weights 5, 2, 1."""
+    return mix_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document; a document's source owns it, its language is the repository."""
     return secret_digest(scan_secrets(table(spark, sf_dir, "documents")))
@@ -59,6 +65,7 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_pii": op2_pii,
+    "op3_mix": op3_mix,
     "op5_secrets": op5_secrets,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_quality_rules": op8_quality_rules,
