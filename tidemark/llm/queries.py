@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +10,16 @@ from tidemark.llm.chat import CLOSE, chat_digest, digest_sql
 from tidemark.llm.imatch import fingerprint_edits
 from tidemark.llm.jaccard import JaccardParams, jaccard_digest
 from tidemark.llm.mixing import mix_digest
+from tidemark.llm.packing import PackParams, pack, pieces
 from tidemark.llm.pii import detect_pii, pii_digest
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.secrets import scan_secrets, secret_digest
 
 
+# Ranks of the vocabulary whose tokenizer file is byte_bpe_50k.json.
+TOKENIZER = "byte_bpe_50k.tiktoken"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,6 +47,12 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into pieces and packed into sequences of 1024 tokens."""
+    params = PackParams(tokenizer=public_tokenizers.path(TOKENIZER))
+    return pack(pieces(table(spark, sf_dir, "documents"), params), params)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document; a document's source owns it, its language is the repository."""
     return secret_digest(scan_secrets(table(spark, sf_dir, "documents")))
@@ -66,6 +78,7 @@ QUERIES = {
     "op1_chat": op1_chat,
     "op2_pii": op2_pii,
     "op3_mix": op3_mix,
+    "op4_pack": op4_pack,
     "op5_secrets": op5_secrets,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_quality_rules": op8_quality_rules,
