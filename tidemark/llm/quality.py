@@ -104,7 +104,7 @@ def _ngrams(w: Column, buckets: int) -> Column:
     return F.concat(one, F.coalesce(two, F.array().cast("array<int>")))
 
 
-def _hashed(docs: DataFrame, text: str, buckets: int, *keep: Column) -> DataFrame:
+def hashed_ngrams(docs: DataFrame, text: str, buckets: int, *keep: Column | str) -> DataFrame:
     tokens = words(text_of(text))
     return docs.select(*keep, let(tokens, lambda w: _ngrams(w, buckets)).alias("_grams"))
 
@@ -123,11 +123,11 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, params: QualityParams) -> tupl
     driver gets one row per bucket.
     """
     size = params.buckets
-    trusted = _hashed(
+    trusted = hashed_ngrams(
         docs.join(F.broadcast(trusted_ids(labels, params)), "doc_id", "left_semi"), "text", size
     )
-    raw = _counts(_hashed(docs, "text", size))
-    good = _counts(trusted)
+    raw = ngram_counts(hashed_ngrams(docs, "text", size))
+    good = ngram_counts(trusted)
     a, total, good_total = params.smoothing, sum(raw.values()), sum(good.values())
     if not good_total:
         return [0.0] * size, -math.inf
@@ -139,7 +139,7 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, params: QualityParams) -> tupl
         for b in range(size)
     ]
     # Whole thousandths: a bounded histogram that is the same in every run.
-    scored = trusted.select(F.floor(1000 * _score(F.col("_grams"), ratio)).alias("bin")).where("bin IS NOT NULL")
+    scored = trusted.select(F.floor(1000 * ngram_score(F.col("_grams"), ratio)).alias("bin")).where("bin IS NOT NULL")
     bins = sorted((r["bin"], r["n"]) for r in scored.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect())
     below, wanted = 0, params.tail * sum(n for _, n in bins)
     for edge, n in bins:
@@ -149,7 +149,7 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, params: QualityParams) -> tupl
     return ratio, -math.inf
 
 
-def _counts(hashed: DataFrame) -> dict[int, int]:
+def ngram_counts(hashed: DataFrame) -> dict[int, int]:
     rows = (
         # The outer form: the plain one makes Spark compute the array a second time, to drop empty ones.
         hashed.select(F.explode_outer("_grams").alias("b")).groupBy("b").agg(F.count("b").alias("n")).collect()
@@ -157,7 +157,7 @@ def _counts(hashed: DataFrame) -> dict[int, int]:
     return {r["b"]: r["n"] for r in rows if r["b"] is not None}
 
 
-def _score(grams: Column, ratio: list[float]) -> Column:
+def ngram_score(grams: Column, ratio: list[float]) -> Column:
     """Mean log ratio; null for a text without words."""
     table = const_array(ratio, "double")
     total = let(
@@ -178,7 +178,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, params: QualityParams | No
     q = F.col(name)
     failed = (q["n_words"] < params.min_words) | (100 * q["n_repeat_words"] > params.repeat_percent * q["n_words"])
     score = fresh(scored, "_quality_score")
-    scored = scored.withColumn(score, _score(F.col(grams), ratio))
+    scored = scored.withColumn(score, ngram_score(F.col(grams), ratio))
     good = F.coalesce(F.col(score) >= threshold, F.lit(False)) if threshold > -math.inf else F.lit(True)
     fields = [q[f].alias(f) for f in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     verdict = F.struct(

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.bayes import site_quality
 from tidemark.llm.chat import CLOSE, chat_digest, digest_sql
 from tidemark.llm.imatch import fingerprint_edits
 from tidemark.llm.jaccard import JaccardParams, jaccard_digest
@@ -14,6 +15,7 @@ from tidemark.llm.packing import PackParams, pack, pieces
 from tidemark.llm.pii import detect_pii, pii_digest
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.secrets import scan_secrets, secret_digest
+from tidemark.llm.warc import derivative_digest
 
 
 # Ranks of the vocabulary whose tokenizer file is byte_bpe_50k.json.
@@ -58,6 +60,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page, by their links and digests."""
+    return derivative_digest(table(spark, sf_dir, "pages"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by a Jaccard index of at least 0.9 on three-word shingles."""
     return jaccard_digest(table(spark, sf_dir, "documents"), JaccardParams(words=3, percent=90))
@@ -69,6 +76,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.col(f"{name}.*"))
 
 
+def op9_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document given its source (as host) and language (as path inside it)."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return site_quality(docs, labels, F.col("source"), F.col("lang"))
+
+
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, with their likeness."""
     return fingerprint_edits(table(spark, sf_dir, "documents"))
@@ -80,8 +93,10 @@ QUERIES = {
     "op3_mix": op3_mix,
     "op4_pack": op4_pack,
     "op5_secrets": op5_secrets,
+    "op6_warc": op6_warc,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_quality_rules": op8_quality_rules,
+    "op9_site_quality": op9_site_quality,
     "op10_imatch": op10_imatch,
 }
 
