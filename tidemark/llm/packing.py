@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.text import fresh
 from tidemark.llm.tokens import encoder
-from tidemark.operators.sizing import store
+from tidemark.operators.sizing import broadcast_if_small, store
 
 
 @dataclass(frozen=True)
@@ -160,7 +160,11 @@ def pack(cut_pieces: DataFrame, params: PackParams) -> DataFrame:
     # One row per partition and length: a window over counts, not over pieces.
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    numbered = cut_pieces.join(store(first), ["length", "part"]).withColumn("first", F.col("first") + F.col("number"))
+    first = store(first)
+    # Small next to the pieces, which then need no shuffle; measured, because it grows with the partitions.
+    sent = broadcast_if_small(first)
+    numbered = cut_pieces.join(first if sent is None else sent, ["length", "part"])
+    numbered = numbered.withColumn("first", F.col("first") + F.col("number"))
     numbered = numbered.select(*[c for c in cut_pieces.columns if c not in ("part", "number")], "first")
     kept = numbered.drop("first")
     schema = T.StructType(

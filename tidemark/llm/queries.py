@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,6 +99,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_site_quality": op9_site_quality,
     "op10_imatch": op10_imatch,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
