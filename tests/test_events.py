@@ -142,6 +142,8 @@ GOOD = ("CUST-00001", "2024-01-01T00:00:00+00:00", "DSL", "One year", "Mailed ch
         ("customer_id", None, "customer_id_format"),
         ("timestamp", "yesterday", "timestamp_iso"),
         ("timestamp", "2024-13-01T00:00:00+00:00", "timestamp_iso"),
+        ("timestamp", "2024-02-30", "timestamp_iso"),
+        ("timestamp", "01.02.2024", "timestamp_iso"),
         ("internet_service", "dsl", "internet_service_domain"),
         ("contract", "Weekly", "contract_domain"),
         ("payment_method", None, "payment_method_domain"),
@@ -197,3 +199,13 @@ def test_key_set(spark, message, exact):
 def test_violations_of_an_empty_event(spark):
     df = spark.createDataFrame([(None,) * 9], EVENT_SCHEMA)
     assert len(flag_violations(df).first().violations) == 10
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["2024-01-01", "2024-01-01T00:00:00", "2024-01-01T10:00:00.5Z", "2024-01-01T10:00:00+05:30", "2024-01-01T10:00"],
+)
+def test_times_of_the_contract(spark, text):
+    datetime.fromisoformat(text)
+    broken = flag_violations(generate_events(spark.range(1), "id").withColumn("timestamp", F.lit(text))).first()
+    assert broken.violations == []

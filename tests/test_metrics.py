@@ -106,3 +106,19 @@ def test_confusion(spark):
     df = spark.createDataFrame([(0, 0), (0, 1), (0, 1), (1, 1)], "label int, prediction int")
     rows = confusion(df, "label", "prediction").collect()
     assert {(r.label, r.prediction): r["rows"] for r in rows} == {(0, 0): 1, (0, 1): 2, (1, 1): 1}
+
+
+@pytest.mark.parametrize("bad", [(None, 0.5), (1, None), (0, float("nan"))])
+def test_rows_that_cannot_be_ranked_are_refused(spark, bad):
+    rows = [(1, 0.9), (0, 0.1), (1, 0.4), bad, bad]
+    with pytest.raises(Exception, match="2 rows with null or NaN in label or score"):
+        auc_roc(spark.createDataFrame(rows, "label int, score double"), "score", "label").collect()
+
+
+@pytest.mark.parametrize("bad", [(2, 0), (None, 1), (0, 2), (1, None)])
+def test_values_outside_the_named_classes_are_refused(spark, bad):
+    rows = [(0, 0), (1, 1), (0, 1), bad]
+    report = classification_report(spark.createDataFrame(rows, "label int, prediction int"), "label", "prediction")
+    assert [name for name, _ in report.dtypes] == ["name", "precision", "recall", "f1_score", "support"]
+    with pytest.raises(Exception, match="1 values of label or prediction"):
+        report.collect()

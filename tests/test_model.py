@@ -3,11 +3,13 @@ import random
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
 
 from tidemark.config import FEATURES, GOLD_SCHEMA, ModelParams
 from tidemark.operators import model as m
 from tidemark.operators.encode import label_encode
 from tidemark.operators.metrics import auc_roc
+from tidemark.operators.sizing import store
 
 SMALL = ModelParams(rounds=5)
 
@@ -100,10 +102,41 @@ def test_codes_are_numbers_to_the_trees(gold):
     assert set(attributes) == {"numeric"}
 
 
-def test_too_many_labels(gold, monkeypatch):
-    monkeypatch.setattr(m, "MAX_LABELS", 2)
-    with pytest.raises(ValueError, match="label_encode"):
-        m.category_encoder(gold)
+def test_any_number_of_labels(spark, gold):
+    """Codes made outside the model are used as they are."""
+    wide = gold.withColumn("contract", F.concat_ws("-", "contract", "customer_id"))
+    many = wide.unionByName(
+        spark.range(20_000).select(F.concat(F.lit("N"), "id").alias("customer_id")).join(
+            gold.drop("customer_id", "contract").limit(1)
+        ).withColumn("contract", F.concat(F.lit("L"), "customer_id")).select(*gold.columns)
+    )
+    encoded = store(m.encode_categories(many))
+    assert encoded.select("contract_enc").distinct().count() == 21_200
+    model = m.train_gbt(encoded, encoded, ModelParams(rounds=2))
+    assert len(model.stages) == 3
+    assert m.predict(model, encoded).where("prediction IS NULL").count() == 0
+
+
+def test_training_does_not_depend_on_the_cluster(spark):
+    """More rows than the learner looks at without sampling, from several layouts of the input."""
+    rows = spark.range(30_000).select(
+        F.concat(F.lit("C"), "id").alias("customer_id"),
+        *[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(10_007)) / 7).alias(f"x{i}") for i in range(4)],
+    )
+    churn = (F.col("x0") + F.col("x1") * F.sin("x2") + F.col("x3") > 1_500).cast("int")
+    stored = store(rows.withColumn("churn", churn))
+    features = [f"x{i}" for i in range(4)]
+    found = {}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts, shuffles in ((1, "3"), (5, "8"), (12, "17")):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        model = m.train_gbt(stored, stored.repartition(parts), ModelParams(rounds=3), features=features)
+        scored = m.predict(model, stored).select("customer_id", "churn_probability", "prediction")
+        found[parts] = sorted(map(tuple, scored.collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    for other in (5, 12):
+        for a, b in zip(found[1], found[other], strict=True):
+            assert (a[0], a[2]) == (b[0], b[2]) and a[1] == pytest.approx(b[1], abs=1e-9)
 
 
 def test_hyperparameters():
@@ -122,12 +155,12 @@ def test_fill_zero(spark):
     assert list(stages[1].transform(stages[0].transform(df)).first().features) == [0.0, 0.0]
 
 
-def test_small_tables_are_spread_over_the_cores(spark, monkeypatch):
-    df = spark.range(0, 100, 1, 1)
-    assert m.spread(df, "id").rdd.getNumPartitions() == 1
-    monkeypatch.setattr(m, "ROWS_PER_TASK", 40)
-    assert m.spread(df, "id").rdd.getNumPartitions() == 3
-    monkeypatch.setattr(m, "ROWS_PER_TASK", 1)
-    assert m.spread(df, "id").rdd.getNumPartitions() == 8
-    wide = spark.range(0, 100, 1, 9)
-    assert m.spread(wide, "id") is wide
+def test_layout_follows_from_the_rows(spark, monkeypatch):
+    for parts in (1, 9):
+        df = spark.range(0, 100, 1, parts)
+        assert m.spread(df, "id").rdd.getNumPartitions() == 1
+        with monkeypatch.context() as patch:
+            patch.setattr(m, "ROWS_PER_TASK", 40)
+            assert m.spread(df, "id").rdd.getNumPartitions() == 3
+            patch.setattr(m, "MAX_TASKS", 2)
+            assert m.spread(df, "id").rdd.getNumPartitions() == 2

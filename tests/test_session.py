@@ -1,8 +1,9 @@
 import types
 
 import pytest
+from pyspark.errors import AnalysisException
 
-from tidemark.session import enable_checkpoints, scale_conf, scratch_path, shared_dir
+from tidemark.session import enable_checkpoints, run_scratch, scale_conf, scratch_path, shared_dir
 
 
 class Fake:
@@ -10,7 +11,9 @@ class Fake:
 
     def __init__(self, master, **conf):
         self.conf = types.SimpleNamespace(get=lambda key, default=None: conf.get(key, default))
-        self.sparkContext = types.SimpleNamespace(master=master, applicationId=f"app-{id(self)}")
+        hadoop = types.SimpleNamespace(get=lambda key: conf.get(key, "file:///"))
+        java = types.SimpleNamespace(hadoopConfiguration=lambda: hadoop)
+        self.sparkContext = types.SimpleNamespace(master=master, applicationId=f"app-{id(self)}", _jsc=java)
 
 
 def test_the_sessions_own_folder_is_used():
@@ -24,6 +27,28 @@ def test_a_cluster_without_a_folder_is_refused():
         shared_dir(Fake("yarn"))
 
 
+@pytest.mark.parametrize("path", ["/tmp/x", "file:/x", "file:///x"])
+def test_a_cluster_with_a_folder_of_one_machine_is_refused(path):
+    with pytest.raises(RuntimeError, match="one machine"):
+        shared_dir(Fake("spark://h:7077", **{"spark.checkpoint.dir": path}))
+    mounted = {"spark.checkpoint.dir": path, "spark.tidemark.mountedFolder": "true"}
+    assert shared_dir(Fake("spark://h:7077", **mounted)) == path
+    default = {"spark.checkpoint.dir": "/shared", "fs.defaultFS": "hdfs://h"}
+    assert shared_dir(Fake("yarn", **default)) == "/shared"
+
+
+def test_a_jobs_scratch_goes_with_it(spark):
+    with run_scratch(spark):
+        path = scratch_path(spark, "x")
+        spark.range(3).write.parquet(path)
+        assert spark.read.parquet(path).count() == 3
+    outside = scratch_path(spark, "y")
+    spark.range(3).write.parquet(outside)
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(path)
+    assert spark.read.parquet(outside).count() == 3
+
+
 def test_a_local_session_gets_one_folder():
     fake = Fake("local[2]")
     assert shared_dir(fake) == shared_dir(fake)

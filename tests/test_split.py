@@ -81,6 +81,12 @@ def test_no_shuffle_of_the_rows(spark):
     assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
 
 
+def test_null_ids_are_refused(spark):
+    rows = [(None if i % 10 == 0 else i, i % 2) for i in range(1000)]
+    with pytest.raises(ValueError, match="100 rows with null in id"):
+        stratified_split(spark.createDataFrame(rows, "id int, label int"), "id", "label")
+
+
 def test_null_label_and_too_few_rows(spark):
     with pytest.raises(ValueError, match="null in label"):
         split_ids(spark.createDataFrame([(1, None), (2, 1), (3, 1)], "id int, label int"))

@@ -81,6 +81,28 @@ def test_backlog_in_several_batches(spark, places):
     assert text_source("x", bytes_per_batch=10).options == {"maxBytesPerTrigger": "10"}
 
 
+def test_all_batches_are_counted(spark, places):
+    folder, out, checkpoint = places
+    for i in range(120):
+        put(folder, f"{i}.json", message(i))
+    config = StreamConfig(text_source(str(folder), files_per_batch=1), out, checkpoint)
+    assert run_stream(spark, config) == 120
+    assert run_stream(spark, config) == 0
+    assert scan_events(spark, out).count() == 120
+
+
+def test_stream_without_rows_and_table_without_quarantine(spark, places):
+    folder, out, checkpoint = places
+    put(folder, "empty.json")
+    stream_bronze(spark, text_source(str(folder)), out, checkpoint)
+    assert scan_events(spark, out).count() == scan_quarantine(spark, out).count() == 0
+    assert len(scan_events(spark, out).columns) == 10
+    put(folder, "a.json", message(1))
+    stream_bronze(spark, text_source(str(folder)), f"{out}2", f"{checkpoint}2", separate_corrupt=False)
+    with pytest.raises(ValueError, match="separate_corrupt"):
+        scan_events(spark, f"{out}2")
+
+
 def test_interrupted_run_is_continued_without_loss_or_repeats(spark, places):
     folder, out, checkpoint = places
     for i in range(8):

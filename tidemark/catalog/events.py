@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.catalog import query
 from tidemark.catalog.inputs import ORDER_EVENTS_SQL, table
@@ -28,7 +29,10 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Events with natural contract breaks: amounts, counts and types from the events table.
 MIXED_EVENTS_SQL = """
 SELECT CASE WHEN event_type = 'error' THEN 'user ' || user_id ELSE printf('CUST-%05d', user_id) END AS customer_id,
-       CASE WHEN event_type = 'signup' THEN 'yesterday'
+       CASE WHEN event_type = 'signup' THEN CASE user_id % 5
+                 WHEN 0 THEN 'yesterday' WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
+                 WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+05:30'
+                 WHEN 3 THEN '2024-02-30T00:00:00+00:00' ELSE strftime(ts, '%Y-%m-%d') END
             ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' END AS "timestamp",
        CASE WHEN event_type = 'view' THEN 'DSL' WHEN event_type = 'click' THEN 'dsl' END AS internet_service,
        CASE WHEN event_type = 'purchase' THEN 'One year' ELSE event_type END AS contract,
@@ -41,6 +45,18 @@ FROM events
 """
 
 
+def odd_times(user: Column, ts: Column) -> Column:
+    """No time, a time without offset, with another one, a day that does not exist, a date alone."""
+    clock = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    return (
+        F.when(user % 5 == 0, "yesterday")
+        .when(user % 5 == 1, clock)
+        .when(user % 5 == 2, F.concat(clock, F.lit("+05:30")))
+        .when(user % 5 == 3, "2024-02-30T00:00:00+00:00")
+        .otherwise(F.date_format(ts, "yyyy-MM-dd"))
+    )
+
+
 def mixed_events(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     kind, user, value = F.col("event_type"), F.col("user_id"), F.col("value")
@@ -49,7 +65,7 @@ def mixed_events(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
         F.when(kind == "error", F.concat(F.lit("user "), user.cast("string")))
         .otherwise(format_customer_id(user))
         .alias("customer_id"),
-        F.when(kind == "signup", "yesterday").otherwise(iso_utc(F.col("ts"))).alias("timestamp"),
+        F.when(kind == "signup", odd_times(user, F.col("ts"))).otherwise(iso_utc(F.col("ts"))).alias("timestamp"),
         F.when(kind == "view", "DSL").when(kind == "click", "dsl").alias("internet_service"),
         F.when(kind == "purchase", "One year").otherwise(kind).alias("contract"),
         F.lit("Mailed check").alias("payment_method"),
@@ -101,8 +117,11 @@ def parse_events_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fn_from_json", "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
 def fn_from_json_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = F.from_json("props", "k int")
-    return table(spark, sf_dir, "events").select("event_id", parsed.alias("data")).select("event_id", "data.k")
+    events = table(spark, sf_dir, "events").select(F.col("event_id"), F.col("props").alias("value"))
+    # The operator returns the parsed fields alone, so the key travels inside the message.
+    rest = F.substring("value", 2, 1 << 30)
+    keyed = events.select(F.concat(F.lit('{"event_id":'), "event_id", F.lit(","), rest).alias("value"))
+    return parse_events(keyed, T._parse_datatype_string("event_id bigint, k int"))
 
 
 @query(

@@ -27,6 +27,7 @@ from tidemark.operators.encode import label_encode
 from tidemark.operators.model import fill_zero
 from tidemark.operators.rows import dedup_key, derive, drop_null_rows, flatten_struct, project, rename
 from tidemark.operators.stages import bronze_to_silver, clean_values, silver_to_gold
+from tidemark.streaming.bronze import stamp
 
 
 @query("project", "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem")
@@ -279,7 +280,7 @@ def fn_divide_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fn_current_timestamp_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stamp differs between runs, so the query reports how many values a run has."""
-    stamped = table(spark, sf_dir, "events").withColumn("ingested_at", F.current_timestamp())
+    stamped = stamp(table(spark, sf_dir, "events"))
     per_stamp = stamped.groupBy("event_type", "ingested_at").agg(F.count(F.lit(1)).alias("rows"))
     return per_stamp.groupBy("event_type").agg(
         F.sum("rows").alias("rows"),

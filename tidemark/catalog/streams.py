@@ -13,8 +13,6 @@ from tidemark.session import scratch_path
 from tidemark.sources.streams import scan_stream, text_source
 from tidemark.streaming.bronze import drain, scan_events, scan_quarantine, stream_bronze, write_stream_append
 
-TIMEOUT = 3600.0
-
 
 def stage_messages(spark: SparkSession, sf_dir: str, path: str, keep: Column | None = None) -> None:
     """One event per order as JSON lines, added to the folder ``path``."""
@@ -29,7 +27,7 @@ def scan_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "scan")
     table(spark, sf_dir, "events").select(F.col("props").alias("value")).write.text(f"{base}/in")
     messages = scan_stream(spark, text_source(f"{base}/in"))
-    drain(write_stream_append(messages, f"{base}/out", f"{base}/checkpoint"), TIMEOUT)
+    drain(write_stream_append(messages, f"{base}/out", f"{base}/checkpoint"))
     return spark.read.parquet(f"{base}/out")
 
 
@@ -39,7 +37,7 @@ def write_stream_append_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "rerun")
     stage_messages(spark, sf_dir, f"{base}/in")
     for _ in range(2):
-        stream_bronze(spark, text_source(f"{base}/in"), f"{base}/out", f"{base}/checkpoint", timeout=TIMEOUT)
+        stream_bronze(spark, text_source(f"{base}/in"), f"{base}/out", f"{base}/checkpoint")
     return scan_events(spark, f"{base}/out").drop("ingested_at")
 
 
@@ -50,7 +48,7 @@ def stream_available_now_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage_messages(spark, sf_dir, f"{base}/in", F.col("o_orderstatus") == "F")
     stage_messages(spark, sf_dir, f"{base}/in", F.col("o_orderstatus") != "F")
     source = text_source(f"{base}/in", files_per_batch=1)
-    stream_bronze(spark, source, f"{base}/out", f"{base}/checkpoint", timeout=TIMEOUT)
+    stream_bronze(spark, source, f"{base}/out", f"{base}/checkpoint")
     return scan_events(spark, f"{base}/out").drop("ingested_at")
 
 
@@ -60,7 +58,7 @@ def stream_append_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "append")
     for status in ("F", "O", "P"):
         stage_messages(spark, sf_dir, f"{base}/in", F.col("o_orderstatus") == status)
-        stream_bronze(spark, text_source(f"{base}/in"), f"{base}/out", f"{base}/checkpoint", timeout=TIMEOUT)
+        stream_bronze(spark, text_source(f"{base}/in"), f"{base}/out", f"{base}/checkpoint")
     return scan_events(spark, f"{base}/out").drop("ingested_at")
 
 
@@ -76,7 +74,7 @@ def stream_checkpoint_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage_messages(spark, sf_dir, f"{base}/in", F.col("o_orderstatus") == status)
         # The second run of each round finds nothing new.
         for _ in range(2):
-            stream_bronze(spark, text_source(f"{base}/in"), f"{base}/out", f"{base}/checkpoint", timeout=TIMEOUT)
+            stream_bronze(spark, text_source(f"{base}/in"), f"{base}/out", f"{base}/checkpoint")
     # A run drains its input in one batch here, and a batch has one stamp: three rows to number.
     per_run = spark.read.parquet(f"{base}/out").groupBy("ingested_at").agg(F.count(F.lit(1)).alias("rows"))
     return per_run.select(F.row_number().over(Window.orderBy("ingested_at")).alias("run"), "rows")
@@ -115,7 +113,7 @@ def drained_mixed(spark: SparkSession, sf_dir: str, separate_corrupt: bool) -> s
     base = scratch_path(spark, "bronze")
     stage_mixed(spark, sf_dir, f"{base}/in")
     source = text_source(f"{base}/in")
-    stream_bronze(spark, source, f"{base}/out", f"{base}/checkpoint", separate_corrupt, timeout=TIMEOUT)
+    stream_bronze(spark, source, f"{base}/out", f"{base}/checkpoint", separate_corrupt)
     return f"{base}/out"
 
 
@@ -136,18 +134,34 @@ def stream_bronze_all_rows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stream_quarantine",
-    "SELECT CAST(substr('not json ' || event_id, 10) AS BIGINT) AS event_id FROM events WHERE event_type = 'error'",
+    """SELECT CASE WHEN event_type = 'error' THEN 'not json ' || event_id
+                   ELSE '{"customer_id":"' || printf('CUST-%05d', user_id) || '","contract":"view","tenure_months":'
+                        || user_id || ',"unknown":"x","monthly_charges":"' || value || '"}' END AS message
+       FROM events WHERE event_type IN ('error', 'view')""",
 )
 def stream_quarantine_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The kept text of messages that are no JSON; the wrong-typed ones are JSON objects."""
+    """The kept text of every message that did not parse whole."""
     kept = scan_quarantine(spark, drained_mixed(spark, sf_dir, True))
-    text = F.col("_corrupt_record")
-    return kept.where(text.startswith("not json ")).select(F.substring(text, 10, 20).cast("bigint").alias("event_id"))
+    return kept.select(F.col("_corrupt_record").alias("message"))
 
 
 @query("run_stream", ORDER_EVENTS_SQL)
 def run_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "stream")
     stage_messages(spark, sf_dir, f"{base}/in")
-    run_stream(spark, StreamConfig(text_source(f"{base}/in"), f"{base}/out", f"{base}/checkpoint", timeout=TIMEOUT))
+    run_stream(spark, StreamConfig(text_source(f"{base}/in"), f"{base}/out", f"{base}/checkpoint"))
     return scan_events(spark, f"{base}/out").drop("ingested_at")
+
+
+@query("run_stream_batches", "SELECT true AS batch_per_file, CAST(0 AS BIGINT) AS batches_again")
+def run_stream_batches_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of a run that takes one file at a time, against the files, and of a run after it."""
+    base = scratch_path(spark, "batches")
+    for status in ("F", "O", "P"):
+        stage_messages(spark, sf_dir, f"{base}/in", F.col("o_orderstatus") == status)
+    files = spark.read.format("binaryFile").load(f"{base}/in").select("path").count()
+    config = StreamConfig(text_source(f"{base}/in", files_per_batch=1), f"{base}/out", f"{base}/checkpoint")
+    batches, again = run_stream(spark, config), run_stream(spark, config)
+    return spark.range(1).select(
+        F.lit(batches == files).alias("batch_per_file"), F.lit(again).cast("bigint").alias("batches_again")
+    )

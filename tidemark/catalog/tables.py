@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import query
 from tidemark.catalog.inputs import GOLD_SQL, RAW_SQL, SILVER_SQL, raw_customers, table
-from tidemark.config import GOLD_SCHEMA, SILVER_SCHEMA, JobConfig, ModelParams
+from tidemark.config import GOLD_SCHEMA, MIN_ROWS, SILVER_SCHEMA, JobConfig, ModelParams
 from tidemark.operators.metrics import auc_roc
 from tidemark.operators.stages import bronze_to_silver, silver_to_gold
 from tidemark.plans.batch import build_gold, build_silver
@@ -15,7 +15,7 @@ from tidemark.session import scratch_path
 from tidemark.sources.runs import log_run, scan_runs
 from tidemark.sources.tables import inspect_schema, scan_csv, scan_table, write_overwrite
 
-_ORDER_COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority"
+_ORDER_COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
 
 
 @query("scan_csv", f"SELECT {_ORDER_COLUMNS} FROM orders")
@@ -32,7 +32,8 @@ def scan_csv_inferred_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "orders-csv")
     orders.write.option("header", True).csv(path)
     inferred = scan_csv(spark, path, infer=True)
-    return inferred.withColumns({c: F.col(c).cast("bigint") for c in ("o_orderkey", "o_custkey")})
+    kinds = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderdate": "timestamp_ntz"}
+    return inferred.withColumns({name: F.col(name).cast(kind) for name, kind in kinds.items()})
 
 
 @query("scan_table", SILVER_SQL)
@@ -109,7 +110,13 @@ def staged_batch(spark: SparkSession, sf_dir: str) -> JobConfig:
     raw.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option(
         "ignoreTrailingWhiteSpace", False
     ).csv(raw_path)
-    return JobConfig.under(base, raw_path, min_rows=1)
+    return JobConfig.under(base, raw_path, min_rows=least_rows(raw))
+
+
+def least_rows(raw: DataFrame) -> int:
+    """The row gate for a raw table: half of its customers, at most the usual gate."""
+    customers = raw.agg(F.count_distinct("customerID").alias("n")).first()["n"]
+    return min(MIN_ROWS, max(1, customers // 2))
 
 
 @query("scan_csv_raw", RAW_SQL)

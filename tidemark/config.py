@@ -139,11 +139,13 @@ RUN_NAME = "gradient-boosting-v1"
 REQUEST_TIMEOUT_MS = 60000
 SESSION_TIMEOUT_MS = 30000
 
-EVENT_ID_PATTERN = r"^CUST-([0-9]{5}|[1-9][0-9]{5,})$"
-ISO_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"
-
 # --- End of fixed values ---
 
+EVENT_ID_PATTERN = r"^CUST-([0-9]{5}|[1-9][0-9]{5,})$"
+# An event's time is a date, or a date and a time, in ISO 8601; the offset may be any or missing,
+# which means UTC. The text must also name a moment that exists.
+ISO_PATTERN = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$"
+
 
 @dataclass(frozen=True)
 class FeatureRules:

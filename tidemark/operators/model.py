@@ -13,16 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import CATEGORIES, FEATURES, LABEL, ModelParams
+from tidemark.operators.encode import label_encode
 from tidemark.operators.metrics import auc_roc, classification_report
 from tidemark.operators.sizing import store
 from tidemark.operators.split import stratified_split
 from tidemark.session import enable_checkpoints
 
-# The fitted encoder keeps its labels in the model, on the driver and in each task.
-MAX_LABELS = 10_000
-
-# Below this many rows a training task costs more to start than to run.
+# Below this many rows a training task costs more to start than to run; very large tables get
+# larger tasks instead of more.
 ROWS_PER_TASK = 20_000
+MAX_TASKS = 30_000
 
 
 @dataclass(frozen=True)
@@ -36,11 +36,12 @@ class Trained:
 
 
 def category_encoder(gold: DataFrame, columns: Sequence[str] = CATEGORIES) -> StringIndexerModel:
-    """An encoder fitted on all rows: codes in sort order, nulls after the last label."""
-    widths = gold.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    wide = [c for c in columns if widths[c] > MAX_LABELS]
-    if wide:
-        raise ValueError(f"{', '.join(wide)}: too many labels for an in-model encoder; use label_encode first")
+    """An encoder fitted on all rows: codes in sort order, nulls after the last label.
+
+    It keeps its labels in the model, on the driver and in each task, which suits columns of
+    a small domain; ``encode_categories`` takes any number of labels. A null and a label that
+    was not there in training share the code after the last label.
+    """
     return StringIndexer(
         inputCols=list(columns),
         outputCols=[f"{c}_enc" for c in columns],
@@ -49,6 +50,22 @@ def category_encoder(gold: DataFrame, columns: Sequence[str] = CATEGORIES) -> St
     ).fit(gold)
 
 
+def encode_categories(gold: DataFrame, columns: Sequence[str] = CATEGORIES) -> DataFrame:
+    """Gold with a code column per category; training takes these as they are.
+
+    The code tables stay distributed, so a column may have any number of labels.
+    """
+    for column in columns:
+        gold = label_encode(gold, column, f"{column}_enc")
+    return gold
+
+
+def _encoder(gold: DataFrame, features: Sequence[str]) -> list[StringIndexerModel]:
+    """The in-model encoder for those categories that are used and not encoded yet."""
+    open_ = [c for c in CATEGORIES if f"{c}_enc" in features and f"{c}_enc" not in gold.columns]
+    return [category_encoder(gold, open_)] if open_ else []
+
+
 def fill_zero(df: DataFrame, columns: Sequence[str] = FEATURES) -> DataFrame:
     """Nulls and NaNs of the listed columns as 0."""
     return df.na.fill(0, subset=list(columns))
@@ -68,7 +85,7 @@ def feature_stages(features: Sequence[str] = FEATURES) -> list:
 
 def select_features(gold: DataFrame, encoder: StringIndexerModel | None = None) -> DataFrame:
     """Gold rows with the model's input vector in ``features``."""
-    stages = [encoder or category_encoder(gold), *feature_stages()]
+    stages = [*([encoder] if encoder else _encoder(gold, FEATURES)), *feature_stages()]
     return Pipeline(stages=stages).fit(gold).transform(gold)
 
 
@@ -85,24 +102,30 @@ def classifier(params: ModelParams, label: str = LABEL) -> GBTClassifier:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Training input on as many cores as its rows are worth.
+    """Training input in a layout that follows from its rows alone.
 
-    Boosting runs hundreds of jobs over its input, so one shuffle of a small table pays off.
-    A table that already has a partition per core stays as it is.
+    The learner samples split candidates per partition, so the number of partitions, their
+    rows and their order decide the model. None of them may depend on the cluster or on how
+    the input lies. Boosting runs hundreds of jobs over its input, next to which one shuffle
+    on a unique key is small.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    tasks = min(cores, max(1, -(-df.count() // ROWS_PER_TASK)))
+    tasks = min(MAX_TASKS, max(1, -(-df.count() // ROWS_PER_TASK)))
     return df.repartition(tasks, key).sortWithinPartitions(key)
 
 
 def train_gbt(
-    gold: DataFrame, train: DataFrame, params: ModelParams | None = None, key: str = "customer_id"
+    gold: DataFrame,
+    train: DataFrame,
+    params: ModelParams | None = None,
+    key: str = "customer_id",
+    features: Sequence[str] = FEATURES,
 ) -> PipelineModel:
-    """Fit encoder (on all of gold) and trees (on the training rows) as one saved-together model."""
+    """Fit encoder (on all of gold) and trees (on the training rows) as one saved-together model.
+
+    Categories that both tables have as codes already, see ``encode_categories``, need no encoder.
+    """
     enable_checkpoints(gold.sparkSession)
-    stages = [category_encoder(gold), *feature_stages(), classifier(params or ModelParams())]
+    stages = [*_encoder(gold, features), *feature_stages(features), classifier(params or ModelParams())]
     return Pipeline(stages=stages).fit(spread(train, key))
 
 

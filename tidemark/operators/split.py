@@ -55,17 +55,21 @@ def stratified_split(
     Within each class the rows with the smallest keys are the training part. The boundary
     key of each class is found by counting rows per key prefix, so only counts are
     shuffled; the rows themselves get their part from a comparison in a narrow pass.
-    ``id_column`` must be unique and not null: rows with the same id go to the same part.
+    A null id or label is an error. Ids should be unique: rows with the same id go to the same
+    part, so a repeated id at a class's boundary moves the ratio by as many rows.
     ``df`` is read a few times, mostly for two columns, so it should be a stored table.
     """
     label = F.col(label_column)
     open_keys = df.select(label.alias("_class"), split_key(id_column, seed).alias("_key"))
     counts = _prefix_counts(open_keys, _STEP)
 
-    sizes = counts.groupBy("_class").agg(F.sum("n").alias("n")).limit(MAX_CLASSES + 1).collect()
+    nameless = F.coalesce(F.sum(F.when(F.col("_prefix").isNull(), F.col("n"))), F.lit(0)).alias("nameless")
+    sizes = counts.groupBy("_class").agg(F.sum("n").alias("n"), nameless).limit(MAX_CLASSES + 1).collect()
     class_rows = {size["_class"]: size["n"] for size in sizes}
+    if any(size["nameless"] for size in sizes):
+        raise ValueError(f"{sum(size['nameless'] for size in sizes)} rows with null in {id_column}")
     if None in class_rows:
-        raise ValueError(f"null in {label_column}")
+        raise ValueError(f"{class_rows[None]} rows with null in {label_column}")
     if len(class_rows) > MAX_CLASSES:
         raise ValueError(f"{label_column} has more than {MAX_CLASSES} classes")
     quotas = train_quotas(class_rows, test_size)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import SparkSession
 
 from tidemark.sources.streams import StreamSource
-from tidemark.streaming.bronze import stream_bronze
+from tidemark.streaming.bronze import last_batch, stream_bronze
 
 
 @dataclass(frozen=True)
@@ -21,8 +21,12 @@ class StreamConfig:
 
 
 def run_stream(spark: SparkSession, config: StreamConfig) -> int:
-    """Drain the source into the event table; returns the number of batches run."""
-    query = stream_bronze(
+    """Drain the source into the event table; returns the number of batches run.
+
+    Batches are numbered in the checkpoint, so the count holds however many there are.
+    """
+    before = last_batch(spark, config.checkpoint)
+    stream_bronze(
         spark,
         config.source,
         config.path,
@@ -31,4 +35,4 @@ def run_stream(spark: SparkSession, config: StreamConfig) -> int:
         config.table_format,
         config.timeout,
     )
-    return sum(1 for progress in query.recentProgress if progress.numInputRows > 0)
+    return last_batch(spark, config.checkpoint) - before

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+# Set to true where a folder without a scheme of its own, or with file:, is a mount all machines share.
+MOUNTED_CONF = "spark.tidemark.mountedFolder"
+
+_RUN: contextvars.ContextVar[str | None] = contextvars.ContextVar("run", default=None)
 
 _MB = 1024 * 1024
 
@@ -51,16 +58,26 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, named by the session's own setting.
 
     Only a local session without the setting gets a temporary folder: on a cluster such a
-    folder would vanish with the machine that holds it.
+    folder would vanish with the machine that holds it. For the same reason a cluster's
+    setting must not be a path of one machine.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None)
+    local = spark.sparkContext.master.startswith("local")
     if configured:
+        if not local and _scheme(spark, configured) == "file" and spark.conf.get(MOUNTED_CONF, "false") != "true":
+            raise RuntimeError(f"{CHECKPOINT_CONF} is {configured}, a folder of one machine; see {MOUNTED_CONF}")
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
     return _local_dir(spark.sparkContext.applicationId)
 
 
+def _scheme(spark: SparkSession, path: str) -> str:
+    """The file system of a path: its own, or the default one."""
+    full = path if ":" in path.split("/")[0] else spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS")
+    return full.split(":")[0]
+
+
 @functools.cache
 def _local_dir(application_id: str) -> str:
     return tempfile.mkdtemp(prefix=f"tidemark-{application_id}-")
@@ -73,5 +90,24 @@ def enable_checkpoints(spark: SparkSession) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; nothing is created there yet."""
-    return f"{shared_dir(spark)}/tidemark-scratch/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; nothing is created there yet.
+
+    What is written there stays until ``run_scratch`` ends, or, outside of it, until whoever
+    owns the shared folder removes it: frames that read it may outlive the function that wrote it.
+    """
+    run = _RUN.get()
+    below = "tidemark-scratch" if run is None else f"tidemark-scratch/{run}"
+    return f"{shared_dir(spark)}/{below}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def run_scratch(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables of one job, in a folder of their own that goes when the job ends."""
+    run = f"run-{uuid.uuid4().hex}"
+    token = _RUN.set(run)
+    try:
+        yield
+    finally:
+        _RUN.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark-scratch/{run}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.config import EVENT_SCHEMA
@@ -74,11 +76,43 @@ def stream_bronze(
     return drain(write_stream_append(events, path, checkpoint, fmt, partition_by), timeout)
 
 
+def last_batch(spark: SparkSession, checkpoint: str) -> int:
+    """The number of the last finished batch of a stream, -1 before the first.
+
+    Old numbers are removed from a checkpoint after a while, the last one never.
+    """
+    commits = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9]*")
+    try:
+        names = commits.load(f"{checkpoint}/commits").select(F.regexp_extract("path", "([0-9]+)$", 1).alias("n"))
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return -1
+        raise
+    last = names.agg(F.max(F.col("n").cast("bigint")).alias("n")).first()["n"]
+    return -1 if last is None else last
+
+
+def _stored(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    """The event table with its quarantine column, also before it has a row."""
+    try:
+        table = spark.read.format(fmt).load(path)
+    except AnalysisException as error:
+        # This error has no condition of its own.
+        if "Unable to infer schema" not in str(error):
+            raise
+        added = [(CORRUPT, T.StringType()), ("ingested_at", T.TimestampType()), (QUARANTINED, T.IntegerType())]
+        fields = [*EVENT_SCHEMA.fields, *[T.StructField(name, kind) for name, kind in added]]
+        return spark.createDataFrame([], T.StructType(fields))
+    if QUARANTINED not in table.columns:
+        raise ValueError(f"{path} was written with separate_corrupt=False and has no quarantine: read it as a table")
+    return table
+
+
 def scan_events(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """The events that parsed whole; the filter prunes the quarantined folder."""
-    return spark.read.format(fmt).load(path).where(F.col(QUARANTINED) == 0).drop(QUARANTINED, CORRUPT)
+    return _stored(spark, path, fmt).where(F.col(QUARANTINED) == 0).drop(QUARANTINED, CORRUPT)
 
 
 def scan_quarantine(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """The messages that did not, with their text."""
-    return spark.read.format(fmt).load(path).where(F.col(QUARANTINED) == 1).drop(QUARANTINED)
+    return _stored(spark, path, fmt).where(F.col(QUARANTINED) == 1).drop(QUARANTINED)
