@@ -1,0 +1,73 @@
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm.imatch import IMatchParams, fingerprint_edits, lexicon, term_numbers, with_next
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    def word(k):
+        return F.concat(F.lit("w"), F.pmod(F.xxhash64("id", k), F.lit(900)).cast("string"))
+
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(120)), word), " ")
+    return spark.range(400).select((F.col("id") * 3 + 50).alias("doc_id"), text.alias("text"))
+
+
+def edited(rows):
+    """Expected edited text by place, for ``(id, text)`` in order."""
+    out = []
+    for i, (_, text) in enumerate(rows):
+        cut = len(text) // 4
+        out.append(text[: len(text) - cut] + rows[(i + 1) % len(rows)][1][:cut])
+    return out
+
+
+def test_edits_and_likeness(corpus):
+    out = sorted(fingerprint_edits(corpus).collect(), key=lambda r: r.doc_id)
+    rows = sorted((r.doc_id, r.text) for r in corpus.collect())
+    assert [r.doc_id for r in out] == [i for i, _ in rows]
+    assert [r.edited_sha256 for r in out] == [hashlib.sha256(t.encode()).hexdigest() for t in edited(rows)]
+    near = sum(r.near_edited for r in out) / len(out)
+    far = sum(r.near_next for r in out) / len(out)
+    assert near > 0.2 > 0.08 > far
+
+
+def test_lexicon_is_the_band(corpus):
+    params = IMatchParams(min_share=0.12, max_share=0.14)
+    seen = {}
+    texts = [r.t for r in corpus.select(term_numbers(F.col("text"), params).alias("t")).collect()]
+    for terms in texts:
+        for t in terms:
+            seen[t] = seen.get(t, 0) + 1
+    expected = sorted(t for t, n in seen.items() if 0.12 * len(texts) <= n <= 0.14 * len(texts))
+    assert lexicon(corpus, params) == expected and expected
+
+
+def test_odd_rows(odd, odd_rows):
+    out = fingerprint_edits(odd).collect()
+    assert len(out) == len(odd_rows)
+    same = {r.fingerprint for r in out if r.doc_id in (6, 7)}
+    assert len(same) == 1
+    texts = {r[0]: r[1] or "" for r in odd_rows}
+    assert all(r.n_chars == len(texts[r.doc_id]) for r in out)
+    empty = [r for r in out if r.n_chars == 0]
+    assert len({r.fingerprint for r in empty}) == 1 and all(r.near_edited == 1.0 for r in empty)
+    order = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    expected = sorted(hashlib.sha256(t.encode()).hexdigest() for t in edited([(r[0], r[1] or "") for r in order]))
+    assert sorted(r.edited_sha256 for r in out) == expected
+
+
+def test_one_document_and_none(odd):
+    one = fingerprint_edits(odd.where("doc_id = 8")).first()
+    assert one.near_next == 1.0
+    assert fingerprint_edits(odd.limit(0)).count() == 0
+
+
+def test_each_row_is_in_one_range_and_ranges_have_guests(corpus):
+    rows = with_next(corpus, rows_per_bucket=1).collect()
+    own = [r for r in rows if r["_turn"] == 0]
+    assert len(own) == 400 and len({r["_bucket"] for r in own}) > 100
+    assert len([r for r in rows if r["_turn"] == 1]) == len({r["_bucket"] for r in own}) - 1
+    assert len([r for r in rows if r["_turn"] == 2]) == 1

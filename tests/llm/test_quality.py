@@ -1,0 +1,76 @@
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm.quality import QualityParams, base_counts, quality_rules
+
+
+def brute(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    often = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(3)}
+    lines = [line for line in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+    return (
+        len(words),
+        sum(map(len, words)),
+        len(re.findall(r"[#*$%&|<>]", text)),
+        len(lines) - len(set(lines)),
+        len(covered),
+    )
+
+
+TEXTS = [
+    "a b c a b c a b c",
+    "x y z\nx y z\n \nx y z",
+    "# * $\n\n|<>| && %",
+    "a a a a",
+    "a b c d e f g",
+    "w " * 200,
+    "p q r s p q r t p q r",
+]
+
+
+def test_base_counts_equal_brute_force(spark, odd, odd_rows):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    for frame, texts in ((docs, TEXTS), (odd, [r[1] for r in odd_rows])):
+        counted, name = base_counts(frame)
+        got = sorted(map(tuple, counted.select(f"{name}.*").collect()))
+        assert got == sorted(map(brute, texts))
+
+
+def test_verdicts(spark, odd, labels):
+    good = [(100 + i, " ".join(f"word{(i * 7 + k * k) % 97}" for k in range(80))) for i in range(40)]
+    bad = [(200 + i, " ".join(f"junk{(i * 5 + k * k) % 89}!!" for k in range(80))) for i in range(40)]
+    rows = [(i, t, "en", "s") for i, t in good + bad]
+    docs = odd.select("doc_id", "text", "lang", "source").unionByName(
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    )
+    marks = spark.createDataFrame(
+        [(i, 1, 0) for i, _ in good[:30]] + [(i, 0, 0) for i, _ in bad[:30]], "doc_id long, quality int, toxic int"
+    )
+    scored, name = quality_rules(docs, marks)
+    assert scored.columns == [*docs.columns, name]
+    verdict = {r["doc_id"]: r for r in scored.select("doc_id", f"{name}.*").collect()}
+    assert all(verdict[i]["kept"] for i, _ in good)
+    assert not any(verdict[i]["kept"] for i, _ in bad)
+    assert verdict[1]["base_failed"] and verdict[1]["score"] is None
+    assert verdict[10]["base_failed"]  # long, but repeats itself
+
+
+def test_clashing_columns_stay(odd, labels):
+    scored, name = quality_rules(odd, labels)
+    assert name not in odd.columns and scored.columns == [*odd.columns, name]
+    assert scored.count() == odd.count()
+
+
+@pytest.mark.parametrize("trusted", [0, 5])
+def test_empty_table_and_no_labels(odd, labels, trusted):
+    params = QualityParams(trusted_rows=max(1, trusted))
+    scored, name = quality_rules(odd.limit(0), labels.limit(trusted), params)
+    assert scored.count() == 0
+    scored, name = quality_rules(odd, labels.limit(0), params)
+    assert scored.where(~F.col(name)["base_failed"] & ~F.col(name)["kept"]).count() == 0

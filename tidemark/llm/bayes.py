@@ -45,13 +45,16 @@ class SiteParams:
 
 def _sample(labels: DataFrame, params: SiteParams) -> DataFrame:
     """``doc_id, good, part``: a bounded number of labelled documents of each kind."""
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("good"))
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("good"))
     order = F.xxhash64("doc_id", F.lit(params.seed))
     kinds = [known.where(F.col("good") == k).orderBy(order, "doc_id").limit(params.labelled_rows) for k in (0, 1)]
     return kinds[0].unionByName(kinds[1]).withColumn("part", F.pmod(order, F.lit(2)))
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, params: SiteParams) -> tuple[list[float], list[tuple[float, float]]]:
+def fit_classifier(
+    docs: DataFrame, labels: DataFrame, params: SiteParams
+) -> tuple[list[float], list[tuple[float, float]]]:
     """Log ratio per bucket, and ``(least score, probability)`` steps that never fall."""
     sample = F.broadcast(_sample(labels, params))
     rows = store(docs.select("doc_id", "text").join(sample, "doc_id"))
@@ -63,7 +66,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, params: SiteParams) -> tu
     size = params.buckets
     ratio = [
         round(
-            math.log((counts[1].get(b, 0) + 1) / (totals[1] + size)) - math.log((counts[0].get(b, 0) + 1) / (totals[0] + size)),
+            math.log((counts[1].get(b, 0) + 1) / (totals[1] + size))
+            - math.log((counts[0].get(b, 0) + 1) / (totals[0] + size)),
             6,
         )
         for b in range(size)
@@ -150,9 +154,9 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, DataFrame, float]:
     all_ = hosts.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
     rate = all_["total"] / all_["n"] if all_["n"] else 0.5
     k = _strength(hosts.withColumn("above", F.lit(rate)), "above")
-    hosts = store(
-        hosts.select("host", "n", ((F.lit(k * rate) + F.col("total")) / (F.col("n") + k)).alias("host_posterior"), (F.col("total") / F.col("n")).alias("host_mean"))
-    )
+    posterior = (F.lit(k * rate) + F.col("total")) / (F.col("n") + k)
+    mean = F.col("total") / F.col("n")
+    hosts = store(hosts.select("host", "n", posterior.alias("host_posterior"), mean.alias("host_mean")))
     below = _joined(paths, hosts.select("host", "host_posterior", "host_mean"), ["host"])
     q = _strength(below, "host_mean")
     paths = below.select(

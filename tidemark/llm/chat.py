@@ -204,7 +204,8 @@ def conversation_tree(conversations: DataFrame) -> DataFrame:
     offsets = F.broadcast(part_offsets(placed, "_one", "_before"))
     numbered = placed.join(offsets, "_part").withColumn("id", F.col("_before") + F.col("_row"))
     numbered = store(numbered.select("id", "conv_id", "role", "text"))
-    before = numbered.select((F.col("id") + 1).alias("id"), F.col("conv_id").alias("_conv"), F.lit(True).alias("_there"))
+    there = F.lit(True).alias("_there")
+    before = numbered.select((F.col("id") + 1).alias("id"), F.col("conv_id").alias("_conv"), there)
     same = F.coalesce(F.col("_there"), F.lit(False)) & F.col("conv_id").eqNullSafe(F.col("_conv"))
     return numbered.join(before, "id", "left").select(
         "id", F.when(same, F.col("id") - 1).alias("parent"), "conv_id", "role", "text", F.lit(1.0).alias("score")
@@ -219,7 +220,8 @@ def chat_digest(conversations: DataFrame) -> DataFrame:
     back = formatted.join(names, "top").select(
         "conv_id", "formatted", read_turns(F.col("formatted")).alias("_turns"), read_loss(F.col("mask")).alias("_loss")
     )
-    said = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    line = F.lit("\n")
+    said = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], line, t["text"], line)), "")
     return back.select(
         "conv_id",
         F.size("_turns").cast("bigint").alias("n_turns"),
@@ -248,8 +250,10 @@ def digest_sql() -> str:
         SELECT conv_id, count(*) AS n_turns,
           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
           cast(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS bigint) AS loss_chars,
-          sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+          sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))
+            AS loss_sha256,
           cast(sum(length({escaped("role")}) + length({escaped("text")})
-            + (length(role) - length(replace(role, chr(10), ''))) + {len(OPEN) + len(CLOSE) + 1}) AS bigint) AS formatted_chars
+            + (length(role) - length(replace(role, chr(10), ''))) + {len(OPEN) + len(CLOSE) + 1}) AS bigint)
+            AS formatted_chars
         FROM rows GROUP BY conv_id
     """

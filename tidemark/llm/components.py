@@ -37,7 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     stars, mark = store(pairs.where("u > v").distinct()), None
     while True:
-        now = stars.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
+        mixed = F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))
+        now = stars.agg(F.count(F.lit(1)).alias("n"), mixed.alias("h")).first()
         if now == mark or not now["n"]:
             break
         mark = now

@@ -127,8 +127,11 @@ def _range_of(value: Column, splits: list[int]) -> Column:
 
     def count(d: Column) -> Column:
         whole = F.size(F.filter(d["last"], lambda x: x <= value))
-        rest = let(whole, lambda w: w * block + F.size(F.filter(F.slice(d["all"], w * block + 1, block), lambda x: x <= value)))
-        return rest
+
+        def more(w: Column) -> Column:
+            return w * block + F.size(F.filter(F.slice(d["all"], w * block + 1, block), lambda x: x <= value))
+
+        return let(whole, more)
 
     inside = let(F.struct(last.alias("last"), const_array(splits, "bigint").alias("all")), count)
     return F.coalesce(F.when(value.isNotNull(), inside), F.lit(0))
@@ -178,12 +181,10 @@ def fingerprint_edits(docs: DataFrame, params: IMatchParams | None = None) -> Da
     edited = F.concat(
         F.substr("_text", F.lit(1), n - cut), F.substr(F.coalesce("_next", F.lit("")), F.lit(1), cut)
     )
-    rows = rows.select("_bucket", "_turn", "_id", "_tie", "_text", n.cast("bigint").alias("n_chars"), edited.alias("_edited"))
+    place = ("_bucket", "_turn", "_id", "_tie")
+    rows = rows.select(*place, "_text", n.cast("bigint").alias("n_chars"), edited.alias("_edited"))
     rows = rows.select(
-        "_bucket",
-        "_turn",
-        "_id",
-        "_tie",
+        *place,
         "n_chars",
         F.sha2("_edited", 256).alias("edited_sha256"),
         fingerprint(F.col("_text"), bits, params).alias("_print"),

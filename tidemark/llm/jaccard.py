@@ -49,7 +49,8 @@ class JaccardParams:
     """``percent``: least similarity. ``groups``: length of a count vector.
 
     ``growth``: sizes of one directory level span this factor. ``chunk``: most classes one task
-    takes of an entry or a comparison at a time; larger ones are cut and all pairs of cuts done.
+    takes of an entry at a time; larger ones are cut and all pairs of cuts done. ``compared``:
+    about how many texts are compared with one in a group.
     """
 
     words: int = 5
@@ -57,6 +58,7 @@ class JaccardParams:
     groups: int = 64
     growth: float = 1.4
     chunk: int = 512
+    compared: int = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -84,7 +86,7 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
 def _levels(size: int, params: JaccardParams) -> list[tuple[int, int]]:
     """The directory levels of a set: number and upper bound of sizes.
 
-    A set also enters the next level if a similar larger one can be there.
+    A set also enters each higher level in which a similar larger one can be.
     """
     low, number = 1, 0
     while True:
@@ -93,8 +95,9 @@ def _levels(size: int, params: JaccardParams) -> list[tuple[int, int]]:
             break
         low, number = high, number + 1
     out = [(number, high)]
-    if size * 100 >= params.percent * high:
-        out.append((number + 1, max(high + 1, int(high * params.growth))))
+    while size * 100 >= params.percent * high:
+        high, number = max(high + 1, int(high * params.growth)), number + 1
+        out.append((number, high))
     return out
 
 
@@ -254,13 +257,13 @@ def _entries(classes: DataFrame) -> DataFrame:
 def _compare(pairs: DataFrame, texts: DataFrame, params: JaccardParams) -> DataFrame:
     """The pairs ``a, b`` whose sets are similar, found from the texts.
 
-    Pairs are grouped by ``a``, at most about a chunk of them in one group; its text comes
+    Pairs are grouped by ``a``, about ``compared`` of them in one group; its text comes
     first, and those to compare with it pass by one at a time.
     """
     many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     salted = store(
         pairs.join(store(many), "a").select(
-            "a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / params.chunk)).cast("int").alias("salt")
+            "a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / params.compared)).cast("int").alias("salt")
         )
     )
     none = F.lit(None).cast("bigint")
@@ -380,12 +383,13 @@ def jaccard_groups(docs: DataFrame, params: JaccardParams | None = None) -> tupl
     """
     params = params or JaccardParams()
     table, c = sketch(docs, params)
-    slim = table.select(
-        F.col(c["row"]).alias("row"), F.col(c["n"]).alias("n"), F.col(c["h1"]).alias("h1"), F.col(c["h2"]).alias("h2"), "doc_id"
+    slim = table.select(*[F.col(c[name]).alias(name) for name in ("row", "n", "h1", "h2")], "doc_id")
+    lonely = slim.where("n = 0").select(
+        "row", F.col("row").alias("group"), F.col("doc_id").alias("group_id"), F.lit(True).alias("first")
     )
-    lonely = slim.where("n = 0").select("row", F.col("row").alias("group"), F.col("doc_id").alias("group_id"), F.lit(True).alias("first"))
     # One row per set; copies of one text are summed up in the tasks first.
-    classes = store(slim.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("row").alias("id"), F.min("doc_id").alias("least")))
+    classes = slim.where("n > 0").groupBy("h1", "h2", "n")
+    classes = store(classes.agg(F.min("row").alias("id"), F.min("doc_id").alias("least")))
     mine = F.col(c["row"]) == F.col("id")
     points = store(
         table.where(F.col(c["n"]) > 0)

@@ -42,12 +42,12 @@ class MixParams:
     fills: int = 4
 
 
-def targets(sizes: list[int], weights: list[float], rounds: int) -> list[float]:
-    """All words shared out by weight, none more than ``rounds`` times a size; what is over goes to the others."""
-    out, total = [0.0] * len(sizes), float(sum(sizes))
+def targets(sizes: list[int], weights: list[float], rounds: int, total: int | None = None) -> list[float]:
+    """``total`` (all sizes) shared out by weight, none more than ``rounds`` times a size; the rest goes to the others."""
+    out, whole = [0.0] * len(sizes), float(sum(sizes) if total is None else total)
     open_ = set(range(len(sizes)))
     while open_:
-        share = (total - sum(out[i] for i in range(len(sizes)) if i not in open_)) / sum(weights[i] for i in open_)
+        share = (whole - sum(out[i] for i in range(len(sizes)) if i not in open_)) / sum(weights[i] for i in open_)
         full = {i for i in open_ if share * weights[i] > rounds * sizes[i]}
         for i in full or open_:
             out[i] = float(rounds * sizes[i]) if full else share * weights[i]
@@ -154,7 +154,8 @@ def _cuts(sized: DataFrame, wanted: DataFrame, fills: int) -> DataFrame:
     inside = rows
     for bits in (48, 32):
         part = F.shiftright("hash", bits)
-        counts = store(inside.groupBy("pattern", part.alias("part")).agg(F.sum("size").alias("n"), F.first("rest").alias("rest")))
+        counts = inside.groupBy("pattern", part.alias("part"))
+        counts = store(counts.agg(F.sum("size").alias("n"), F.first("rest").alias("rest")))
         counts = _joined(counts, ranges, "pattern")
         upto = Window.partitionBy("pattern").orderBy("part")
         counts = counts.withColumn("end", F.col("low") + F.sum("n").over(upto))
@@ -218,7 +219,8 @@ def plan_mix(docs: DataFrame, sources: Column | None = None, params: MixParams |
     weights = [params.weights[i % len(params.weights)] for i in range(len(names))]
     rounds = len(params.costs)
     # All words are shared out once, whatever belongs to several sources.
-    wanted = targets(sizes, weights, rounds) if sum(sizes) else [0.0] * len(sizes)
+    total = sum(n for _, n in patterns)
+    wanted = targets(sizes, weights, rounds, total) if total else [0.0] * len(sizes)
     given = route(patterns, [round(t) for t in wanted], params.costs)
     plan, rest = [], []
     for row, (_, n), words_ in zip(totals, patterns, given, strict=True):
@@ -257,7 +259,8 @@ def mix_digest(docs: DataFrame, params: MixParams | None = None) -> DataFrame:
     """Every document with its size, its source's size and target, and the words the mix takes."""
     plan, shown, sized = plan_mix(docs, None, params)
     # A document's pattern is its one source here.
-    named = shown.withColumn("pattern", F.to_json(F.struct(F.array("source").alias("m")), {"ignoreNullFields": "false"}))
+    one = F.to_json(F.struct(F.array("source").alias("m")), {"ignoreNullFields": "false"})
+    named = shown.withColumn("pattern", one)
     return _joined(sized, store(plan.join(named, "pattern")), "pattern").select(
         "doc_id", "size", "source_size", "target", (F.col("size") * _copies()).alias("taken")
     )
@@ -271,5 +274,6 @@ def mix(docs: DataFrame, sources: Column | None = None, params: MixParams | None
     whole = fresh(docs, "_mix_row")
     rows = docs.select(F.struct(*columns).alias(whole), *_keys(sources, params))
     counted = _joined(rows, plan, "pattern").withColumn("copies", _copies())
-    each = counted.where("copies > 0").select(whole, F.explode_outer(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    times = F.array_repeat(F.lit(1), F.col("copies").cast("int"))
+    each = counted.where("copies > 0").select(whole, F.explode_outer(times))
     return each.select(*[F.col(whole)[c].alias(c) for c in columns])

@@ -44,8 +44,8 @@ FIRST_NAMES = (
 CALLING_CODES = r"^\+(?:1|7|20|27|3[0-9]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])[^0-9]"
 DOMAINS = r"\.(?:com|org|net|edu|gov|io|co|de|fr|es|it|nl|uk|eu|info)$"
 CONTEXT = (
-    r"(?:phone|tel|mobile|cell|call|fax|mail|contact|reach|card|visa|account|iban|ssn|passport|address|name is|mr|mrs|ms|dr)"
-    r"[\x20.:#=]*$"
+    r"(?:phone|tel|mobile|cell|call|fax|mail|contact|reach|card|visa|account|iban|ssn|passport|address|name is"
+    r"|mr|mrs|ms|dr)[\x20.:#=]*$"
 )
 AGAINST = r"(?:order|page|version|isbn|issue|invoice|total|year|figure|table|chapter|line|id|no|nr|section)[\x20.:#=]*$"
 
@@ -258,14 +258,16 @@ def pii_digest(found: DataFrame) -> DataFrame:
     """Counts per base kind, a hash of the base spans, and all spans as text."""
 
     def named(spans: Column) -> Column:
-        return F.array_join(
-            F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))),
-            ",",
-        )
+        def name(s: Column) -> Column:
+            return F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))
+
+        return F.array_join(F.transform(spans, name), ",")
 
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
     base = F.filter("spans", lambda s: s["base"])
     counts = [count(kind) for kind in BASE]
-    return found.select("doc_id", *counts, F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+    return found.select(
+        "doc_id", *counts, F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans")
+    )

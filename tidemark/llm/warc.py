@@ -27,7 +27,10 @@ from pyspark.sql import types as T
 
 from tidemark.llm.text import SPACE
 
-RECORD = "type string, record_id string, refers_to string, target_uri string, payload_digest string, block_digest string, header string, block string"
+RECORD = (
+    "type string, record_id string, refers_to string, target_uri string, "
+    "payload_digest string, block_digest string, header string, block string"
+)
 
 _TAG = re.compile(r"<!--|<(/?)([A-Za-z][A-Za-z0-9]*)([^<>]*)>|<[!?][^<>]*>")
 _HREF = re.compile(r"""(?i)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
