@@ -28,8 +28,9 @@ SYMBOLS = "[#*$%&|<>]"
 class QualityParams:
     """``trusted_rows`` bounds the labelled documents the target is fitted on.
 
-    Those with the smallest seeded hashes are used. The threshold is the score that the share
-    ``tail`` of them stays below, less ``margin``: both are wide, because a rejected document
+    Those with the smallest seeded hashes are used, half to fit the target and half to set the
+    threshold. That is the score that the share ``tail`` of the second half stays below, as far
+    below again as their median is above, less ``margin``: wide, because a rejected document
     is lost and a doubtful one is not.
     """
 
@@ -110,10 +111,11 @@ def hashed_ngrams(docs: DataFrame, text: str, buckets: int, *keep: Column | str)
 
 
 def trusted_ids(labels: DataFrame, params: QualityParams) -> DataFrame:
-    """Ids of good, harmless documents: all, or a bounded number by seeded hash."""
+    """Ids of good, harmless documents: all, or a bounded number by seeded hash, in two halves."""
     good = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0) & F.col("doc_id").isNotNull())
-    ranked = good.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(params.seed)), "doc_id")
-    return ranked.limit(params.trusted_rows)
+    order = F.xxhash64("doc_id", F.lit(params.seed))
+    ranked = good.select("doc_id").distinct().orderBy(order, "doc_id").limit(params.trusted_rows)
+    return ranked.withColumn("_half", F.pmod(order, F.lit(2)))
 
 
 def fit_ratio(docs: DataFrame, labels: DataFrame, params: QualityParams) -> tuple[list[float], float]:
@@ -123,30 +125,41 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, params: QualityParams) -> tupl
     driver gets one row per bucket.
     """
     size = params.buckets
-    trusted = hashed_ngrams(
-        docs.join(F.broadcast(trusted_ids(labels, params)), "doc_id", "left_semi"), "text", size
-    )
+    # The threshold comes from trusted documents that the target was not fitted on.
+    marked = docs.select("doc_id", "text").join(F.broadcast(trusted_ids(labels, params)), "doc_id")
+    trusted = hashed_ngrams(marked, "text", size, "_half")
     raw = ngram_counts(hashed_ngrams(docs, "text", size))
-    good = ngram_counts(trusted)
+    good = ngram_counts(trusted.where("_half = 0"))
     a, total, good_total = params.smoothing, sum(raw.values()), sum(good.values())
     if not good_total:
         return [0.0] * size, -math.inf
     ratio = [
         round(
-            math.log((good.get(b, 0) + a) / (good_total + a * size)) - math.log((raw.get(b, 0) + a) / (total + a * size)),
+            math.log((good.get(b, 0) + a) / (good_total + a * size))
+            - math.log((raw.get(b, 0) + a) / (total + a * size)),
             6,
         )
         for b in range(size)
     ]
     # Whole thousandths: a bounded histogram that is the same in every run.
-    scored = trusted.select(F.floor(1000 * ngram_score(F.col("_grams"), ratio)).alias("bin")).where("bin IS NOT NULL")
-    bins = sorted((r["bin"], r["n"]) for r in scored.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect())
-    below, wanted = 0, params.tail * sum(n for _, n in bins)
-    for edge, n in bins:
+    # Nulls go here and not in the plan: Spark would test for them below the join, on all documents.
+    scored = trusted.where("_half = 1").select(F.floor(1000 * ngram_score(F.col("_grams"), ratio)).alias("bin"))
+    counted = scored.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()
+    bins = sorted((r["bin"], r["n"]) for r in counted if r["bin"] is not None)
+    if not bins:
+        return ratio, -math.inf
+    low, middle = _quantile(bins, params.tail), _quantile(bins, 0.5)
+    return ratio, (2 * low - middle) / 1000 - params.margin
+
+
+def _quantile(bins: list[tuple[int, int]], share: float) -> int:
+    """The first value that more than ``share`` of all are at or below."""
+    below, wanted = 0, share * sum(n for _, n in bins)
+    for value, n in bins:
         below += n
         if below > wanted:
-            return ratio, edge / 1000 - params.margin
-    return ratio, -math.inf
+            break
+    return value
 
 
 def ngram_counts(hashed: DataFrame) -> dict[int, int]:
