@@ -7,8 +7,11 @@ from tidemark.llm.components import components
 from tidemark.llm.jaccard import (
     CountTree,
     JaccardParams,
+    _pack,
+    _unpack,
     block_keys,
     count_vector,
+    groups_for,
     jaccard_digest,
     keep_one,
     shingle_set,
@@ -106,6 +109,18 @@ def test_tree_search_misses_nothing_the_bound_allows(n):
         assert sorted(tree.search(counts[q], sizes[q])) == list(allowed)
 
 
+def test_vectors_of_any_length_bound_the_overlap():
+    params, r = JaccardParams(), np.random.default_rng(3)
+    for size in (3, 200, 900, 5_000):
+        a = np.unique(r.integers(0, 2**63, size).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: int(size * 0.9)], r.integers(0, 2**63, size // 3).astype(np.uint64)]))
+        # Many shingles in one group: the count is not kept, and the bound still holds.
+        crowd = np.arange(1, 400, dtype=np.uint64)
+        for x, y in ((a, b), (a, a), (np.union1d(a, crowd), np.union1d(b, crowd)), (crowd, crowd)):
+            both = _unpack([_pack(count_vector(s, groups_for(len(s), params))) for s in (x, y)])
+            assert both.min(axis=0).sum() >= len(np.intersect1d(x, y))
+
+
 def test_shingles_and_vectors():
     assert len(shingle_set(b"a b", 3)) == 1 and len(shingle_set(b"A b", 3)) == 1
     assert shingle_set(b"A b c", 3) == shingle_set(b"a\tB  C", 3)

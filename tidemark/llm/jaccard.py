@@ -39,14 +39,14 @@ from pyspark.sql import types as T
 
 from tidemark.llm.components import components
 from tidemark.llm.text import fresh
-from tidemark.operators.sizing import store
+from tidemark.operators.sizing import broadcast_if_small, store
 
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 @dataclass(frozen=True)
 class JaccardParams:
-    """``percent``: least similarity. ``groups``: length of a count vector.
+    """``percent``: least similarity. ``groups``: least length of a count vector.
 
     ``growth``: sizes of one directory level span this factor. ``chunk``: most classes one task
     takes of an entry at a time; larger ones are cut and all pairs of cuts done. ``compared``:
@@ -125,10 +125,40 @@ def block_keys(shingles: np.ndarray, params: JaccardParams) -> np.ndarray:
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
+# A count this large is not kept; it stands for any number, so that a bound stays one.
+_FULL, _ANY = 255, 1 << 24
+
+
+def groups_for(size: int, params: JaccardParams) -> int:
+    """Length of a set's vector: a power of two with about four shingles to a group.
+
+    With fewer groups the vectors of unrelated long texts are too much alike to tell apart.
+    """
+    groups = params.groups
+    while groups * 4 < size and groups < 1 << 16:
+        groups *= 2
+    return groups
+
+
 def count_vector(shingles: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount(((shingles >> np.uint64(40)) % np.uint64(groups)).astype(np.int64), minlength=groups)
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    return np.minimum(counts, _FULL).astype(np.uint8).tobytes()
+
+
+def _unpack(vectors: list[bytes]) -> np.ndarray:
+    """Vectors as rows of one length: groups of longer ones are added up to those of the shortest."""
+    length = min(map(len, vectors))
+    out = np.empty((len(vectors), length), np.int64)
+    for i, vector in enumerate(vectors):
+        counts = np.frombuffer(vector, np.uint8).astype(np.int64)
+        counts[counts == _FULL] = _ANY
+        out[i] = counts.reshape(-1, length).sum(axis=0)
+    return out
+
+
 class CountTree:
     """A packed R-tree over count vectors: leaves of near points, boxes by their upper corners."""
 
@@ -167,12 +197,12 @@ class CountTree:
         return self.order[boxes]
 
 
-_SKETCH = "n long, h1 long, h2 long, vector binary, blocks array<bigint>"
+_SKETCH = "n long, h1 long, h2 long, vector binary"
 
 
 def sketch(docs: DataFrame, params: JaccardParams) -> tuple[DataFrame, dict[str, str]]:
-    """The input with a row number, set size, set hash, vector and blocks, as a table; the added names."""
-    names = {c: fresh(docs, f"_{c}") for c in ("row", "n", "h1", "h2", "vector", "blocks")}
+    """The input with a row number, set size, set hash and vector, as a table; the added names."""
+    names = {c: fresh(docs, f"_{c}") for c in ("row", "n", "h1", "h2", "vector")}
     numbered = docs.withColumn(names["row"], F.monotonically_increasing_id())
     added = [T.StructField(names[f.name], f.dataType) for f in T._parse_datatype_string(_SKETCH).fields]
     schema = T.StructType([*numbered.schema.fields, *added])
@@ -180,17 +210,14 @@ def sketch(docs: DataFrame, params: JaccardParams) -> tuple[DataFrame, dict[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, first, second, vectors, blocks = [], [], [], [], []
+            sizes, first, second, vectors = [], [], [], []
             for text in batch.column(at):
                 value = text.as_py()
                 s = shingle_set(value.encode() if value else None, params.words)
                 sizes.append(len(s))
                 first.append(int(_mix(s + np.uint64(11)).sum() & _M))
                 second.append(int(_mix(s + np.uint64(29)).sum() & _M))
-                vectors.append(count_vector(s, params.groups).astype("<u4").tobytes())
-                blocks.append(block_keys(s, params) if len(s) else np.empty(0, np.uint64))
-            offsets = np.cumsum([0, *map(len, blocks)], dtype=np.int32)
-            flat = np.concatenate(blocks).view(np.int64) if blocks else np.empty(0, np.int64)
+                vectors.append(_pack(count_vector(s, groups_for(len(s), params))))
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns,
@@ -198,7 +225,6 @@ def sketch(docs: DataFrame, params: JaccardParams) -> tuple[DataFrame, dict[str,
                     pa.array(np.array(first, np.uint64).view(np.int64)),
                     pa.array(np.array(second, np.uint64).view(np.int64)),
                     pa.array(vectors, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                 ],
                 names=schema.names,
             )
@@ -206,13 +232,31 @@ def sketch(docs: DataFrame, params: JaccardParams) -> tuple[DataFrame, dict[str,
     return store(numbered.mapInArrow(run, schema)), names
 
 
-def _entries(classes: DataFrame) -> DataFrame:
+def _among(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """Semi or anti join on a row number; the numbers are broadcast if their measured size allows it.
+
+    The rows hold texts, which then need no shuffle to be picked.
+    """
+    sent = broadcast_if_small(keys)
+    return rows.join(keys if sent is None else sent, key, how)
+
+
+def _entries(texts: DataFrame, params: JaccardParams) -> DataFrame:
     """``key, id, leader`` of the directory entries that at least two classes share.
 
-    Entries are sorted inside the partitions and passed through one by one: what is held is one
+    ``texts`` has one document of each class. Entries are sorted inside the partitions and passed through one by one: what is held is one
     batch, however many classes share an entry. The leader is an entry's least class.
     """
-    keyed = classes.select(F.explode_outer("blocks").alias("key"), "id").where("key IS NOT NULL")
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            found = [block_keys(shingle_set(t.as_py().encode(), params.words), params) for t in batch.column(1)]
+            keys = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
+            owners = np.repeat(ids, [len(k) for k in found])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(owners)], names=["key", "id"])
+
+    keyed = texts.select("id", "text").mapInArrow(keys_of, "key long, id long")
     dealt = keyed.repartition("key").sortWithinPartitions("key", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,6 +310,8 @@ def _compare(pairs: DataFrame, texts: DataFrame, params: JaccardParams) -> DataF
             "a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / params.compared)).cast("int").alias("salt")
         )
     )
+    used = store(salted.select(F.col("a").alias("id")).unionByName(salted.select(F.col("b").alias("id"))).distinct())
+    texts = _among(texts, used, "id", "left_semi")
     none = F.lit(None).cast("bigint")
     left = salted.select("a", "salt").distinct().join(texts, F.col("a") == F.col("id")).select(
         "a", "salt", none.alias("b"), "text"
@@ -303,10 +349,12 @@ def _possible(a: DataFrame, params: JaccardParams) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            va = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(batch.num_rows, -1)
-            vb = np.frombuffer(b"".join(batch.column(4).to_pylist()), "<u4").reshape(batch.num_rows, -1)
             total = batch.column(3).to_numpy() + batch.column(5).to_numpy()
-            good = (100 + percent) * np.minimum(va, vb).sum(axis=1, dtype=np.int64) >= percent * total
+            bound = [
+                _unpack([a, b]).min(axis=0).sum()
+                for a, b in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)
+            ]
+            good = (100 + percent) * np.array(bound) >= percent * total
             yield pa.RecordBatch.from_arrays(
                 [c.filter(pa.array(good)) for c in (batch.column(0), batch.column(1))], names=["a", "b"]
             )
@@ -339,9 +387,9 @@ def _tree_pairs(entries: DataFrame, labels: DataFrame, points: DataFrame, params
     )
     # Tables, so that an entry that very many share is a key Spark can split.
     open_ = store(spread.where("low < high").select("key", F.ceil(F.col("n") / params.chunk).cast("int").alias("cuts")))
-    rows = store(labelled.join(open_, "key"))
-    if rows.isEmpty():
-        return rows.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    if open_.isEmpty():
+        return labelled.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    rows = labelled.join(open_, "key")
     cut = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
     others = F.sequence(F.lit(0), F.col("cuts") - 1)
     placed = rows.select("key", "id", "component", cut.alias("cut"), F.explode_outer(others).alias("other"))
@@ -355,8 +403,7 @@ def _tree_pairs(entries: DataFrame, labels: DataFrame, points: DataFrame, params
     def run(keys: tuple, table: pa.Table) -> pa.Table:
         ids, labels_ = table.column("id").to_numpy(), table.column("component").to_numpy()
         sizes = table.column("n").to_numpy()
-        vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), "<u4").reshape(len(ids), -1)
-        vectors = vectors.astype(np.int64)
+        vectors = _unpack(table.column("vector").to_pylist())
         cuts = table.column("cut").to_numpy()
         i, j = keys[1].as_py(), keys[2].as_py()
         points_, queries = np.flatnonzero(cuts == i), np.flatnonzero(cuts == j)
@@ -390,20 +437,13 @@ def jaccard_groups(docs: DataFrame, params: JaccardParams | None = None) -> tupl
     # One row per set; copies of one text are summed up in the tasks first.
     classes = slim.where("n > 0").groupBy("h1", "h2", "n")
     classes = store(classes.agg(F.min("row").alias("id"), F.min("doc_id").alias("least")))
-    mine = F.col(c["row"]) == F.col("id")
-    points = store(
-        table.where(F.col(c["n"]) > 0)
-        .join(classes.select("id"), mine, "left_semi")
-        .select(
-            F.col(c["row"]).alias("id"),
-            F.col(c["n"]).alias("n"),
-            F.col(c["vector"]).alias("vector"),
-            F.col(c["blocks"]).alias("blocks"),
-        )
-    )
-    texts = table.select(F.col(c["row"]).alias("id"), "text")
-    entries = _entries(points)
-    vectors = points.select("id", "n", "vector")
+    copies = slim.where("n > 0").join(classes, ["h1", "h2", "n"]).where("row <> id").select(F.col("row").alias("id"))
+    copies = store(copies)
+    filled = table.where(F.col(c["n"]) > 0)
+    texts = filled.select(F.col(c["row"]).alias("id"), "text")
+    vectors = filled.select(F.col(c["row"]).alias("id"), *[F.col(c[name]).alias(name) for name in ("n", "vector")])
+    vectors = store(_among(vectors, copies, "id", "left_anti"))
+    entries = _entries(_among(texts, copies, "id", "left_anti"), params)
     links = _compare(_first_pairs(entries, vectors, params), texts, params)
     labels = store(components(links))
     more = _tree_pairs(entries, labels, vectors, params)
@@ -432,5 +472,5 @@ def jaccard_digest(docs: DataFrame, params: JaccardParams) -> DataFrame:
 def keep_one(docs: DataFrame, params: JaccardParams | None = None) -> DataFrame:
     """The input's rows and columns, of each group of similar documents one row."""
     table, groups, c = jaccard_groups(docs, params)
-    kept = groups.where("first").select(F.col("row").alias(c["row"]))
-    return table.join(kept, c["row"], "left_semi").select(*docs.columns)
+    dropped = store(groups.where(~F.col("first")).select(F.col("row").alias(c["row"])))
+    return _among(table, dropped, c["row"], "left_anti").select(*docs.columns)
