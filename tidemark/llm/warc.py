@@ -34,18 +34,18 @@ RECORD = (
 
 _TAG = re.compile(r"<!--|<(/?)([A-Za-z][A-Za-z0-9]*)([^<>]*)>|<[!?][^<>]*>")
 _HREF = re.compile(r"""(?i)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_INLINE = re.compile("[" + SPACE.replace("\n", "") + "\xa0]+")
+_INLINE = re.compile("[{0} ]{{2,}}|[{0}]".format(SPACE.replace("\n", "").replace(" ", "") + "\xa0"))
 _BREAKS = re.compile(r" ?\n[ \n]*")
 
 # Elements whose content is not shown, and inline elements, which end no line.
 _HIDDEN = frozenset("script style noscript template title".split())
+_CLOSED = {name: re.compile(f"</{name}", re.IGNORECASE | re.ASCII) for name in _HIDDEN}
 _FLOWING = frozenset("a abbr b bdi bdo cite code em font i kbd mark q s small span strong sub sup tt u var wbr".split())
 
 
 def read_html(page: str) -> tuple[str, str, list[str]]:
     """Shown text, title and links of a page, by one pass over its tags."""
     text, links, title, at = [], [], "", 0
-    lowered = ""
     while True:
         tag = _TAG.search(page, at)
         if tag is None:
@@ -59,12 +59,11 @@ def read_html(page: str) -> tuple[str, str, list[str]]:
             continue
         name = (tag.group(2) or "").lower()
         if name in _HIDDEN and not tag.group(1):
-            # Same length as the page where lower case is one character for one.
-            lowered = lowered or _ascii_lower(page)
-            end = lowered.find(f"</{name}", at)
+            closing = _CLOSED[name].search(page, at)
+            end = closing.start() if closing else len(page)
             if name == "title" and not title:
-                title = page[at : len(page) if end < 0 else end]
-            at = len(page) if end < 0 else end
+                title = page[at:end]
+            at = end
             continue
         if name == "a" and not tag.group(1):
             href = _HREF.search(tag.group(3))
@@ -75,15 +74,11 @@ def read_html(page: str) -> tuple[str, str, list[str]]:
     return _tidy("".join(text)), _tidy(title).replace("\n", " "), links
 
 
-_LOWER = {i: i + 32 for i in range(65, 91)}
-
-
-def _ascii_lower(text: str) -> str:
-    return text.translate(_LOWER)
-
-
 def _tidy(text: str) -> str:
-    shown = html.unescape(text) if "&" in text else text
+    marks = text.count("&")
+    # The one entity that is common is replaced without a look at each.
+    only = marks and marks == text.count("&amp;")
+    shown = text.replace("&amp;", "&") if only else html.unescape(text) if marks else text
     return _BREAKS.sub("\n", _INLINE.sub(" ", shown)).strip(" \n")
 
 
