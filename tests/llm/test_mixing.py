@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm import mixing
 from tidemark.llm.mixing import MixParams, mix, mix_digest, plan_mix, route, targets
 
 
@@ -102,3 +103,30 @@ def test_odd_rows(odd, odd_rows):
     copies = mix(odd)
     assert copies.columns == odd.columns
     assert mix_digest(odd.limit(0)).count() == 0 and mix(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("seed", "counts"), [(17, mixing.LEVEL_COUNTS), (1, 10)])
+def test_documents_that_do_not_fit_are_passed_over(spark, monkeypatch, seed, counts):
+    """Against first fit in the order of hashes; a few texts are longer than all that is wanted, rows repeat."""
+    monkeypatch.setattr(mixing, "LEVEL_COUNTS", counts)
+    lengths = {"a": [100] * 750, "b": [100] * 400 + [60_000], "c": [1 + i * i % 977 for i in range(300)] + [40_000] * 2}
+    rows = [(i % 290 if s == "c" else i, s, n) for s, sizes in lengths.items() for i, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n int")
+    docs = docs.select("doc_id", "source", F.repeat(F.lit("w "), "n").alias("text"), F.lit("en").alias("lang"))
+    params = MixParams(seed=seed)
+    _, shown, sized = plan_mix(docs, None, params)
+    wanted = {f'{{"m":["{r.source}"]}}': (r.source_size, round(r.target)) for r in shown.collect()}
+    grouped = {}
+    for r in sized.collect():
+        grouped.setdefault(r.pattern, {}).setdefault(r.hash, []).append(r)
+    expected = []
+    for pattern, by_hash in grouped.items():
+        size, target = wanted[pattern]
+        base, rest = divmod(target, size)
+        for _, same in sorted(by_hash.items()):
+            words = sum(r["size"] for r in same)
+            fits = words <= rest
+            rest -= words if fits else 0
+            expected += [(r.doc_id, r["size"], r["size"] * (base + fits)) for r in same]
+    got = mix_digest(docs, params).select("doc_id", "size", "taken").collect()
+    assert sorted(map(tuple, got)) == sorted(expected)

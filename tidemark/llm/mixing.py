@@ -4,7 +4,8 @@ A document may belong to several sources. Documents with the same set of sources
 pattern, and only the patterns' word counts enter the flow: each pattern gives its words once
 for nothing, a second time at a cost and a third time at a higher one, to any of its sources, up
 to each source's target. Documents are then chosen by a seeded hash: every document of a pattern
-is taken as often as all of them fit, and those with the smallest hashes once more.
+is taken as often as all of them fit. The words that remain go to documents in the order of their
+hashes, once more each: one that is too long for what is left is passed over, until none fits.
 
 * Words are runs of other characters between ASCII white space; a null text has none.
 * A null source is a source of its own, the last; a document without any source belongs to it.
@@ -26,20 +27,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.text import fresh, text_of, words
-from tidemark.operators.sizing import broadcast_if_small, store
+from tidemark.operators.sizing import BROADCAST_BYTES, broadcast_if_small, store
+
+# Word counts of a pattern that one task sorts.
+LEVEL_COUNTS = 1 << 16
 
 
 @dataclass(frozen=True)
 class MixParams:
-    """``weights`` repeat over the sources in code-point order; ``costs`` are those of each round.
-
-    ``fills``: documents added after the cut to come near a target although texts differ in length.
-    """
+    """``weights`` repeat over the sources in code-point order; ``costs`` are those of each round."""
 
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     costs: tuple[int, ...] = (0, 1, 3)
     seed: int = 17
-    fills: int = 4
 
 
 def targets(sizes: list[int], weights: list[float], rounds: int, total: int | None = None) -> list[float]:
@@ -141,75 +141,71 @@ def _joined(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
     return rows.join(small if sent is None else sent, key)
 
 
-def _cuts(sized: DataFrame, wanted: DataFrame, fills: int) -> DataFrame:
-    """``pattern, cut, fills``: the documents of a pattern up to hash ``cut`` have at most ``rest`` words.
+def _too_long(
+    sized: DataFrame, open_: dict[str, tuple[int | None, int]], levels: tuple[int, ...]
+) -> dict[str, tuple[int, int]]:
+    """Per pattern, the hash of the first document that does not fit, and the words of those before it.
 
-    ``fills`` has the hashes of a few documents beyond, each the longest that still fits. The
-    place is found by word counts per range of hashes, in two rounds of 16 bits, so what remains
-    to be sorted of a pattern is one document in four billion.
+    ``open_`` has the hash beyond which to look and the words that remain; documents of more words
+    than that are passed over. The place is found by word counts per range of hashes, whose low
+    bits are left out as ``levels`` say. Rows of equal hashes count as one document. A pattern
+    whose documents all fit is left out.
     """
-    rows = _joined(sized.select("pattern", "hash", "size"), wanted, "pattern")
-    # ``low`` is the words before the range that is looked at.
-    ranges = wanted.select("pattern", F.lit(0).cast("bigint").alias("low"))
-    inside = rows
-    for bits in (48, 32):
+    places = [(p, after, rest, 0, None) for p, (after, rest) in open_.items()]
+    inside = F.lit(True)
+    for bits in levels:
+        # ``low`` is the words before the range that is looked at.
+        schema = "pattern string, after long, rest long, low long, inside long"
+        table = sized.sparkSession.createDataFrame(places, schema).coalesce(1)
+        if sum(len(place[0].encode()) + 96 for place in places) <= BROADCAST_BYTES:
+            table = F.broadcast(table)
+        rows = sized.select("pattern", "hash", "size").join(table, "pattern").where(inside)
+        rows = rows.where("size > 0 AND size <= rest AND coalesce(hash > after, true)")
         part = F.shiftright("hash", bits)
-        counts = inside.groupBy("pattern", part.alias("part"))
-        counts = store(counts.agg(F.sum("size").alias("n"), F.first("rest").alias("rest")))
-        counts = _joined(counts, ranges, "pattern")
+        counts = rows.groupBy("pattern", part.alias("part")).agg(
+            F.sum("size").alias("n"), *[F.first(c).alias(c) for c in ("after", "rest", "low")]
+        )
         upto = Window.partitionBy("pattern").orderBy("part")
         counts = counts.withColumn("end", F.col("low") + F.sum("n").over(upto))
-        # The first range that reaches the wanted words.
-        ranges = store(
-            counts.where("end > rest")
-            .groupBy("pattern")
-            .agg(F.min(F.struct("part", (F.col("end") - F.col("n")).alias("low"))).alias("m"))
-            .select("pattern", F.col("m.part").alias("part"), F.col("m.low").alias("low"))
-        )
-        inside = _joined(rows, ranges.withColumnRenamed("low", "_low"), "pattern").where(part == F.col("part"))
-        inside = inside.select("pattern", "hash", "size", "rest")
-        edges = ranges.select("pattern", F.shiftleft("part", bits).alias("edge"), "low")
-        ranges = ranges.select("pattern", "low")
-    last = _joined(inside, edges, "pattern")
-    upto = Window.partitionBy("pattern").orderBy("hash").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    last = last.withColumn("end", F.col("low") + F.sum("size").over(upto))
-    taken = last.where("end <= rest").groupBy("pattern").agg(F.max("hash").alias("h"), F.max("end").alias("end"))
-    cuts = edges.join(taken, "pattern", "left").select(
-        "pattern",
-        # Before the edge: everything below it is taken, nothing of the range itself.
-        F.coalesce("h", F.col("edge") - 1).alias("cut"),
-        F.coalesce("end", "low").alias("end"),
-    )
-    cuts = store(cuts)
-    none = F.array().cast("array<bigint>")
-    cuts = store(cuts.select("pattern", "cut", "end", none.alias("fills")))
-    for _ in range(fills):
-        beyond = _joined(rows, cuts, "pattern").where("hash > cut AND NOT array_contains(fills, hash)")
-        fitting = beyond.where("size > 0 AND size <= rest - end")
-        best = fitting.groupBy("pattern").agg(F.max(F.struct("size", "hash")).alias("m"))
-        cuts = store(
-            cuts.join(best, "pattern", "left").select(
-                "pattern",
-                "cut",
-                (F.col("end") + F.coalesce("m.size", F.lit(0))).alias("end"),
-                F.when(F.col("m").isNull(), F.col("fills"))
-                .otherwise(F.concat("fills", F.array("m.hash")))
-                .alias("fills"),
-            )
-        )
-    return cuts.select("pattern", "cut", "fills")
+        # The first range that goes beyond the wanted words.
+        first = F.min(F.struct("part", (F.col("end") - F.col("n")).alias("low"), "after", "rest")).alias("m")
+        found = counts.where("end > rest").groupBy("pattern").agg(first).collect()
+        places = [(r["pattern"], r["m"]["after"], r["m"]["rest"], r["m"]["low"], r["m"]["part"]) for r in found]
+        inside = part == F.col("inside")
+    return {p: (hash_, low) for p, _, _, low, hash_ in places}
+
+
+def _steps(
+    sized: DataFrame, wanted: dict[str, int], most: int
+) -> dict[str, list[tuple[int | None, int | None, int]]]:
+    """Per pattern ``after, before, most``: what to take of the hashes between, documents of at most ``most`` words.
+
+    Together they have at most the wanted words, and no other document would fit. Each step ends
+    at a document that is too long, and the next one looks at what fits beyond it. No pattern has
+    more than ``most`` documents; where these are more than a level's counts, places are found 16
+    bits at a time, and what remains to be sorted of a pattern is one document in four billion.
+    """
+    levels = (0,) if most <= LEVEL_COUNTS else (48, 32, 0)
+    steps: dict[str, list] = {p: [] for p in wanted}
+    open_: dict[str, tuple[int | None, int]] = {p: (None, rest) for p, rest in wanted.items()}
+    while open_:
+        ends = _too_long(sized, open_, levels)
+        for p, (after, rest) in open_.items():
+            steps[p].append((after, ends[p][0] if p in ends else None, rest))
+        open_ = {p: (hash_, open_[p][1] - low) for p, (hash_, low) in ends.items() if open_[p][1] > low}
+    return steps
 
 
 def plan_mix(docs: DataFrame, sources: Column | None = None, params: MixParams | None = None):
-    """Three tables: ``pattern, base, cut, fills``; ``source, source_size, target``; the sized documents.
+    """Three tables: ``pattern, base, steps``; ``source, source_size, target``; the sized documents.
 
-    A document of a pattern is taken ``base`` times, once more if its hash is at most ``cut`` or
-    is in ``fills``. The sized documents have ``doc_id, pattern, members, size, hash``.
+    A document of a pattern is taken ``base`` times, once more if it is within one of ``steps``.
+    The sized documents have ``doc_id, pattern, members, size, hash``.
     """
     params = params or MixParams()
     spark = docs.sparkSession
     sized = store(docs.select("doc_id", *_keys(sources, params)))
-    totals = sized.groupBy("pattern", "members").agg(F.sum("size").alias("n")).collect()
+    totals = sized.groupBy("pattern", "members").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
     totals.sort(key=lambda r: r["pattern"])
     names = sorted({m for r in totals for m in r["members"] if m is not None}, key=lambda s: s.encode())
     names += [None] if any(None in r["members"] for r in totals) else []
@@ -222,15 +218,16 @@ def plan_mix(docs: DataFrame, sources: Column | None = None, params: MixParams |
     total = sum(n for _, n in patterns)
     wanted = targets(sizes, weights, rounds, total) if total else [0.0] * len(sizes)
     given = route(patterns, [round(t) for t in wanted], params.costs)
-    plan, rest = [], []
+    bases, rest = {}, {}
     for row, (_, n), words_ in zip(totals, patterns, given, strict=True):
         base = words_ // n if n else 0
-        plan.append((row["pattern"], base))
+        bases[row["pattern"]] = base
         if n and words_ % n:
-            rest.append((row["pattern"], words_ - base * n))
-    table = spark.createDataFrame(plan, "pattern string, base long")
-    cuts = _cuts(sized, spark.createDataFrame(rest, "pattern string, rest long"), params.fills)
-    mixed = store(table.join(cuts, "pattern", "left"))
+            rest[row["pattern"]] = words_ - base * n
+    steps = _steps(sized, rest, max((r["rows"] for r in totals), default=0))
+    plan = [(p, base, steps.get(p, [])) for p, base in bases.items()]
+    step = "struct<after: long, before: long, most: long>"
+    mixed = store(spark.createDataFrame(plan, f"pattern string, base long, steps array<{step}>"))
     shown = spark.createDataFrame(
         list(zip(names, sizes, wanted, strict=True)), "source string, source_size long, target double"
     )
@@ -251,8 +248,12 @@ def _keys(sources: Column | None, params: MixParams) -> list[Column]:
 
 
 def _copies() -> Column:
-    more = (F.col("hash") <= F.col("cut")) | F.array_contains("fills", F.col("hash"))
-    return F.col("base") + F.coalesce(more, F.lit(False)).cast("bigint")
+    def within(step: Column) -> Column:
+        after = F.coalesce(F.col("hash") > step["after"], F.lit(True))
+        before = F.coalesce(F.col("hash") < step["before"], F.lit(True))
+        return after & before & (F.col("size") <= step["most"])
+
+    return F.col("base") + F.exists("steps", within).cast("bigint")
 
 
 def mix_digest(docs: DataFrame, params: MixParams | None = None) -> DataFrame:
