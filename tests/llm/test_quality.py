@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -74,3 +75,27 @@ def test_empty_table_and_no_labels(odd, labels, trusted):
     assert scored.count() == 0
     scored, name = quality_rules(odd, labels.limit(0), params)
     assert scored.where(~F.col(name)["base_failed"] & ~F.col(name)["kept"]).count() == 0
+
+
+def test_threshold_rejects_bad_texts_with_ordinary_words(spark):
+    """All good documents outside the fitted ones set the threshold, however few are fitted on; short ones do not."""
+
+    def text(i, n, own, name):
+        """Ordinary words, and a share ``own`` (per cent) of others."""
+        r = random.Random(f"{name}{i}")
+        words = [f"{name}{r.randrange(89)}" if r.random() * 100 < own else f"word{r.randrange(97)}" for _ in range(n)]
+        return " ".join(words)
+
+    good = [(i, text(i, 120, i % 8, "rare")) for i in range(300)]
+    bad = [(1_000 + i, text(i, 120, 45, "junk###")) for i in range(40)]
+    short = [(2_000 + i, text(i, 12, 70, "few")) for i in range(40)]
+    docs = spark.createDataFrame(good + bad + short, "doc_id long, text string")
+    marks = [(i, 1, 0) for i, _ in good + short] + [(i, 0, 0) for i, _ in bad[:20]]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    for rows in (100, 20_000):
+        scored, name = quality_rules(docs, labels, QualityParams(trusted_rows=rows))
+        verdict = {r["doc_id"]: r for r in scored.select("doc_id", f"{name}.*").collect()}
+        least = min(verdict[i]["score"] for i, _ in good)
+        assert all(verdict[i]["score"] < least and not verdict[i]["base_failed"] for i, _ in bad)
+        assert all(verdict[i]["kept"] for i, _ in good)
+        assert not any(verdict[i]["kept"] for i, _ in bad)

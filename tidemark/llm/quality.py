@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.text import SPACE, const_array, fresh, let, text_of, words
+from tidemark.operators.sizing import broadcast_if_small, store
 
 SYMBOLS = "[#*$%&|<>]"
 
@@ -28,10 +29,11 @@ SYMBOLS = "[#*$%&|<>]"
 class QualityParams:
     """``trusted_rows`` bounds the labelled documents the target is fitted on.
 
-    Those with the smallest seeded hashes are used, half to fit the target and half to set the
-    threshold. That is the score that the share ``tail`` of the second half stays below, as far
-    below again as their median is above, less ``margin``: wide, because a rejected document
-    is lost and a doubtful one is not.
+    Of those with the smallest seeded hashes half are used to fit the target. All other trusted
+    documents, whatever their number, set the threshold: the score that the share ``tail`` of
+    them stays below, less ``margin``. Where they are too few to have such a share, the least score
+    is carried on to it. Those shorter than ``min_words`` are left out, because their scores vary
+    most and the base rule rejects them anyway.
     """
 
     buckets: int = 16_384
@@ -110,12 +112,14 @@ def hashed_ngrams(docs: DataFrame, text: str, buckets: int, *keep: Column | str)
     return docs.select(*keep, let(tokens, lambda w: _ngrams(w, buckets)).alias("_grams"))
 
 
-def trusted_ids(labels: DataFrame, params: QualityParams) -> DataFrame:
-    """Ids of good, harmless documents: all, or a bounded number by seeded hash, in two halves."""
+def trusted_ids(labels: DataFrame, params: QualityParams) -> tuple[DataFrame, DataFrame]:
+    """Ids of good, harmless documents: half of a number bounded by seeded hash to fit on, and all others."""
     good = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0) & F.col("doc_id").isNotNull())
+    good = store(good.select("doc_id").distinct())
     order = F.xxhash64("doc_id", F.lit(params.seed))
-    ranked = good.select("doc_id").distinct().orderBy(order, "doc_id").limit(params.trusted_rows)
-    return ranked.withColumn("_half", F.pmod(order, F.lit(2)))
+    fitted = good.orderBy(order, "doc_id").limit(params.trusted_rows).where(F.pmod(order, F.lit(2)) == 0)
+    fitted = store(fitted)
+    return fitted, store(good.join(F.broadcast(fitted), "doc_id", "left_anti"))
 
 
 def fit_ratio(docs: DataFrame, labels: DataFrame, params: QualityParams) -> tuple[list[float], float]:
@@ -126,10 +130,9 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, params: QualityParams) -> tupl
     """
     size = params.buckets
     # The threshold comes from trusted documents that the target was not fitted on.
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted_ids(labels, params)), "doc_id")
-    trusted = hashed_ngrams(marked, "text", size, "_half")
+    fitted, others = trusted_ids(labels, params)
     raw = ngram_counts(hashed_ngrams(docs, "text", size))
-    good = ngram_counts(trusted.where("_half = 0"))
+    good = ngram_counts(hashed_ngrams(docs.join(F.broadcast(fitted), "doc_id"), "text", size))
     a, total, good_total = params.smoothing, sum(raw.values()), sum(good.values())
     if not good_total:
         return [0.0] * size, -math.inf
@@ -143,13 +146,30 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, params: QualityParams) -> tupl
     ]
     # Whole thousandths: a bounded histogram that is the same in every run.
     # Nulls go here and not in the plan: Spark would test for them below the join, on all documents.
-    scored = trusted.where("_half = 1").select(F.floor(1000 * ngram_score(F.col("_grams"), ratio)).alias("bin"))
+    sent = broadcast_if_small(others)
+    marked = docs.select("doc_id", "text")
+    grams = hashed_ngrams(marked if sent is None else marked.join(sent, "doc_id"), "text", size, "doc_id")
+    # As many n-grams as a text of the least words has.
+    long = F.size("_grams") >= max(0, 2 * params.min_words - 1)
+    scored = grams.select("doc_id", F.when(long, F.floor(1000 * ngram_score(F.col("_grams"), ratio))).alias("bin"))
+    # Too many ids for a broadcast are joined with the scores, not with the texts.
+    scored = scored.join(others, "doc_id") if sent is None else scored
     counted = scored.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()
     bins = sorted((r["bin"], r["n"]) for r in counted if r["bin"] is not None)
     if not bins:
         return ratio, -math.inf
     low, middle = _quantile(bins, params.tail), _quantile(bins, 0.5)
-    return ratio, (2 * low - middle) / 1000 - params.margin
+    return ratio, (middle - (middle - low) * _beyond(sum(n for _, n in bins), params.tail)) / 1000 - params.margin
+
+
+def _beyond(rows: int, tail: float) -> float:
+    """How much farther from the median than the least of ``rows`` scores the quantile ``tail`` lies.
+
+    1 as soon as there are enough rows to see that quantile; before, as in an exponential tail.
+    """
+    if rows * tail >= 1 or rows < 2:
+        return 1.0
+    return max(1.0, math.log(0.5 / tail) / math.log((rows + 1) / 2))
 
 
 def _quantile(bins: list[tuple[int, int]], share: float) -> int:
