@@ -5,6 +5,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from tidemark.catalog import model as catalog_model
 from tidemark.config import FEATURES, GOLD_SCHEMA, ModelParams
 from tidemark.operators import model as m
 from tidemark.operators.encode import label_encode
@@ -164,3 +165,17 @@ def test_layout_follows_from_the_rows(spark, monkeypatch):
             assert m.spread(df, "id").rdd.getNumPartitions() == 3
             patch.setattr(m, "MAX_TASKS", 2)
             assert m.spread(df, "id").rdd.getNumPartitions() == 2
+
+
+def test_report_is_of_the_production_model(spark, monkeypatch):
+    """The query fits with the default settings; what it returns is not fitted here."""
+    asked = []
+
+    def trained(spark, sf_dir, params=None):
+        asked.append(params or ModelParams())
+        report = spark.createDataFrame([("accuracy",)], "name string")
+        return m.Trained(model=None, scored=None, auc=0.5, report=report)
+
+    monkeypatch.setattr(catalog_model, "trained", trained)
+    assert catalog_model.model_report_query(spark, "").columns == ["name", "auc_roc"]
+    assert asked == [ModelParams()] and asked[0].rounds == 100

@@ -35,7 +35,7 @@ def stored_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_table(spark, path)
 
 
-# Rounds of the queries that look at scores and files: neither depends on how many there are.
+# Rounds of the queries whose rows are checks that hold for any number of them.
 FEW = ModelParams(rounds=5)
 
 
@@ -240,7 +240,8 @@ def scored_rows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("model_report")
 def model_report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fitted = trained(spark, sf_dir, FEW)
+    """The report and the AUC of the production model, which depend on its rounds."""
+    fitted = trained(spark, sf_dir)
     return fitted.report.withColumn("auc_roc", F.lit(fitted.auc))
 
 
