@@ -3,7 +3,10 @@
 A value is hashed and counted over the whole corpus by distinct owners and repositories. One
 that several owners hold is a copied ``example``; one held by a single owner that also looks
 random is ``live``; the rest is ``shared``. Base spans (assign, access, hex) always stay; looser
-candidates (bearer, vendor, jwt, mixed) are added when they are live.
+candidates (bearer, vendor, jwt, mixed) are added when they look random and are no example.
+
+A repository belongs to its owner, and copies in several of one owner's repositories are still
+that owner's secret: their number is reported with each span but has no part in the verdict.
 
 * Null text counts as empty and has no spans. A null owner or repository is one more name.
 * Very long texts are searched whole. Equal spans of different patterns are all reported.
@@ -153,6 +156,7 @@ def _judge(found: DataFrame, params: SecretParams) -> DataFrame:
         verdict.alias("verdict"),
         "n_owners",
         "n_repositories",
+        "random",
     )
 
     def decide(spans: Column) -> Column:
@@ -161,7 +165,11 @@ def _judge(found: DataFrame, params: SecretParams) -> DataFrame:
         def free(s: Column) -> Column:
             return ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
 
-        return F.filter(spans, lambda s: s["base"] | ((s["verdict"] == "live") & free(s)))
+        def secret(s: Column) -> Column:
+            return s["random"] & (s["verdict"] != "example")
+
+        kept = F.filter(spans, lambda s: s["base"] | (secret(s) & free(s)))
+        return F.transform(kept, lambda s: s.dropFields("random"))
 
     judged = _with_counts(one, params).select("_row", span.alias("_s"))
     # One row per document that has candidates; its list is as long as they are many.
