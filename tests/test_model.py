@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 from tidemark.catalog import model as catalog_model
 from tidemark.config import FEATURES, GOLD_SCHEMA, ModelParams
 from tidemark.operators import model as m
-from tidemark.operators.encode import label_encode
+from tidemark.operators import encode
+from tidemark.operators.encode import category_codes, label_encode, lookup
 from tidemark.operators.metrics import auc_roc
 from tidemark.operators.sizing import store
 
@@ -167,11 +169,11 @@ def test_layout_follows_from_the_rows(spark, monkeypatch):
             assert m.spread(df, "id").rdd.getNumPartitions() == 2
 
 
-def test_report_is_of_the_production_model(spark, monkeypatch):
+def test_report_is_of_the_production_settings(spark, monkeypatch):
     """The query fits with the default settings; what it returns is not fitted here."""
     asked = []
 
-    def trained(spark, sf_dir, params=None):
+    def trained(spark, sf_dir, params=None, features=FEATURES):
         asked.append(params or ModelParams())
         report = spark.createDataFrame([("accuracy",)], "name string")
         return m.Trained(model=None, scored=None, auc=0.5, report=report)
@@ -179,3 +181,70 @@ def test_report_is_of_the_production_model(spark, monkeypatch):
     monkeypatch.setattr(catalog_model, "trained", trained)
     assert catalog_model.model_report_query(spark, "").columns == ["name", "auc_roc"]
     assert asked == [ModelParams()] and asked[0].rounds == 100
+
+
+def boosted(rows, params, flags):
+    """Scores by combination of flags, the trees worked out by hand."""
+    cells = {}
+    for row in rows:
+        cells.setdefault(tuple(row[f] for f in flags), []).append(2 * row["churn"] - 1)
+    scores = {}
+    for cell, labels in cells.items():
+        f = sum(labels) / len(labels)
+        for _ in range(params.rounds - 1):
+            f += params.learning_rate * sum(4 * y / (1 + math.exp(2 * y * f)) for y in labels) / len(labels)
+        scores[cell] = 1 / (1 + math.exp(-2 * f))
+    return scores
+
+
+def test_boosting_in_closed_form(gold):
+    """Rounds, rate and split decide the scores; changing any of them changes these."""
+    flags = catalog_model.FLAGS[:2]
+    params = ModelParams(rounds=3, learning_rate=0.3, depth=2)
+    fitted = m.train_and_evaluate(gold, params, features=flags)
+    held_out = {r.customer_id: r.churn_probability for r in fitted.scored.collect()}
+    rows = {r.customer_id: r for r in gold.collect()}
+
+    def worst(params, train):
+        scores = boosted([rows[i] for i in train], params, flags)
+        return max(abs(p - scores[tuple(rows[i][f] for f in flags)]) for i, p in held_out.items())
+
+    train = set(rows) - set(held_out)
+    assert worst(params, train) < 1e-9
+    assert worst(ModelParams(rounds=4, learning_rate=0.3), train) > 1e-6
+    assert worst(ModelParams(rounds=3, learning_rate=0.1), train) > 1e-6
+    assert worst(params, set(rows)) > 1e-6
+
+
+def test_a_million_labels_saved_and_loaded(spark, gold, tmp_path):
+    """The model holds no label: its table of codes is stored next to it and joined."""
+    n = 1_000_000
+    one = gold.limit(1).drop("customer_id", "contract")
+    wide = spark.range(n).select(
+        F.concat(F.lit("C"), "id").alias("customer_id"), F.format_string("L%07d", "id").alias("contract")
+    )
+    wide = store(wide.join(F.broadcast(one)).select(*gold.columns))
+    model = m.train_gbt(wide, gold, ModelParams(rounds=1, depth=1))
+    path = m.save_model(model, str(tmp_path / "model"))
+    files = [f for f in (tmp_path / "model").rglob("*") if f.is_file() and "metadata" in str(f)]
+    assert max(f.stat().st_size for f in files) < 10_000
+    with pytest.raises(ValueError, match="another path"):
+        m.save_model(m.load_model(path), path)
+    loaded = m.load_model(path)
+    codes = loaded.stages[0].transform(wide)
+    assert codes.where("contract_enc <> CAST(substr(contract, 2) AS INT)").count() == 0
+    odd = gold.limit(2).selectExpr("* EXCEPT (contract)", "CASE WHEN senior_citizen = 0 THEN 'new' END AS contract")
+    assert {r.contract_enc for r in loaded.stages[0].transform(odd).collect()} == {n}
+    scored = m.predict(loaded, wide)
+    assert scored.count() == n and scored.where("prediction IS NULL").count() == 0
+
+
+def test_codes_that_are_too_many_to_broadcast(spark, gold, monkeypatch):
+    stage = category_codes(gold, ["contract", "internet_service"], ["a", "b"])
+    before = sorted(map(tuple, stage.transform(gold).select("customer_id", "a", "b").collect()))
+    monkeypatch.setattr(
+        encode, "lookup", lambda *args: lookup(*args, broadcast_bytes=0, hot_share=0.5)
+    )
+    new = gold.withColumn("contract", F.when(F.col("tenure") == 3, "new").otherwise(F.col("contract")))
+    assert sorted(map(tuple, stage.transform(gold).select("customer_id", "a", "b").collect())) == before
+    assert {r.a for r in stage.transform(new).where("contract = 'new'").collect()} == {3}

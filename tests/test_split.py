@@ -2,18 +2,37 @@ import hashlib
 import math
 
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from tidemark.operators.encode import lookup
 from tidemark.operators.split import stratified_split, train_quotas
 
 
+def quotas_of(sizes, test_size):
+    """Training rows per class, largest remainders one by one."""
+    total = sum(sizes.values())
+    train = total - math.ceil(test_size * total)
+    quotas = {c: train * n // total for c, n in sizes.items()}
+    for c in sorted(sizes, key=lambda c: (-(train * sizes[c] % total), c))[: train - sum(quotas.values())]:
+        quotas[c] += 1
+    return quotas
+
+
+def found_quotas(spark, sizes, test_size):
+    table = spark.createDataFrame(list(sizes.items()), "_class long, n long")
+    rows = train_quotas(table, sum(sizes.values()), len(sizes), test_size).collect()
+    return {r["_class"]: r["_want"] for r in rows}
+
+
 def brute_force(rows, test_size, seed):
     """The training ids: per class, the quota's smallest keys."""
     sizes = {}
     for _, label in rows:
         sizes[label] = sizes.get(label, 0) + 1
-    quotas = train_quotas(sizes, test_size)
+    quotas = quotas_of(sizes, test_size)
     chosen = set()
     for label, quota in quotas.items():
         ids = [i for i, other in rows if other == label]
@@ -22,8 +41,8 @@ def brute_force(rows, test_size, seed):
     return chosen
 
 
-def split_ids(df, **settings):
-    rows = stratified_split(df, "id", "label", **settings).collect()
+def split_ids(df, **options):
+    rows = stratified_split(df, "id", "label", **options).collect()
     return {r.id for r in rows if r.split == "train"}, {r.id for r in rows if r.split == "test"}
 
 
@@ -94,22 +113,50 @@ def test_null_label_and_too_few_rows(spark):
         split_ids(spark.createDataFrame([(1, 0), (2, 1)], "id int, label int"))
 
 
-@given(st.lists(st.integers(2, 500), min_size=1, max_size=6), st.floats(0.1, 0.9))
-def test_quotas_keep_the_ratios(sizes, test_size):
+@settings(max_examples=8, deadline=None)
+@given(sizes=st.lists(st.integers(2, 500), min_size=1, max_size=6), test_size=st.floats(0.1, 0.9))
+def test_quotas_keep_the_ratios(spark, sizes, test_size):
     classes = dict(enumerate(sizes))
     total = sum(sizes)
     test_rows = math.ceil(test_size * total)
     if total - test_rows < len(sizes) or test_rows < len(sizes):
         with pytest.raises(ValueError):
-            train_quotas(classes, test_size)
+            found_quotas(spark, classes, test_size)
         return
-    quotas = train_quotas(classes, test_size)
+    quotas = found_quotas(spark, classes, test_size)
+    assert quotas == quotas_of(classes, test_size)
     assert sum(quotas.values()) == total - test_rows
-    for c, n in classes.items():
-        assert 0 <= quotas[c] <= n
-        assert abs(quotas[c] - (total - test_rows) * n / total) < 1
+    assert all(abs(quotas[c] - (total - test_rows) * n / total) < 1 for c, n in classes.items())
 
 
-def test_known_quotas():
+def test_known_quotas(spark):
     # 7,043 rows at 0.2 leave 5,634 to train on; 26.5 % of them are in class 1.
-    assert train_quotas({0: 5174, 1: 1869}, 0.2) == {0: 4139, 1: 1495}
+    assert found_quotas(spark, {0: 5174, 1: 1869}, 0.2) == {0: 4139, 1: 1495}
+
+
+def test_quotas_of_counts_whose_product_is_large(spark):
+    sizes = {0: 3 * 10**14 + 1, 1: 7 * 10**14 + 2}
+    assert found_quotas(spark, sizes, 0.2) == quotas_of(sizes, 0.2)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_twenty_thousand_classes_with_a_hot_one(spark, monkeypatch, broadcast):
+    """Every class gets its quota of the smallest keys, also where no table may be broadcast."""
+    from tidemark.operators import split
+
+    n = 180_000
+    df = spark.range(n).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 20_000 + 1).alias("label"))
+    if not broadcast:
+        monkeypatch.setattr(split, "broadcast_if_small", lambda df: None)
+        monkeypatch.setattr(split, "lookup", lambda *args: lookup(*args, broadcast_bytes=0, hot_share=0.01))
+    train, test = split_ids(df)
+    rows = [(i, 0 if i % 3 == 0 else i % 20_000 + 1) for i in range(n)]
+    assert len(train) + len(test) == n and len(test) == math.ceil(0.2 * n)
+    by_class = {}
+    for i, label in rows:
+        by_class.setdefault(label, []).append(i)
+    quotas = quotas_of({c: len(ids) for c, ids in by_class.items()}, 0.2)
+    assert len(by_class) == 20_001
+    for c, ids in by_class.items():
+        ids.sort(key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())
+        assert train.issuperset(ids[: quotas[c]]) and test.issuperset(ids[quotas[c] :])

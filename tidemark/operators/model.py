@@ -7,13 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import CATEGORIES, FEATURES, LABEL, ModelParams
-from tidemark.operators.encode import label_encode
+from tidemark.operators.encode import CategoryCodes, category_codes, label_encode
 from tidemark.operators.metrics import auc_roc, classification_report
 from tidemark.operators.sizing import store
 from tidemark.operators.split import stratified_split
@@ -35,21 +35,6 @@ class Trained:
     report: DataFrame
 
 
-def category_encoder(gold: DataFrame, columns: Sequence[str] = CATEGORIES) -> StringIndexerModel:
-    """An encoder fitted on all rows: codes in sort order, nulls after the last label.
-
-    It keeps its labels in the model, on the driver and in each task, which suits columns of
-    a small domain; ``encode_categories`` takes any number of labels. A null and a label that
-    was not there in training share the code after the last label.
-    """
-    return StringIndexer(
-        inputCols=list(columns),
-        outputCols=[f"{c}_enc" for c in columns],
-        stringOrderType="alphabetAsc",
-        handleInvalid="keep",
-    ).fit(gold)
-
-
 def encode_categories(gold: DataFrame, columns: Sequence[str] = CATEGORIES) -> DataFrame:
     """Gold with a code column per category; training takes these as they are.
 
@@ -60,10 +45,10 @@ def encode_categories(gold: DataFrame, columns: Sequence[str] = CATEGORIES) -> D
     return gold
 
 
-def _encoder(gold: DataFrame, features: Sequence[str]) -> list[StringIndexerModel]:
+def _encoder(gold: DataFrame, features: Sequence[str]) -> list[CategoryCodes]:
     """The in-model encoder for those categories that are used and not encoded yet."""
     open_ = [c for c in CATEGORIES if f"{c}_enc" in features and f"{c}_enc" not in gold.columns]
-    return [category_encoder(gold, open_)] if open_ else []
+    return [category_codes(gold, open_, [f"{c}_enc" for c in open_])] if open_ else []
 
 
 def fill_zero(df: DataFrame, columns: Sequence[str] = FEATURES) -> DataFrame:
@@ -83,7 +68,7 @@ def feature_stages(features: Sequence[str] = FEATURES) -> list:
     ]
 
 
-def select_features(gold: DataFrame, encoder: StringIndexerModel | None = None) -> DataFrame:
+def select_features(gold: DataFrame, encoder: CategoryCodes | None = None) -> DataFrame:
     """Gold rows with the model's input vector in ``features``."""
     stages = [*([encoder] if encoder else _encoder(gold, FEATURES)), *feature_stages()]
     return Pipeline(stages=stages).fit(gold).transform(gold)
@@ -138,13 +123,18 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     )
 
 
-def train_and_evaluate(gold: DataFrame, params: ModelParams | None = None, key: str = "customer_id") -> Trained:
+def train_and_evaluate(
+    gold: DataFrame,
+    params: ModelParams | None = None,
+    key: str = "customer_id",
+    features: Sequence[str] = FEATURES,
+) -> Trained:
     """Split, train, score the held-out part and measure it. ``gold`` should be a stored table."""
     params = params or ModelParams()
     parts = stratified_split(gold, key, LABEL, params.test_size, params.seed)
     train = parts.where(F.col("split") == "train").drop("split")
     test = parts.where(F.col("split") == "test").drop("split")
-    model = train_gbt(gold, train, params, key)
+    model = train_gbt(gold, train, params, key, features)
     # Scored once: the metrics and the caller read the stored scores.
     scored = store(predict(model, test).select(key, LABEL, "churn_probability", "prediction"))
     return Trained(
@@ -156,6 +146,10 @@ def train_and_evaluate(gold: DataFrame, params: ModelParams | None = None, key:
 
 
 def save_model(model: PipelineModel, path: str) -> str:
+    """Save a model, with its tables of codes, under a path that may hold another one."""
+    for stage in model.stages:
+        if isinstance(stage, CategoryCodes) and stage.getOrDefault("path").startswith(f"{path.rstrip('/')}/"):
+            raise ValueError(f"{path} holds the codes this model reads; save it under another path")
     model.write().overwrite().save(path)
     return path
 

@@ -7,12 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.sizing import materialize
+from tidemark.operators.encode import lookup
+from tidemark.operators.sizing import broadcast_if_small, materialize, part_offsets, sorted_positions
 
 # The keys of a boundary prefix with at most this many rows are counted one by one; a larger
 # prefix is first cut finer.
 RANK_ROWS = 1_000_000
-MAX_CLASSES = 10_000
 
 _STEP = 4  # hex digits per level: 65,536 buckets
 _DIGITS = 32
@@ -23,22 +23,29 @@ def split_key(id_column: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_column).cast("string")).cast("binary"))
 
 
-def train_quotas(class_rows: dict, test_size: float) -> dict:
-    """Training rows per class.
+def train_quotas(sizes: DataFrame, rows: int, classes: int, test_size: float) -> DataFrame:
+    """``_class, _want``: training rows per class, from a table of ``_class, n``.
 
     The test part has ceil(test_size * rows); the training rows are shared out in
     proportion, and what rounding leaves over goes to the largest remainders (ties: the
-    smaller class value).
+    smaller class value). The ranking is a sort across the cluster: there may be any number
+    of classes.
     """
-    total = sum(class_rows.values())
-    train = total - math.ceil(test_size * total)
-    if not class_rows or train < len(class_rows) or total - train < len(class_rows):
-        raise ValueError(f"{total} rows are too few to split {len(class_rows)} classes at {test_size}")
-    quotas = {c: train * n // total for c, n in class_rows.items()}
-    by_remainder = sorted(class_rows, key=lambda c: (-(train * class_rows[c] % total), c))
-    for c in by_remainder[: train - sum(quotas.values())]:
-        quotas[c] += 1
-    return quotas
+    train = rows - math.ceil(test_size * rows)
+    if not classes or train < classes or rows - train < classes:
+        raise ValueError(f"{rows} rows are too few to split {classes} classes at {test_size}")
+    # The product of two counts may need more than 63 bits.
+    share = f"CAST(n AS DECIMAL(19,0)) * CAST({train} AS DECIMAL(19,0))"
+    whole = f"CAST({rows} AS DECIMAL(19,0))"
+    base = F.expr(f"CAST(({share}) DIV {whole} AS BIGINT)").alias("_base")
+    left = F.expr(f"-CAST(({share}) % {whole} AS BIGINT)").alias("_left")
+    shares = sizes.select("_class", base, left)
+    ranked = sorted_positions(shares, "_left", "_class").withColumn("_one", F.lit(1))
+    spare = train - ranked.agg(F.sum("_base").alias("s")).first()["s"]
+    # One row per partition of the sort.
+    at = ranked.join(F.broadcast(part_offsets(ranked, "_one", "_before")), "_part")
+    more = (F.col("_before") + F.col("_row") < spare).cast("bigint")
+    return materialize(at.select("_class", (F.col("_base") + more).alias("_want")))
 
 
 def stratified_split(
@@ -63,20 +70,22 @@ def stratified_split(
     open_keys = df.select(label.alias("_class"), split_key(id_column, seed).alias("_key"))
     counts = _prefix_counts(open_keys, _STEP)
 
-    nameless = F.coalesce(F.sum(F.when(F.col("_prefix").isNull(), F.col("n"))), F.lit(0)).alias("nameless")
-    sizes = counts.groupBy("_class").agg(F.sum("n").alias("n"), nameless).limit(MAX_CLASSES + 1).collect()
-    class_rows = {size["_class"]: size["n"] for size in sizes}
-    if any(size["nameless"] for size in sizes):
-        raise ValueError(f"{sum(size['nameless'] for size in sizes)} rows with null in {id_column}")
-    if None in class_rows:
-        raise ValueError(f"{class_rows[None]} rows with null in {label_column}")
-    if len(class_rows) > MAX_CLASSES:
-        raise ValueError(f"{label_column} has more than {MAX_CLASSES} classes")
-    quotas = train_quotas(class_rows, test_size)
-
-    # One row per class, at most MAX_CLASSES, from here to the result.
-    class_type = df.schema[label_column].dataType.simpleString()
-    want = df.sparkSession.createDataFrame(list(quotas.items()), f"_class {class_type}, _want bigint")
+    sizes = materialize(
+        counts.groupBy("_class").agg(
+            F.sum("n").alias("n"),
+            F.coalesce(F.sum(F.when(F.col("_prefix").isNull(), F.col("n"))), F.lit(0)).alias("nameless"),
+        )
+    )
+    unlabelled = F.sum(F.when(F.col("_class").isNull(), F.col("n"))).alias("unlabelled")
+    whole = sizes.agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("nameless").alias("nameless"), unlabelled
+    ).first()
+    if whole["nameless"]:
+        raise ValueError(f"{whole['nameless']} rows with null in {id_column}")
+    if whole["unlabelled"]:
+        raise ValueError(f"{whole['unlabelled']} rows with null in {label_column}")
+    want = train_quotas(sizes.select("_class", "n"), whole["n"] or 0, whole["k"], test_size)
+
     digits = _STEP
     while True:
         boundary = _boundary(counts, want)
@@ -84,7 +93,7 @@ def stratified_split(
             break
         widest = boundary.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
         # Keep the rows of the boundary prefixes only, and look at more of their keys.
-        inside = F.broadcast(boundary.select("_class", "_prefix"))
+        inside = _broadcast(boundary.select("_class", "_prefix"))
         open_keys = (
             open_keys.withColumn("_prefix", F.substring("_key", 1, digits))
             .join(inside, ["_class", "_prefix"])
@@ -95,10 +104,24 @@ def stratified_split(
         counts = _prefix_counts(open_keys, digits)
 
     # A class without a limit has no training row.
-    limits = F.broadcast(boundary.select("_class", F.col("_prefix").alias("_limit")))
-    part = F.when(split_key(id_column, seed) <= F.col("_limit"), F.lit("train")).otherwise(F.lit("test"))
-    joined = df.join(limits, label == F.col("_class"), "left")
-    return joined.select(*[df[name] for name in df.columns], part.alias(out))
+    limit = fresh_name(df, "_limit")
+    limits = boundary.select(F.col("_class").alias("label"), F.col("_prefix").alias("code"))
+    limits = limits.join(_broadcast(sizes.select(F.col("_class").alias("label"), F.col("n").alias("rows"))), "label")
+    part = F.when(split_key(id_column, seed) <= F.col(limit), F.lit("train")).otherwise(F.lit("test"))
+    joined = lookup(df, label_column, materialize(limits), limit, whole["n"])
+    return joined.select(*df.columns, part.alias(out))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def _broadcast(table: DataFrame) -> DataFrame:
+    """The table with a broadcast hint if its measured size allows one."""
+    sent = broadcast_if_small(table)
+    return table if sent is None else sent
 
 
 def _prefix_counts(keys: DataFrame, digits: int) -> DataFrame:
@@ -114,7 +137,7 @@ def _boundary(counts: DataFrame, want: DataFrame) -> DataFrame:
     keys of a boundary prefix with at most ``rank_rows`` rows.
     """
     upto = F.sum("n").over(Window.partitionBy("_class").orderBy("_prefix"))
-    placed = counts.join(F.broadcast(want), "_class").withColumn("_upto", upto)
+    placed = counts.join(_broadcast(want), "_class").withColumn("_upto", upto)
     below = F.col("_upto") - F.col("n")
     holds = (below < F.col("_want")) & (F.col("_upto") >= F.col("_want"))
     return materialize(placed.where(holds).select("_class", "_prefix", (F.col("_want") - below).alias("_want"), "n"))
