@@ -1,0 +1,143 @@
+"""The audit of filters against one document and one order at a time."""
+
+import itertools
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import audit as m
+from tidemark.llm.text import text_of
+
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def failing(docs):
+    """The letters of the filters that each row fails."""
+    least = {}
+    for doc_id, text, _ in docs:
+        if doc_id is not None:
+            least[text or ""] = min(least.get(text or "", doc_id), doc_id)
+    out = []
+    for doc_id, text, _ in docs:
+        text = text or ""
+        words = SPACE.findall(text)
+        out.append({
+            letter
+            for letter, fails in {
+                "A": len(words) < 200,
+                "B": 100 * len(set(words)) < 50 * len(words),
+                "C": 100 * len(re.findall("[A-Z]", text)) > 2 * len(text),
+                "D": bool(re.search("[#$%&*|]", text)),
+                "E": doc_id is not None and least[text] < doc_id,
+            }.items()
+            if fails
+        })
+    return out
+
+
+def brute(docs, labels):
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, t in labels if t == 1 and i is not None}
+    fails = failing(docs)
+    rows = {}
+    for part in {p or "" for _, _, p in docs}:
+        mine = [(f, i in good, i in toxic) for (i, _, p), f in zip(docs, fails) if (p or "") == part]
+        shares = dict.fromkeys("ABCDE", 0)
+        for order in itertools.permutations("ABCDE"):
+            left = mine
+            for step, letter in enumerate(order):
+                gone = [d for d in left if letter in d[0]]
+                left = [d for d in left if letter not in d[0]]
+                failed = [d for d in mine if letter in d[0]]
+                shares[letter] += len(gone)
+                rows[part, "".join(order), step + 1] = [
+                    len(left), len(gone), len(failed) - len(gone), sum(d[0] == {letter} for d in mine),
+                    sum(d[1] for d in gone), sum(d[2] for d in gone),
+                ]
+        for (p, order, step), row in rows.items():
+            if p == part:
+                row.append(shares[order[step - 1]])
+    return {key: tuple(row) for key, row in rows.items()}
+
+
+def audited(docs, labels):
+    return {tuple(r)[:3]: tuple(r)[3:] for r in m.audit_filters(docs, labels).collect()}
+
+
+LONG = " ".join(f"w{i}" for i in range(250))
+DOCS = [
+    (1, LONG, "a"),
+    (2, LONG, "a"),
+    (2, LONG, "b"),
+    (1, LONG, "a"),
+    (3, "same " * 300, "a"),
+    (4, "SHOUT " * 300, "b"),
+    (5, "SHOUT " * 300, "b"),
+    (6, "$ " + LONG, None),
+    (7, "$ " + LONG.upper(), ""),
+    (None, LONG, "a"),
+    (None, LONG, "a"),
+    (8, None, "b"),
+    (9, "", "b"),
+    (10, None, "a"),
+    (11, "few words", None),
+    (12, "été " * 199 + "\x0b x", "c"),
+    (13, "été " * 199 + "\xa0x", "c"),
+]
+LABELS = [(1, 1, 0), (2, 0, 1), (2, 1, 0), (4, None, 1), (8, 1, 1), (None, 1, 1), (99, 1, 1), (3, 0, 0)]
+
+
+def frames(spark, docs, labels):
+    return (
+        spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3),
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int"),
+    )
+
+
+def test_equals_brute_force(spark):
+    assert audited(*frames(spark, DOCS, LABELS)) == brute(DOCS, LABELS)
+
+
+def test_a_hot_text_in_many_parts(spark):
+    docs = [(i, LONG if i % 3 == 0 else f"{LONG} {i}", f"s{i % 7}") for i in range(600)]
+    labels = [(i, i % 2, i % 5 == 0) for i in range(0, 600, 4)]
+    labels = [(i, q, int(t)) for i, q, t in labels]
+    assert audited(*frames(spark, docs, labels)) == brute(docs, labels)
+
+
+def test_no_documents_and_no_labels(spark):
+    docs, labels = frames(spark, DOCS, LABELS)
+    assert m.audit_filters(docs.limit(0), labels).count() == 0
+    assert audited(docs, labels.limit(0)) == brute(DOCS, [])
+
+
+def test_odd_rows_and_clashing_names(spark, odd, odd_rows, labels):
+    docs = odd.withColumns({c: F.lit(None) for c in ("part", "mask", "n", "total", "order", "good", "h1")})
+    rows = [(i, t, s) for i, t, _, s in odd_rows]
+    marks = [tuple(r) for r in labels.select("doc_id", "quality", "toxic").collect()]
+    assert audited(docs, labels) == brute(rows, marks)
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4])
+def test_potential_gives_the_shapley_value(spark, k):
+    """Other filters and other numbers of them: the potential's differences are the means over all orders."""
+    tests = {c: F.contains(text_of(), F.lit(c)) for c in "wxyz"[:k]}
+    texts = ["w", "wx", "wxy", "xyz", "z", "", "wz", "y", "wxyz", "xy"]
+    docs = spark.createDataFrame([(i, t, "p") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    sets = m.failed_sets(docs, labels, tests, F.col("source"), repeats=False)
+    steps = m.filter_steps(m.coalitions(sets, list(tests)), list(tests)).collect()
+    total = {}
+    for r in steps:
+        letter = r.filter_order[r.step - 1]
+        total[letter] = total.get(letter, 0) + r.removed
+    assert all(r.shapley == total[r.filter_order[r.step - 1]] for r in steps)
+    assert sum(total.values()) == len({r.filter_order for r in steps}) * sum(any(c in t for c in tests) for t in texts)
+
+
+def test_no_shuffle_of_texts(spark):
+    docs, labels = frames(spark, DOCS, LABELS)
+    sets = m.failed_sets(docs.coalesce(1), labels, m.text_filters(text_of()), F.col("source"))
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert all("text" not in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)

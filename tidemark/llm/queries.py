@@ -7,6 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.align import AlignParams, align_digest
+from tidemark.llm.audit import audit_filters, audit_sql
 from tidemark.llm.bayes import site_quality
 from tidemark.llm.chat import CLOSE, chat_digest, digest_sql
 from tidemark.llm.imatch import fingerprint_edits
@@ -16,11 +18,20 @@ from tidemark.llm.packing import PackParams, pack, pieces
 from tidemark.llm.pii import detect_pii, pii_digest
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.secrets import scan_secrets, secret_digest
+from tidemark.llm.urls import ALLOW, BLOCK, Rule, judge_urls
 from tidemark.llm.warc import derivative_digest
 
-
 # Ranks of the vocabulary whose tokenizer file is byte_bpe_50k.json.
 TOKENIZER = "byte_bpe_50k.tiktoken"
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
+
+URL_RULES = (
+    Rule(ALLOW, "com", "/"),
+    Rule(BLOCK, "example.com", "/en/"),
+    Rule(ALLOW, "www.example.com", "/en/"),
+    Rule(BLOCK, "net", "/es/"),
+    Rule(BLOCK, "net", "/fr/"),
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +99,24 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers over every document, and how common its links are."""
+    first, second = map(public_tokenizers.path, ALIGNED)
+    return align_digest(table(spark, sf_dir, "documents"), AlignParams(first, second))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from every source, in every order, and their shares by the potential."""
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of every page's URL: its rule's, else that of trees trained on the URLs with a rule."""
+    judged, name = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    verdict = F.col(name)
+    return judged.select("page_id", *[verdict[c].alias(c) for c in ("host", "path", "rule", "verdict")])
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_pii": op2_pii,
@@ -99,9 +128,13 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_site_quality": op9_site_quality,
     "op10_imatch": op10_imatch,
+    "op11_align": op11_align,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_url_filter": op13_url_filter,
     "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
     "op1_chat": digest_sql(),
+    "op12_filter_audit": audit_sql(),
 }
