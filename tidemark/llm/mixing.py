@@ -4,8 +4,9 @@ A document may belong to several sources. Documents with the same set of sources
 pattern, and only the patterns' word counts enter the flow: each pattern gives its words once
 for nothing, a second time at a cost and a third time at a higher one, to any of its sources, up
 to each source's target. Documents are then chosen by a seeded hash: every document of a pattern
-is taken as often as all of them fit. The words that remain go to documents in the order of their
-hashes, once more each: one that is too long for what is left is passed over, until none fits.
+is taken as often as all of them fit. The words that remain go to documents once more each, in the
+order of their hashes. A few documents of every length are held back from that order, and the
+subset of them whose words come nearest to what is missing, below or above, is added.
 
 * Words are runs of other characters between ASCII white space; a null text has none.
 * A null source is a source of its own, the last; a document without any source belongs to it.
@@ -21,7 +22,8 @@ from __future__ import annotations
 
 import heapq
 import math
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import astuple, dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +33,10 @@ from tidemark.operators.sizing import BROADCAST_BYTES, broadcast_if_small, store
 
 # Word counts of a pattern that one task sorts.
 LEVEL_COUNTS = 1 << 16
+# Documents of a pattern that are held back, of each length class; four classes to a power of two.
+HELD, CLASSES = 4, 4
+# Words of subset sums are counted in units, of which held documents have at most so many.
+UNITS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -141,65 +147,145 @@ def _joined(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
     return rows.join(small if sent is None else sent, key)
 
 
-def _too_long(
-    sized: DataFrame, open_: dict[str, tuple[int | None, int]], levels: tuple[int, ...]
-) -> dict[str, tuple[int, int]]:
-    """Per pattern, the hash of the first document that does not fit, and the words of those before it.
+def nearest_subset(sizes: Sequence[int], low: int, high: int) -> list[int]:
+    """Indexes of a subset whose total is between ``low`` and ``high``, or as near to that as any.
 
-    ``open_`` has the hash beyond which to look and the words that remain; documents of more words
-    than that are passed over. The place is found by word counts per range of hashes, whose low
-    bits are left out as ``levels`` say. Rows of equal hashes count as one document. A pattern
-    whose documents all fit is left out.
+    Nothing where that is good; else the least total inside. Reachable totals are the bits of one
+    number. Above ``UNITS`` words in all, totals are rounded to that many units.
     """
-    places = [(p, after, rest, 0, None) for p, (after, rest) in open_.items()]
-    inside = F.lit(True)
+    if low <= 0:
+        return []
+    unit = max(1, -(-sum(sizes) // UNITS))
+    counts = [round(n / unit) for n in sizes]
+    reach = [1]
+    for n in counts:
+        reach.append(reach[-1] | reach[-1] << n)
+    low, high = -(-low // unit), max(high // unit, -(-low // unit))
+    above = reach[-1] >> low
+    up = low + (above & -above).bit_length() - 1 if above else None
+    down = (reach[-1] & ((1 << low) - 1)).bit_length() - 1
+    total = up if up is not None and (up <= high or up - high < low - down) else down
+    chosen = []
+    for i in range(len(counts), 0, -1):
+        if not reach[i - 1] >> total & 1:
+            chosen.append(i - 1)
+            total -= counts[i - 1]
+    return chosen[::-1]
+
+
+def _held_back(sized: DataFrame, wanted: dict[str, int]) -> tuple[dict[str, dict[int, int]], dict[str, int]]:
+    """Per pattern: words of the documents held back, by hash, and of all others that can be taken.
+
+    Held back are, of each length class, those of the smallest hashes, as far as they are no
+    longer than twice the wanted words. Rows of equal hashes count as one document.
+    """
+    spark = sized.sparkSession
+    rest = F.broadcast(spark.createDataFrame(list(wanted.items()), "pattern string, rest long").coalesce(1))
+    open_ = sized.select("pattern", "hash", "size").join(rest, "pattern").where("size > 0 AND size <= 2 * rest")
+    kind = F.floor(F.log2(F.col("size").cast("double")) * CLASSES)
+    order = Window.partitionBy("pattern", "kind").orderBy("hash")
+    # Only the first of each class leave a task.
+    first = open_.withColumn("kind", kind).withColumn("place", F.row_number().over(order)).where(F.col("place") <= HELD)
+    held: dict[str, set[int]] = {p: set() for p in wanted}
+    for r in first.select("pattern", "hash").distinct().collect():
+        held[r["pattern"]].add(r["hash"])
+    table = [(p, sorted(hashes)) for p, hashes in held.items()]
+    kept = F.broadcast(spark.createDataFrame(table, "pattern string, held array<long>").coalesce(1))
+    mine = F.when(F.array_contains("held", F.col("hash")), F.col("hash"))
+    sums = open_.join(kept, "pattern").where(mine.isNotNull() | (F.col("size") <= F.col("rest")))
+    words_: dict[str, dict[int, int]] = {p: {} for p in wanted}
+    others = dict.fromkeys(wanted, 0)
+    for r in sums.groupBy("pattern", mine.alias("mine")).agg(F.sum("size").alias("n")).collect():
+        if r["mine"] is None:
+            others[r["pattern"]] = r["n"]
+        else:
+            words_[r["pattern"]][r["mine"]] = r["n"]
+    return words_, others
+
+
+def _cuts(
+    sized: DataFrame, wanted: dict[str, tuple[int, list[int]]], most: int
+) -> tuple[dict[str, int], dict[str, int]]:
+    """Per pattern the hash of the first document that does not fit, and the words of those before it.
+
+    ``wanted`` has the words and the hashes that are left out; documents of more words are passed
+    over. The place is found by word counts per range of hashes. No pattern has more than ``most``
+    documents; where these are more than a level's counts, places are found 16 bits at a time, and
+    what remains to be sorted of a pattern is one document in four billion. A pattern whose
+    documents all fit has no such hash.
+    """
+    levels = (0,) if most <= LEVEL_COUNTS else (48, 32, 0)
+    cuts: dict[str, int] = {}
+    before = dict.fromkeys(wanted, 0)
+    # ``low`` is the words before the range that is looked at.
+    places = [(p, rest, held, 0, None) for p, (rest, held) in wanted.items()]
     for bits in levels:
-        # ``low`` is the words before the range that is looked at.
-        schema = "pattern string, after long, rest long, low long, inside long"
+        schema = "pattern string, rest long, held array<long>, low long, inside long"
         table = sized.sparkSession.createDataFrame(places, schema).coalesce(1)
-        if sum(len(place[0].encode()) + 96 for place in places) <= BROADCAST_BYTES:
+        if sum(len(p[0].encode()) + 96 + 8 * len(p[2]) for p in places) <= BROADCAST_BYTES:
             table = F.broadcast(table)
-        rows = sized.select("pattern", "hash", "size").join(table, "pattern").where(inside)
-        rows = rows.where("size > 0 AND size <= rest AND coalesce(hash > after, true)")
-        part = F.shiftright("hash", bits)
-        counts = rows.groupBy("pattern", part.alias("part")).agg(
-            F.sum("size").alias("n"), *[F.first(c).alias(c) for c in ("after", "rest", "low")]
+        rows = sized.select("pattern", "hash", "size").join(table, "pattern")
+        rows = rows.where("size > 0 AND size <= rest").where(~F.array_contains("held", F.col("hash")))
+        if bits != levels[0]:
+            rows = rows.where(F.shiftright("hash", above) == F.col("inside"))
+        counts = rows.groupBy("pattern", F.shiftright("hash", bits).alias("part")).agg(
+            F.sum("size").alias("n"), *[F.first(c).alias(c) for c in ("rest", "low")]
         )
         upto = Window.partitionBy("pattern").orderBy("part")
         counts = counts.withColumn("end", F.col("low") + F.sum("n").over(upto))
         # The first range that goes beyond the wanted words.
-        first = F.min(F.struct("part", (F.col("end") - F.col("n")).alias("low"), "after", "rest")).alias("m")
-        found = counts.where("end > rest").groupBy("pattern").agg(first).collect()
-        places = [(r["pattern"], r["m"]["after"], r["m"]["rest"], r["m"]["low"], r["m"]["part"]) for r in found]
-        inside = part == F.col("inside")
-    return {p: (hash_, low) for p, _, _, low, hash_ in places}
-
-
-def _steps(
-    sized: DataFrame, wanted: dict[str, int], most: int
-) -> dict[str, list[tuple[int | None, int | None, int]]]:
-    """Per pattern ``after, before, most``: what to take of the hashes between, documents of at most ``most`` words.
-
-    Together they have at most the wanted words, and no other document would fit. Each step ends
-    at a document that is too long, and the next one looks at what fits beyond it. No pattern has
-    more than ``most`` documents; where these are more than a level's counts, places are found 16
-    bits at a time, and what remains to be sorted of a pattern is one document in four billion.
-    """
-    levels = (0,) if most <= LEVEL_COUNTS else (48, 32, 0)
-    steps: dict[str, list] = {p: [] for p in wanted}
-    open_: dict[str, tuple[int | None, int]] = {p: (None, rest) for p, rest in wanted.items()}
-    while open_:
-        ends = _too_long(sized, open_, levels)
-        for p, (after, rest) in open_.items():
-            steps[p].append((after, ends[p][0] if p in ends else None, rest))
-        open_ = {p: (hash_, open_[p][1] - low) for p, (hash_, low) in ends.items() if open_[p][1] > low}
-    return steps
+        over = F.when(F.col("end") > F.col("rest"), F.struct("part", (F.col("end") - F.col("n")).alias("low")))
+        found = counts.groupBy("pattern").agg(F.min(over).alias("m"), F.max("end").alias("all")).collect()
+        places = []
+        for r in found:
+            rest, held = wanted[r["pattern"]]
+            before[r["pattern"]] = r["all"] if r["m"] is None else r["m"]["low"]
+            if r["m"] is not None:
+                cuts[r["pattern"]] = r["m"]["part"]
+                places.append((r["pattern"], rest, held, r["m"]["low"], r["m"]["part"]))
+        above = bits
+        if not places:
+            break
+    return cuts, before
+
+
+@dataclass(frozen=True)
+class _Choice:
+    """What to take once more: hashes before ``before`` of at most ``most`` words but for ``held``, and ``added``."""
+
+    before: int | None
+    most: int
+    held: list[int]
+    added: list[int]
+
+
+def _choose(sized: DataFrame, wanted: dict[str, int], most: int) -> dict[str, _Choice]:
+    """Per pattern, documents whose words come near to the wanted ones; five passes at most."""
+    if not wanted:
+        return {}
+    words_, others = _held_back(sized, wanted)
+    taken: dict[str, list[int]] = {}
+    left: dict[str, tuple[int, list[int]]] = {}
+    for p, rest in wanted.items():
+        hashes = sorted(words_[p])
+        # Those without which all others are too few, such as one document longer than all of them.
+        chosen = nearest_subset([words_[p][h] for h in hashes], rest - others[p], rest)
+        taken[p] = [hashes[i] for i in chosen]
+        left[p] = (max(0, rest - sum(words_[p][h] for h in taken[p])), hashes)
+    cuts, before = _cuts(sized, left, most)
+    out = {}
+    for p, (rest, hashes) in left.items():
+        free = sorted(set(hashes) - set(taken[p]))
+        short = rest - before[p]
+        more = nearest_subset([words_[p][h] for h in free], short, short)
+        out[p] = _Choice(cuts.get(p), rest, hashes, taken[p] + [free[i] for i in more])
+    return out
 
 
 def plan_mix(docs: DataFrame, sources: Column | None = None, params: MixParams | None = None):
-    """Three tables: ``pattern, base, steps``; ``source, source_size, target``; the sized documents.
+    """Three tables: ``pattern, base, choice``; ``source, source_size, target``; the sized documents.
 
-    A document of a pattern is taken ``base`` times, once more if it is within one of ``steps``.
+    A document of a pattern is taken ``base`` times, once more if it is in the ``choice``.
     The sized documents have ``doc_id, pattern, members, size, hash``.
     """
     params = params or MixParams()
@@ -224,10 +310,10 @@ def plan_mix(docs: DataFrame, sources: Column | None = None, params: MixParams |
         bases[row["pattern"]] = base
         if n and words_ % n:
             rest[row["pattern"]] = words_ - base * n
-    steps = _steps(sized, rest, max((r["rows"] for r in totals), default=0))
-    plan = [(p, base, steps.get(p, [])) for p, base in bases.items()]
-    step = "struct<after: long, before: long, most: long>"
-    mixed = store(spark.createDataFrame(plan, f"pattern string, base long, steps array<{step}>"))
+    chosen = _choose(sized, rest, max((r["rows"] for r in totals), default=0))
+    plan = [(p, base, astuple(chosen[p]) if p in chosen else None) for p, base in bases.items()]
+    choice = "struct<before: long, most: long, held: array<long>, added: array<long>>"
+    mixed = store(spark.createDataFrame(plan, f"pattern string, base long, choice {choice}"))
     shown = spark.createDataFrame(
         list(zip(names, sizes, wanted, strict=True)), "source string, source_size long, target double"
     )
@@ -248,12 +334,12 @@ def _keys(sources: Column | None, params: MixParams) -> list[Column]:
 
 
 def _copies() -> Column:
-    def within(step: Column) -> Column:
-        after = F.coalesce(F.col("hash") > step["after"], F.lit(True))
-        before = F.coalesce(F.col("hash") < step["before"], F.lit(True))
-        return after & before & (F.col("size") <= step["most"])
-
-    return F.col("base") + F.exists("steps", within).cast("bigint")
+    hash_, choice = F.col("hash"), F.col("choice")
+    early = F.coalesce(hash_ < choice["before"], F.lit(True)) & (F.col("size") <= choice["most"])
+    within = F.array_contains(choice["added"], hash_) | (early & ~F.array_contains(choice["held"], hash_))
+    # A document without words has no copy beyond its pattern's.
+    once_more = choice.isNotNull() & (F.col("size") > 0) & within
+    return F.col("base") + F.coalesce(once_more, F.lit(False)).cast("bigint")
 
 
 def mix_digest(docs: DataFrame, params: MixParams | None = None) -> DataFrame:
