@@ -60,11 +60,13 @@ def corpus(seed, families=12, copies=12):
     return docs
 
 
-@pytest.mark.parametrize(("k", "percent", "chunk"), [(3, 90, 512), (5, 80, 4), (1, 60, 3)])
-def test_groups_equal_brute_force(spark, odd, odd_rows, k, percent, chunk):
+@pytest.mark.parametrize(
+    ("k", "percent", "chunk", "large"), [(3, 90, 512, 16), (5, 80, 4, 2), (5, 80, 2048, 4), (1, 60, 3, 3)]
+)
+def test_groups_equal_brute_force(spark, odd, odd_rows, k, percent, chunk, large):
     docs = [(1_000 + i, t) for i, t in corpus(k)]
     frame = odd.unionByName(spark.createDataFrame(docs, "doc_id long, text string"), allowMissingColumns=True)
-    got = jaccard_digest(frame, JaccardParams(words=k, percent=percent, chunk=chunk)).collect()
+    got = jaccard_digest(frame, JaccardParams(words=k, percent=percent, chunk=chunk, large=large)).collect()
     assert sorted(map(tuple, got), key=str) == groups([r[:2] for r in odd_rows] + docs, k, percent)
 
 

@@ -13,10 +13,14 @@ one block is the same in both. An entry is the content of one block; entries wit
 go, and under each of the others stands a tree.
 
 1. Sets, vectors and blocks of every document (whole texts); equal sets become one class.
-2. Directory entries with at least two classes. Each class is first compared with the one it
-   shares most entries with, and links found that way are closed to components.
-3. Entries whose classes are not all in one component are searched by their trees, for pairs of
-   classes from different components. Pairs that pass are compared; components are closed again.
+2. Directory entries with at least two classes. An entry's leader is the class that most entries
+   hold; copies of one text share more with it than with each other. Each class is first compared
+   with the leader it shares most entries with, and links found that way are closed to components.
+3. Of entries whose classes are not all in one component: classes outside of a large component are
+   each searched for in the tree of its members, once per component and not once per entry, until
+   one link is found; a class's text goes to as many tasks as the component has cuts.
+4. Pairs of classes that are both outside of large components, and in different ones, are searched
+   by the trees of the entries they share. Pairs that pass are compared; components are closed again.
 
 * Null and empty texts have no shingle and no link. A text of fewer words than a shingle is one
   shingle, its whole sequence. Very long texts are processed whole.
@@ -33,7 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,16 +53,20 @@ class JaccardParams:
     """``percent``: least similarity. ``groups``: least length of a count vector.
 
     ``growth``: sizes of one directory level span this factor. ``chunk``: most classes one task
-    takes of an entry at a time; larger ones are cut and all pairs of cuts done. ``compared``:
-    about how many texts are compared with one in a group.
+    takes of an entry at a time; larger ones are cut and all pairs of cuts done. ``shingles``: most
+    shingles of the classes of one cut, which bounds a task's memory. ``compared``: about how many
+    texts are compared with one in a group. ``large``: from how many classes on a component is
+    searched as one.
     """
 
     words: int = 5
     percent: int = 80
     groups: int = 64
     growth: float = 1.4
-    chunk: int = 512
+    chunk: int = 2048
+    shingles: int = 1 << 21
     compared: int = 64
+    large: int = 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -242,10 +250,10 @@ def _among(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
 
 
 def _entries(texts: DataFrame, params: JaccardParams) -> DataFrame:
-    """``key, id, leader`` of the directory entries that at least two classes share.
+    """``key, id`` of the directory entries that at least two classes share.
 
-    ``texts`` has one document of each class. Entries are sorted inside the partitions and passed through one by one: what is held is one
-    batch, however many classes share an entry. The leader is an entry's least class.
+    ``texts`` has one document of each class. Entries are sorted inside the partitions and passed
+    through one by one: what is held is one batch, however many classes share an entry.
     """
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,42 +268,22 @@ def _entries(texts: DataFrame, params: JaccardParams) -> DataFrame:
     dealt = keyed.repartition("key").sortWithinPartitions("key", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_id = leader = None
+        # The last row waits for the next one, which tells whether its entry has company.
+        key, id_, before = np.empty(0, np.int64), np.empty(0, np.int64), None
         for batch in batches:
-            keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(keys):
+            key = np.concatenate([key, batch.column(0).to_numpy()])
+            id_ = np.concatenate([id_, batch.column(1).to_numpy()])
+            if len(key) < 2:
                 continue
-            starts = np.ones(len(keys), bool)
-            starts[1:] = keys[1:] != keys[:-1]
-            out_key, out_id, out_leader = [], [], []
-            joins = last_key is not None and keys[0] == last_key
-            starts[0] = not joins
-            # The first row of an entry is only known to have company when the next one comes.
-            if joins and leader is None:
-                leader = last_id
-                out_key.append(np.array([last_key])), out_id.append(np.array([last_id]))
-                out_leader.append(np.array([leader]))
-            at = np.flatnonzero(starts)
-            run_of = np.cumsum(starts) - 1
-            heads = ids[at] if len(at) else np.empty(0, np.int64)
-            leaders = np.where(run_of >= 0, heads[np.maximum(run_of, 0)] if len(at) else 0, 0)
-            if joins:
-                leaders[run_of < 0] = leader
-            lengths = np.bincount(run_of[run_of >= 0], minlength=len(at)) if len(at) else np.empty(0, int)
-            shared = run_of < 0
-            if len(at):
-                shared = shared | (lengths[np.maximum(run_of, 0)] > 1)
-            out_key.append(keys[shared]), out_id.append(ids[shared]), out_leader.append(leaders[shared])
-            tail = run_of[-1]
-            if tail >= 0:
-                leader = heads[tail] if lengths[tail] > 1 else None
-            last_key, last_id = keys[-1], ids[-1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(x).astype(np.int64)) for x in (out_key, out_id, out_leader)],
-                names=["key", "id", "leader"],
-            )
+            same = key[1:] == key[:-1]
+            shared = same | np.concatenate([[key[0] == before], same[:-1]])
+            out = key[:-1][shared], id_[:-1][shared]
+            key, id_, before = key[-1:], id_[-1:], key[-2]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["key", "id"])
+        if len(key) and key[0] == before:
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(id_)], names=["key", "id"])
 
-    return store(dealt.mapInArrow(run, "key long, id long, leader long"))
+    return store(dealt.mapInArrow(run, "key long, id long"))
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, params: JaccardParams) -> DataFrame:
@@ -331,8 +319,7 @@ def _compare(pairs: DataFrame, texts: DataFrame, params: JaccardParams) -> DataF
                 if b is None:
                     base = shingles
                     continue
-                overlap = len(base) + len(shingles) - len(np.union1d(base, shingles))
-                if 100 * overlap >= params.percent * (len(base) + len(shingles) - overlap):
+                if _similar(base, shingles, params.percent):
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"]
@@ -364,7 +351,10 @@ def _possible(a: DataFrame, params: JaccardParams) -> DataFrame:
 
 def _first_pairs(entries: DataFrame, points: DataFrame, params: JaccardParams) -> DataFrame:
     """Each class with the leader it shares most entries with, if their vectors allow a link."""
-    shared = entries.where("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("n"))
+    held = entries.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    rated = entries.join(held, "id").groupBy("key").agg(F.max(F.struct("n", (-F.col("id")).alias("l"))).alias("m"))
+    leaders = store(rated.select("key", (-F.col("m.l")).alias("leader")))
+    shared = entries.join(leaders, "key").where("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("n"))
     best = shared.groupBy("id").agg(F.max(F.struct("n", (-F.col("leader")).alias("l"))).alias("m"))
     pairs = store(best.select((-F.col("m.l")).alias("a"), F.col("id").alias("b")))
     left = points.select(F.col("id").alias("a"), F.col("vector").alias("va"), F.col("n").alias("na"))
@@ -373,26 +363,115 @@ def _first_pairs(entries: DataFrame, points: DataFrame, params: JaccardParams) -
     return store(_possible(both, params))
 
 
-def _tree_pairs(entries: DataFrame, labels: DataFrame, points: DataFrame, params: JaccardParams) -> DataFrame:
-    """Pairs of classes of different components that a tree search under some entry lets pass.
+def _cuts(classes: Column, shingles: Column, params: JaccardParams) -> Column:
+    by_size = F.greatest(F.ceil(classes / params.chunk), F.ceil(shingles / params.shingles))
+    return by_size.cast("int").alias("cuts")
+
+
+def _open_rows(entries: DataFrame, labels: DataFrame, points: DataFrame, params: JaccardParams) -> DataFrame:
+    """``key, id, n, component, cuts`` of entries with more than one component.
 
-    An entry with more classes than a chunk is cut, and every two cuts meet in a task of their own.
+    ``cuts`` are those of the row's component if it is large, else null.
     """
-    labelled = entries.join(labels.select("id", "component"), "id", "left").select(
-        "key", "id", F.coalesce("component", "id").alias("component")
+    named = points.select("id", "n").join(labels.select("id", "component"), "id", "left")
+    named = store(named.select("id", "n", F.coalesce("component", "id").alias("component")))
+    per = named.groupBy("component").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("all"))
+    large = per.where(F.col("classes") >= params.large).select(
+        "component", _cuts(F.col("classes"), F.col("all"), params)
     )
-    labelled = store(labelled)
+    rows = store(entries.join(named.join(large, "component", "left"), "id").select("key", "id", "n", "component", "cuts"))
+    spread = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    # Tables, so that an entry that very many share is a key Spark can split.
+    return store(rows.join(store(spread.where("low < high").select("key")), "key"))
+
+
+def _outside_links(rows: DataFrame, labels: DataFrame, texts: DataFrame, params: JaccardParams) -> DataFrame:
+    """Links ``a, b`` of classes to large components they are outside of, one per component and cut.
+
+    A class is held against a component if they share an entry; of two large components the one
+    of the higher number is held against the other.
+    """
+    present = rows.where("cuts IS NOT NULL").select("key", F.col("component").alias("c"), F.col("cuts").alias("k"))
+    met = rows.join(store(present.distinct()), "key").where("component <> c AND (cuts IS NULL OR component > c)")
+    outside = store(met.select("id", "c", "k").distinct())
+    cut = F.pmod(F.xxhash64("id"), F.col("k")).cast("int").alias("cut")
+    homes = store(outside.select("c", "k").distinct())
+    members = labels.join(homes, labels["component"] == homes["c"]).select("c", cut, F.lit(0).alias("asks"), "id")
+    cuts = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("cut")
+    asking = outside.select("c", cuts, F.lit(1).alias("asks"), "id")
+    placed = store(members.unionByName(asking))
+    some = _among(texts, store(placed.select("id").distinct()), "id", "left_semi")
+    dealt = placed.join(some, "id").select("c", "cut", "asks", "id", "text").repartition("c", "cut")
+    dealt = dealt.sortWithinPartitions("c", "cut", "asks", "id")
+    percent = params.percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, sets, tree, counts = None, [], [], None, None
+        for batch in batches:
+            found = []
+            columns = [batch.column(i).to_pylist() for i in range(4)]
+            for c, cut, asks, id_, text in zip(*columns, batch.column(4), strict=True):
+                if at != (c, cut):
+                    at, ids, sets, tree, counts = (c, cut), [], [], None, None
+                shingles = shingle_set(text.as_py().encode(), params.words)
+                if not asks:
+                    ids.append(id_), sets.append(shingles)
+                    continue
+                if not sets:
+                    continue
+                if tree is None:
+                    groups = _fine_groups(max(map(len, sets)))
+                    counts = np.stack([count_vector(s, groups) for s in sets]).astype(np.int32)
+                    tree = CountTree(counts, np.array([len(s) for s in sets]), percent)
+                mine = count_vector(shingles, counts.shape[1]).astype(np.int32)
+                near = tree.search(mine, len(shingles))
+                bound = np.minimum(counts[near], mine).sum(axis=1)
+                for i in near[np.argsort(-bound, kind="stable")]:
+                    if _similar(sets[i], shingles, percent):
+                        found.append((ids[i], id_))
+                        break
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"]
+            )
+
+    return store(dealt.mapInArrow(run, "a long, b long"))
+
+
+def _fine_groups(size: int) -> int:
+    """Length of vectors that are made where the sets are: few shingles meet in a group."""
+    groups = 64
+    while groups < 2 * size and groups < 1 << 16:
+        groups *= 2
+    return groups
+
+
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _tree_pairs(rows: DataFrame, labels: DataFrame, points: DataFrame, params: JaccardParams) -> DataFrame:
+    """Pairs of classes of different components that a tree search under some entry lets pass.
+
+    ``rows`` are those of classes outside of large components. An entry with more classes or
+    shingles than a cut is cut, and every two cuts meet in a task of their own.
+    """
+    labelled = rows.select("key", "id", "n").join(labels.select("id", "component"), "id", "left")
+    labelled = store(labelled.select("key", "id", "n", F.coalesce("component", "id").alias("component")))
     spread = labelled.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
+        F.count(F.lit(1)).alias("classes"),
+        F.sum("n").alias("all"),
     )
-    # Tables, so that an entry that very many share is a key Spark can split.
-    open_ = store(spread.where("low < high").select("key", F.ceil(F.col("n") / params.chunk).cast("int").alias("cuts")))
+    open_ = spread.where("low < high").select("key", _cuts(F.col("classes"), F.col("all"), params))
+    open_ = store(open_)
     if open_.isEmpty():
         return labelled.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
-    rows = labelled.join(open_, "key")
+    joined = labelled.drop("n").join(open_, "key")
     cut = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
     others = F.sequence(F.lit(0), F.col("cuts") - 1)
-    placed = rows.select("key", "id", "component", cut.alias("cut"), F.explode_outer(others).alias("other"))
+    placed = joined.select("key", "id", "component", cut.alias("cut"), F.explode(others).alias("other"))
     placed = placed.select(
         "key", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), "cut", "id", "component"
     )
@@ -446,7 +525,12 @@ def jaccard_groups(docs: DataFrame, params: JaccardParams | None = None) -> tupl
     entries = _entries(_among(texts, copies, "id", "left_anti"), params)
     links = _compare(_first_pairs(entries, vectors, params), texts, params)
     labels = store(components(links))
-    more = _tree_pairs(entries, labels, vectors, params)
+    rows = _open_rows(entries, labels, vectors, params)
+    near = _outside_links(rows, labels, texts, params)
+    if not near.isEmpty():
+        links = links.unionByName(near)
+        labels = store(components(links))
+    more = _tree_pairs(rows.where("cuts IS NULL"), labels, vectors, params)
     if not more.isEmpty():
         links = links.unionByName(_compare(more, texts, params))
         labels = store(components(links))
