@@ -134,6 +134,9 @@ def test_wide_groups_count_equal_ids_first(aligner, monkeypatch, wide):
     monkeypatch.setattr(m, "WIDE", wide)
     for text in TEXTS:
         found = next(aligner.align([text or ""]))
+        aligner._known.clear(), aligner._older.clear()
+        parts = next(aligner.parts([text or ""]))
+        assert (found is None) == (parts is None)
         if found is None:
             continue
         a_group, b_group = found.groups()
@@ -143,9 +146,11 @@ def test_wide_groups_count_equal_ids_first(aligner, monkeypatch, wide):
             for x in found.a[a_group == g].tolist()
             for y in found.b[b_group == g].tolist()
         )
-        codes, times, n = m.linked_pairs(found, 32_000)
-        assert dict(zip(codes.tolist(), times.tolist())) == {x * 32_000 + y: c for (x, y), c in links.items()}
-        assert n == sum(links.values())
+        codes, times = m.linked_pairs(parts)
+        assert dict(zip(codes.tolist(), times.tolist())) == {x * aligner.width + y: c for (x, y), c in links.items()}
+        counts = m.unpacked(sum(p.counts for p in parts))
+        assert counts == (len(found.a), len(found.b), len(found.cuts), sum(links.values()))
+    aligner._known.clear(), aligner._older.clear()
 
 
 @settings(max_examples=150, deadline=None)
@@ -158,6 +163,36 @@ def test_refined_ends_are_those_of_the_bytes(aligner, text):
         assert found.a_ends.tolist() == expected[2] and found.b_ends.tolist() == expected[3]
 
 
+@settings(max_examples=300, deadline=None)
+@given(text=st.text(st.sampled_from("ab'sZ9.,-é漢\x1c\xa0\u2003\u3000 \n\t▁\U0001f600"), min_size=1, max_size=30))
+def test_segments_are_encoded_as_in_the_whole_text(aligner, text):
+    whole = next(aligner.align([text]))
+    parts = next(aligner.parts([text]))
+    assert (whole is None) == (parts is None)
+    if whole is not None:
+        groups = plain_groups(whole)
+        assert b";".join(p.groups for p in parts).decode() == groups
+
+
+def plain_groups(found):
+    a_group, b_group = found.groups()
+    return ";".join(
+        ",".join(map(str, found.a[a_group == g])) + "|" + ",".join(map(str, found.b[b_group == g]))
+        for g in range(len(found.cuts))
+    )
+
+
+def test_other_vocabularies_are_not_cut(aligner):
+    assert aligner.splits and aligner.segments("a b  c\n d") == [" a", " b", "  c\n d"]
+    whole = m.Aligner(PARAMS)
+    whole.splits = False
+    for text in TEXTS:
+        one, many = next(whole.parts([text or ""])), next(aligner.parts([text or ""]))
+        assert (one is None) == (many is None)
+        if one is not None:
+            assert one[0].groups == b";".join(p.groups for p in many)
+
+
 def test_a_space_mark_has_no_tokens(spark):
     assert digest(spark, ["a ▁ b", None, ""]) == [(0, 0, 0, 0, 0, 0, "")] * 3
 

@@ -6,6 +6,10 @@ the libraries report, characters for A and the spans of the encoded message for
 cuts: a token that ends inside a character, or a piece that stands for one byte of it, has no
 place of its own there. Their ends are refined by the lengths of the tokens' decoded bytes.
 
+Where both vocabularies let no token run from a character on into a space, a text is the sequence
+of its segments, each a space and what follows it, and these are encoded one by one; the segments
+that a task has met before are not encoded again.
+
 Bytes at which tokens of both end cut the text into groups. Every token of A in a group is linked
 with every one of B in it; over the corpus, a pair of ids counts the documents that hold it linked.
 
@@ -23,8 +27,11 @@ import functools
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +46,9 @@ from tidemark.operators.sizing import store
 BATCH_CHARS = 1 << 20
 # Links of a group, above which equal ids of it are counted before they are paired.
 WIDE = 1 << 12
+# Segments of at most so many characters are remembered, about as many of them as said.
+SHORT, KNOWN = 48, 150_000
+_SEGMENT = re.compile(r"(?<=[!-~])(?= [\s\S])")
 # Pairs with more than this share of all are joined by broadcast; there are at most a million.
 HOT_SHARE = 1e-6
 
@@ -89,6 +99,31 @@ def refine(begins: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return np.where(open_, base + total, ends)
 
 
+class Part(NamedTuple):
+    """What a segment adds to its text: counts, the text of its groups, and one code per link.
+
+    ``counts`` holds ``n_a, n_b, n_groups, n_links`` in one number, so that a text's are one sum.
+    Links of wide groups come apart, as distinct codes and how often each occurs.
+    """
+
+    counts: int
+    groups: bytes
+    codes: bytes
+    wide: tuple[np.ndarray, np.ndarray] | None
+
+
+_FIELD = 48
+
+
+def packed(n_a: int, n_b: int, n_groups: int, n_links: int) -> int:
+    return n_a | n_b << _FIELD | n_groups << 2 * _FIELD | n_links << 3 * _FIELD
+
+
+def unpacked(counts: int) -> tuple[int, int, int, int]:
+    low = (1 << _FIELD) - 1
+    return counts & low, counts >> _FIELD & low, counts >> 2 * _FIELD & low, counts >> 3 * _FIELD
+
+
 class Aligner:
     """Both tokenizers, with the decoded bytes of every id."""
 
@@ -101,61 +136,176 @@ class Aligner:
         self.first = Tokenizer.from_file(params.first)
         self.first.encode_special_tokens = True
         self.second = sentencepiece.SentencePieceProcessor(model_file=params.second)
-        alphabet = byte_alphabet()
+        alphabet, described = byte_alphabet(), json.loads(self.first.to_str())
         names = [self.first.id_to_token(i) or "" for i in range(self.first.get_vocab_size())]
-        plain = {t["id"] for t in json.loads(self.first.to_str())["added_tokens"]}
-        self.a_bytes = [
-            t.encode() if i in plain else bytes(alphabet[c] for c in t) for i, t in enumerate(names)
-        ]
-        self.b_bytes = [self._piece(i) for i in range(self.second.get_piece_size())]
+        plain = {t["id"] for t in described["added_tokens"]}
+        self.a_bytes = [t.encode() if i in plain else bytes(alphabet[c] for c in t) for i, t in enumerate(names)]
+        pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
+        self.b_bytes = [self._decoded(i, piece) for i, piece in enumerate(pieces)]
         self.a_sizes = np.array([len(t) for t in self.a_bytes], np.int64)
         self.b_sizes = np.array([len(t) for t in self.b_bytes], np.int64)
-
-    def _piece(self, i: int) -> bytes:
-        piece = self.second.id_to_piece(i)
+        self.width = len(pieces)
+        # The byte-level pattern takes spaces only before what follows them, and no merge can make a
+        # piece that is not in the vocabulary.
+        by_word = described["pre_tokenizer"] or {}
+        self.splits = (
+            by_word.get("type") == "ByteLevel"
+            and by_word.get("use_regex", False)
+            and not by_word.get("add_prefix_space", False)
+            and described["normalizer"] is None
+            and not any(re.search("[^▁]▁", piece) for piece in pieces)
+        )
+        self._known: dict[str, Part | None] = {}
+        self._older: dict[str, Part | None] = {}
+
+    def _decoded(self, i: int, piece: str) -> bytes:
         if self.second.is_byte(i):
             return bytes([int(piece[3:-1], 16)])
         return piece.replace("▁", " ").encode()
 
     def align(self, texts: list[str]) -> Iterator[Alignment | None]:
         """One alignment per text, None for one without tokens."""
-        start = 0
-        while start < len(texts):
-            stop, chars = start + 1, len(texts[start])
-            while stop < len(texts) and chars + len(texts[stop]) <= BATCH_CHARS:
-                chars += len(texts[stop])
-                stop += 1
-            some = texts[start:stop]
-            first = self.first.encode_batch([f" {t}" for t in some], add_special_tokens=False)
-            for i, text in enumerate(some):
-                yield self._one(text, first[i]) if text else None
-                first[i] = None
-            start = stop
-
-    def _one(self, text: str, first) -> Alignment | None:
-        full = f" {text}"
-        raw = full.encode()
-        a = first.ids
-        if b"".join([self.a_bytes[i] for i in a]) != raw:
-            return None
-        pieces = self.second.encode(text, return_type="proto").pieces
-        b = [p.id for p in pieces]
-        if b"".join([self.b_bytes[i] for i in b]) != raw:
-            return None
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        spans = np.array(first.offsets, np.int64)
-        if len(raw) > len(full):
+        for some in _bounded(texts):
+            for text in some:
+                kept, found = self._encoded([f" {text}"]) if text else ([], None)
+                yield found if kept else None
+
+    def _encoded(self, fulls: list[str]) -> tuple[list[int], Alignment | None]:
+        """Which of the texts (each a space and more) have tokens, and the alignment of those, one after the other."""
+        first = self.first.encode_batch(fulls, add_special_tokens=False)
+        second = [m.pieces for m in self.second.encode([f[1:] for f in fulls], return_type="proto", num_threads=1)]
+        raws = [f.encode() for f in fulls]
+        a_ids, b_ids = [e.ids for e in first], [[p.id for p in pieces] for pieces in second]
+        kept = list(range(len(fulls)))
+        if not (self._joined(a_ids, self.a_bytes, raws) and self._joined(b_ids, self.b_bytes, raws)):
+            # Some text does not come back from its tokens.
+            kept = [
+                i
+                for i in kept
+                if self._joined(a_ids[i : i + 1], self.a_bytes, raws[i : i + 1])
+                and self._joined(b_ids[i : i + 1], self.b_bytes, raws[i : i + 1])
+            ]
+        if not kept:
+            return kept, None
+        a = np.array(list(chain.from_iterable([a_ids[i] for i in kept])), np.int64)
+        b = np.array(list(chain.from_iterable([b_ids[i] for i in kept])), np.int64)
+        places = chain.from_iterable(chain.from_iterable([first[i].offsets for i in kept]))
+        spans = np.fromiter(places, np.int64, 2 * len(a)).reshape(-1, 2)
+        chars = np.array([len(fulls[i]) for i in kept], np.int64)
+        spans += np.repeat(np.cumsum(chars) - chars, [len(a_ids[i]) for i in kept])[:, None]
+        sizes = np.array([len(raws[i]) for i in kept], np.int64)
+        if sizes.sum() > chars.sum():
             # Characters to bytes.
-            points = np.frombuffer(full.encode("utf-32-le"), np.uint32)
+            points = np.frombuffer("".join([fulls[i] for i in kept]).encode("utf-32-le"), np.uint32)
             widths = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
             spans = np.concatenate([[0], np.cumsum(widths)])[spans]
         a_ends = refine(spans[:, 0], spans[:, 1], self.a_sizes[a])
-        # The message counts bytes of the text, without the space.
-        b_begins = np.array([p.begin for p in pieces], np.int64) + 1
-        b_ends = np.array([p.end for p in pieces], np.int64) + 1
-        b_begins[0] = 0
-        b_ends = refine(b_begins, b_ends, self.b_sizes[b])
-        return Alignment(a, b, a_ends, b_ends, np.intersect1d(a_ends, b_ends, assume_unique=True))
+        # The messages count bytes of the text, without the space.
+        counts = [len(b_ids[i]) for i in kept]
+        starts = np.cumsum(sizes) - sizes
+        begins = np.array([p.begin for i in kept for p in second[i]], np.int64) + np.repeat(starts + 1, counts)
+        ends = np.array([p.end for i in kept for p in second[i]], np.int64) + np.repeat(starts + 1, counts)
+        begins[np.cumsum(counts) - counts] = starts
+        b_ends = refine(begins, ends, self.b_sizes[b])
+        return kept, Alignment(a, b, a_ends, b_ends, np.intersect1d(a_ends, b_ends, assume_unique=True))
+
+    @staticmethod
+    def _joined(ids: list[list[int]], decoded: list[bytes], raws: list[bytes]) -> bool:
+        """Whether the tokens of every text join to it."""
+        parts = [decoded[i] for i in chain.from_iterable(ids)]
+        if b"".join(parts) != b"".join(raws):
+            return False
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        counts = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        return bool(counts.min() > 0 and (ends[counts - 1] == np.cumsum(list(map(len, raws)))).all())
+
+    def segments(self, text: str) -> list[str]:
+        """A space and the text, cut before each space between a visible ASCII character and another one."""
+        return _SEGMENT.split(f" {text}") if self.splits else [f" {text}"]
+
+    def parts(self, texts: list[str]) -> Iterator[list[Part] | None]:
+        """The parts of each text, None for one without tokens."""
+        for some in _bounded(texts):
+            cut = [self.segments(t) if t else [] for t in some]
+            # What was met since the last change of the two lists stays, the rest goes.
+            if len(self._known) > KNOWN:
+                self._known, self._older = {}, self._known
+            known, older = self._known, self._older
+            met = {s for segments in cut for s in segments}
+            new = dict.fromkeys(met.difference(known, older))
+            known.update((s, older[s]) for s in met.difference(known, new))
+            for batch in _bounded(list(new)):
+                new.update(self._made(batch))
+            long = {s: new[s] for s in new if len(s) > SHORT}
+            known.update((s, part) for s, part in new.items() if s not in long)
+            for segments in cut:
+                found = [known[s] if s in known else long[s] for s in segments]
+                yield found if found and None not in found else None
+
+    def _made(self, segments: list[str]) -> Iterator[tuple[str, Part]]:
+        """The parts of those segments that have tokens, all worked out together."""
+        kept, found = self._encoded(segments)
+        if not kept:
+            return
+        n, m = len(kept), len(found.cuts)
+        stops = np.cumsum([len(segments[i].encode()) for i in kept])
+        a_group, b_group = found.groups()
+        of_group = np.searchsorted(stops, found.cuts)
+        a_count, b_count = np.bincount(a_group, minlength=m), np.bincount(b_group, minlength=m)
+        links = a_count * b_count
+        sums = [np.bincount(of_group, c, n).astype(np.int64).tolist() for c in (a_count, b_count, np.ones(m), links)]
+
+        # Every token of A with all of B in its group, unless the group is wide.
+        wide = links > WIDE
+        narrow = ~wide[a_group]
+        first = (np.cumsum(b_count) - b_count)[a_group[narrow]]
+        each = b_count[a_group[narrow]]
+        at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each - first, each)
+        codes = np.repeat(found.a[narrow], each) * self.width + found.b[at]
+        code_stops = np.cumsum(np.bincount(of_group, np.where(wide, 0, links), n).astype(np.int64)) * 8
+        raw = codes.tobytes()
+
+        # Ids in the order of their groups, those of A before those of B, and the mark after each.
+        kind = np.concatenate([np.zeros(len(a_group), np.int64), np.ones(len(b_group), np.int64)])
+        group = np.concatenate([a_group, b_group])
+        order = np.argsort(group * 2 + kind, kind="stable")
+        kind, group = kind[order], group[order]
+        ids = np.concatenate([found.a, found.b])[order].tolist()
+        mark = np.where(group[1:] != group[:-1], 2, np.where(kind[1:] != kind[:-1], 1, 0))
+        texts = [f"{i}{c}" for i, c in zip(ids, [",|;"[k] for k in mark.tolist()] + [";"], strict=True)]
+        text_stops = np.cumsum(np.bincount(of_group[group], minlength=n)).tolist()
+
+        apart = self._wide(found, a_group, b_group, np.flatnonzero(wide), of_group)
+        start = low = 0
+        for j, (i, stop, high) in enumerate(zip(kept, text_stops, code_stops.tolist(), strict=True)):
+            counts = packed(*[c[j] for c in sums])
+            yield segments[i], Part(counts, "".join(texts[start:stop])[:-1].encode(), raw[low:high], apart.get(j))
+            start, low = stop, high
+
+    def _wide(self, found: Alignment, a_group, b_group, groups, of_group) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Per segment the distinct pairs of its wide groups, and how often each is linked.
+
+        Groups without a common cut for long, such as runs of one character, repeat few ids.
+        """
+        out: dict[int, list] = {}
+        for g in groups:
+            ids, n_a = np.unique(found.a[slice(*np.searchsorted(a_group, [g, g + 1]))], return_counts=True)
+            others, n_b = np.unique(found.b[slice(*np.searchsorted(b_group, [g, g + 1]))], return_counts=True)
+            pairs = (ids[:, None] * self.width + others).ravel(), (n_a[:, None] * n_b).ravel()
+            out.setdefault(int(of_group[g]), []).append(pairs)
+        return {j: tuple(np.concatenate(c) for c in zip(*pairs, strict=True)) for j, pairs in out.items()}
+
+
+def _bounded(texts: list[str]) -> Iterator[list[str]]:
+    """Consecutive texts of about ``BATCH_CHARS`` characters together, at least one at a time."""
+    start = 0
+    while start < len(texts):
+        stop, chars = start + 1, len(texts[start])
+        while stop < len(texts) and chars + len(texts[stop]) <= BATCH_CHARS:
+            chars += len(texts[stop])
+            stop += 1
+        yield texts[start:stop]
+        start = stop
 
 
 @functools.lru_cache(maxsize=2)
@@ -163,49 +313,14 @@ def _aligner(params: AlignParams) -> Aligner:
     return Aligner(params)
 
 
-def linked_pairs(found: Alignment, width: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Distinct linked pairs as ``a * width + b``, how often each is linked, and the number of links."""
-    a_group, b_group = found.groups()
-    n = len(found.cuts)
-    a_count, b_count = np.bincount(a_group, minlength=n), np.bincount(b_group, minlength=n)
-    links = a_count * b_count
-    wide = links > WIDE
-    a, times = found.a, None
-    if wide.any():
-        a = a[~wide[a_group]]
-        a_group = a_group[~wide[a_group]]
-    # Every token of A with all of B in its group.
-    first = np.concatenate([[0], np.cumsum(b_count)])[a_group]
-    each = b_count[a_group]
-    skipped = np.cumsum(each) - each
-    at = np.arange(each.sum()) - np.repeat(skipped - first, each)
-    codes, times = np.unique(np.repeat(a, each) * width + found.b[at], return_counts=True)
-    if wide.any():
-        # Groups without a common cut for long, such as runs of one character, repeat few ids.
-        a_group, b_group = found.groups()
-        more, counts = [codes], [times]
-        for g in np.flatnonzero(wide):
-            ids, n_a = np.unique(found.a[slice(*np.searchsorted(a_group, [g, g + 1]))], return_counts=True)
-            others, n_b = np.unique(found.b[slice(*np.searchsorted(b_group, [g, g + 1]))], return_counts=True)
-            more.append((ids[:, None] * width + others).ravel())
-            counts.append((n_a[:, None] * n_b).ravel())
-        codes, place = np.unique(np.concatenate(more), return_inverse=True)
-        times = np.bincount(place, np.concatenate(counts)).astype(np.int64)
-    return codes, times, int(links.sum())
-
-
-def groups_text(found: Alignment) -> str:
-    """``a1,a2|b1;a3|b2,b3``: ids of each group, of A before the bar."""
-    a_group, b_group = found.groups()
-    kind = np.concatenate([np.zeros(len(a_group), np.int64), np.ones(len(b_group), np.int64)])
-    order = np.argsort(np.concatenate([a_group, b_group]) * 2 + kind, kind="stable")
-    kind, group = kind[order], np.concatenate([a_group, b_group])[order]
-    ids = np.concatenate([found.a, found.b])[order]
-    # The mark after a token: of the next one's kind and group.
-    mark = np.where(group[1:] != group[:-1], 2, np.where(kind[1:] != kind[:-1], 1, 0))
-    marks = ",|;"
-    parts = [f"{i}{marks[m]}" for i, m in zip(ids[:-1].tolist(), mark.tolist(), strict=True)]
-    return "".join(parts) + str(ids[-1])
+def linked_pairs(parts: list[Part]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct linked pairs of a text, and how often each is linked."""
+    codes, times = np.unique(np.frombuffer(b"".join([p.codes for p in parts]), np.int64), return_counts=True)
+    wide = [p.wide for p in parts if p.wide is not None]
+    if wide:
+        codes, place = np.unique(np.concatenate([codes, *[w[0] for w in wide]]), return_inverse=True)
+        times = np.bincount(place, np.concatenate([times, *[w[1] for w in wide]])).astype(np.int64)
+    return codes, times
 
 
 def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -221,34 +336,34 @@ def alignments(docs: DataFrame, params: AlignParams, keep: tuple[str, ...] = ("d
     """Per row the columns of ``keep``, ``a, b`` (ids), ``a_ends, b_ends`` (bytes of space and text) and ``cuts``."""
     names = ["a", "b", "a_ends", "b_ends", "cuts"]
 
-    def columns(found: list[Alignment | None]) -> list[pa.Array]:
-        lists = [[_NONE if f is None else getattr(f, n) for f in found] for n in names]
-        return [_lists(values, pa.int64()) for values in lists]
+    def columns(aligner: Aligner, texts: list[str]) -> list[pa.Array]:
+        found = list(aligner.align(texts))
+        return [_lists([_NONE if f is None else getattr(f, n) for f in found], pa.int64()) for n in names]
 
     schema = ", ".join(f"{n} array<bigint>" for n in names)
     return _mapped(docs, params, keep, schema, names, columns)
 
 
-def _mapped(docs, params, keep, schema, names, columns) -> DataFrame:
-    """``keep`` and the columns made of the alignments of every batch."""
+def _mapped(
+    docs: DataFrame,
+    params: AlignParams,
+    keep: tuple[str, ...],
+    schema: str,
+    names: list[str],
+    columns: Callable[[Aligner, list[str]], list[pa.Array]],
+) -> DataFrame:
+    """``keep`` and the columns made of the texts, a bounded part of a batch at a time."""
     rows = docs.select(*keep, text_of().alias("_text"))
     kept = rows.select(*keep).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(params)
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            # Results are made of a bounded part of the batch at a time.
             start = 0
-            while start < len(texts):
-                stop, chars = start, 0
-                while stop < len(texts) and (stop == start or chars + len(texts[stop]) <= BATCH_CHARS):
-                    chars += len(texts[stop])
-                    stop += 1
-                made = columns(list(aligner.align(texts[start:stop])))
-                cut = [batch.column(i).slice(start, stop - start) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*cut, *made], names=[*keep, *names])
-                start = stop
+            for some in _bounded(batch.column(len(keep)).to_pylist()):
+                cut = [batch.column(i).slice(start, len(some)) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*cut, *columns(aligner, some)], names=[*keep, *names])
+                start += len(some)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields)
     return rows.mapInArrow(run, f"{fields}, {schema}")
@@ -273,15 +388,15 @@ def linked_documents(docs: DataFrame, params: AlignParams) -> Linked:
     kind = "int" if narrow else "bigint"
     names = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes", "times"]
 
-    def columns(found: list[Alignment | None]) -> list[pa.Array]:
+    def columns(aligner: Aligner, texts: list[str]) -> list[pa.Array]:
         counts, hashes, codes, times = [], [], [], []
-        for f in found:
-            if f is None:
+        for parts in aligner.parts(texts):
+            if parts is None:
                 counts.append((0, 0, 0, 0)), hashes.append(""), codes.append(_NONE), times.append(_NONE)
                 continue
-            pairs, each, links = linked_pairs(f, width)
-            counts.append((len(f.a), len(f.b), len(f.cuts), links))
-            hashes.append(hashlib.sha256(groups_text(f).encode()).hexdigest())
+            counts.append(unpacked(sum([p.counts for p in parts])))
+            hashes.append(hashlib.sha256(b";".join([p.groups for p in parts])).hexdigest())
+            pairs, each = linked_pairs(parts)
             codes.append(pairs), times.append(each)
         numbers = [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
         element = pa.int32() if narrow else pa.int64()
