@@ -1,11 +1,14 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm.pii import KINDS, LABELERS, _reliabilities, detect_pii, pii_digest
 from tidemark.llm.secrets import ownership, redact_secrets, scan_secrets, secret_digest
+from tidemark.llm.text import scan, slices, uncovered
 
 TEXTS = [
     "write to a@b.c+d@e.f or x@y and ..@-.- é@é.com ab+@c-d.e-f.g.",
@@ -155,3 +158,64 @@ def test_values_of_two_owners_are_reported_and_redacted(spark):
     texts = {r.doc_id: r.text for r in redact_secrets(docs).collect()}
     assert texts[0] == texts[1] == "key [SECRET] and [SECRET] end"
     assert texts[10] == rows[2][1]
+
+
+MANY = 100_000
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """One text with many matches of several kinds, some of them inside of others."""
+    pii = " ".join(f"+49 30 {1000000 + i} é {100000000 + i}" for i in range(MANY))
+    secrets = " ".join(f"é token={i:08x}abcd{i * 7919:08x}" for i in range(MANY))
+    rows = [(1, pii, "en", "o"), (2, secrets, "en", "o")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+@pytest.mark.parametrize("what", ["pii", "secrets", "redact"])
+def test_many_matches_in_one_text(many, what):
+    """Positions, overlaps and redaction take time in proportion, not with the square."""
+    run = {
+        "pii": lambda: pii_digest(detect_pii(many.where("doc_id = 1"))).collect()[0],
+        "secrets": lambda: secret_digest(scan_secrets(many.where("doc_id = 2"))).collect()[0],
+        "redact": lambda: redact_secrets(many.where("doc_id = 2")).collect()[0],
+    }[what]
+    start = time.monotonic()
+    row = run()
+    assert time.monotonic() - start < 20
+    text = many.where(f"doc_id = {row.doc_id}").first().text
+    if what == "pii":
+        assert ((row.n_email, row.n_ip, row.n_card, row.n_phone), row.base_sha256) == brute(text, PII, False)
+        assert row.n_phone == MANY
+    elif what == "secrets":
+        assert ((row.n_assign, row.n_access, row.n_hex), row.base_sha256) == brute(text, SECRETS, True)
+    else:
+        assert row.text == " ".join(["é [SECRET]"] * MANY)
+
+
+def spans_of(rows):
+    return F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("stop")) for a, b in rows])
+
+
+def test_uncovered_equals_brute_force(spark):
+    r, one = random.Random(5), spark.range(1)
+    for _ in range(12):
+        sides = []
+        for _ in range(2):
+            starts = sorted(r.randint(0, 60) for _ in range(r.randint(1, 12)))
+            sides.append([(a, a + r.randint(1, 6)) for a in starts])
+        mine, others = sides
+        got = one.select(uncovered(spans_of(mine), spans_of(others)).alias("s")).first().s
+        assert [tuple(s) for s in got] == [(a, b) for a, b in mine if all(b <= c or d <= a for c, d in others)]
+
+
+def test_slices_and_scan(spark):
+    text = "".join(chr(97 + i % 26) if i % 3 else "é" for i in range(20_000))
+    places = [(0, 0), (0, 5), (8190, 8195), (10, 19_990), (19_999, 20_000), (8192, 8192), (16_384, 16_390)]
+    row = spark.range(1).select(
+        slices(F.lit(text), spans_of(places)).alias("s"),
+        scan(F.array(*[F.lit(i) for i in range(1, 20)]), lambda a, b: a + b).alias("sums"),
+        scan(F.array(F.lit(4)), F.greatest).alias("one"),
+    ).first()
+    assert row.s == [text[a:b] for a, b in places]
+    assert row.sums == [i * (i + 1) // 2 for i in range(1, 20)] and row.one == [4]

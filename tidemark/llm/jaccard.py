@@ -548,7 +548,7 @@ def jaccard_groups(docs: DataFrame, params: JaccardParams | None = None) -> tupl
 
 def jaccard_digest(docs: DataFrame, params: JaccardParams) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
-    table, groups, c = jaccard_groups(docs, params)
+    table, groups, c = jaccard_groups(docs.select("doc_id", "text"), params)
     mine = table.select("doc_id", F.col(c["row"]).alias("row"), F.col(c["n"]).alias("n_shingles"))
     return mine.join(groups, "row").select("doc_id", "n_shingles", F.col("group_id").alias("component_id"))
 

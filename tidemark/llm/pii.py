@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import const_array, find_all, let, text_of
+from tidemark.llm.text import const_array, find_all, let, text_of, uncovered
 from tidemark.operators.sizing import store
 
 # Base patterns. A look behind or the end of the last match ties each to the start of a run, and
@@ -244,10 +244,8 @@ def detect_pii(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), params: Pii
                 F.round(p, 6).alias("probability"),
             )
 
-        def free(c: Column) -> Column:
-            return ~F.exists(base, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
-
-        judged = F.transform(F.filter(d["all"], lambda c: c["base"] | free(c)), judge)
+        loose = F.filter(d["all"], lambda c: ~c["base"])
+        judged = F.transform(F.concat(base, uncovered(loose, base)), judge)
         return F.filter(judged, lambda c: c["base"] | (c["probability"] >= params.threshold))
 
     out = let(F.struct(F.col("_all").alias("all"), weights.alias("w")), decide)

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import find_all, let, text_of
+from tidemark.llm.text import find_all, let, scan, slices, text_of, uncovered
 from tidemark.operators.sizing import store
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
@@ -123,7 +123,7 @@ def _with_counts(rows: DataFrame, params: SecretParams) -> DataFrame:
 def _search(
     docs: DataFrame, keep: Sequence[str], owner: Column | None, repository: Column | None, params: SecretParams
 ) -> DataFrame:
-    """A table of ``_row, _keep_0.., owner, repository, _all``: the kept columns and all candidates."""
+    """``_keep_0.., owner, repository, _all``: the kept columns and all candidates."""
     owner = F.col("source") if owner is None else owner
     repository = F.col("lang") if repository is None else repository
     searched = docs.select(
@@ -135,7 +135,11 @@ def _search(
     spans = _spans(F.col("_t"))
     found = searched.select("*", *[spans[k].alias(f"_{k}") for k in KINDS])
     found = found.withColumn("_all", _candidates({k: F.col(f"_{k}") for k in KINDS}, params))
-    return store(found.drop("_t", *[f"_{k}" for k in KINDS]).withColumn("_row", F.monotonically_increasing_id()))
+    return found.drop("_t", *[f"_{k}" for k in KINDS])
+
+
+def _numbered(found: DataFrame) -> DataFrame:
+    return store(found.withColumn("_row", F.monotonically_increasing_id()))
 
 
 def _judge(found: DataFrame, params: SecretParams) -> DataFrame:
@@ -161,14 +165,8 @@ def _judge(found: DataFrame, params: SecretParams) -> DataFrame:
 
     def decide(spans: Column) -> Column:
         base = F.filter(spans, lambda s: s["base"])
-
-        def free(s: Column) -> Column:
-            return ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-
-        def secret(s: Column) -> Column:
-            return s["random"] & (s["verdict"] != "example")
-
-        kept = F.filter(spans, lambda s: s["base"] | (secret(s) & free(s)))
+        added = F.filter(spans, lambda s: ~s["base"] & s["random"] & (s["verdict"] != "example"))
+        kept = F.array_sort(F.concat(base, uncovered(added, base)))
         return F.transform(kept, lambda s: s.dropFields("random"))
 
     judged = _with_counts(one, params).select("_row", span.alias("_s"))
@@ -191,7 +189,7 @@ def scan_secrets(
     without candidates are not shuffled.
     """
     params = params or SecretParams()
-    found = _search(docs, keep, owner, repository, params)
+    found = _numbered(_search(docs, keep, owner, repository, params))
     spans = _judge(found, params)
     out = [F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)]
     hits = found.where(F.size("_all") > 0).join(spans, "_row").select(*out, "spans")
@@ -236,37 +234,36 @@ def redact_secrets(
 ) -> DataFrame:
     """The same rows and columns; in texts every span is replaced by ``mark``, overlaps by one.
 
-    ``n_chars``, where there is such a column, follows the text. Rows without candidates pass
-    as they are and are not shuffled.
+    ``n_chars``, where there is such a column, follows the text. Only rows with candidates are
+    stored and shuffled; the others pass as they are, in a second search of the texts.
     """
     params = params or SecretParams()
     columns = docs.columns
-    found = _search(docs, columns, owner, repository, params)
+    searched = _search(docs, columns, owner, repository, params)
+    found = _numbered(searched.where(F.size("_all") > 0))
     names = {c: f"_keep_{i}" for i, c in enumerate(columns)}
     plain = [F.col(k).alias(c) for c, k in names.items()]
 
     def cut(d: Column) -> Column:
-        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-        def step(acc: Column, s: Column) -> Column:
-            piece = d["text"].substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-            out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], piece, F.lit(mark))).otherwise(acc["out"])
-            return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
-
-        rest = F.lit(2**31 - 1)
-        return F.aggregate(
-            d["spans"],
-            start,
-            step,
-            lambda acc: F.concat(acc["out"], d["text"].substr((acc["at"] + 1).cast("int"), rest)),
-        )
+        """The pieces outside of all spans, each followed by a mark."""
+
+        def between(ends: Column) -> Column:
+            def piece(s: Column, i: Column) -> Column:
+                before = F.when(i > 0, ends[i - 1]).otherwise(0)
+                return F.struct(before.alias("start"), s["start"].alias("stop"))
+
+            gaps = F.filter(F.transform(d["spans"], piece), lambda g: g["stop"] >= g["start"])
+            last = F.struct(ends[F.size(ends) - 1].alias("start"), F.length(d["text"]).cast("bigint").alias("stop"))
+            return F.array_join(slices(d["text"], F.concat(gaps, F.array(last))), mark)
+
+        return let(scan(F.transform(d["spans"], lambda s: s["stop"]), F.greatest), between)
 
-    hits = found.where(F.size("_all") > 0).join(_judge(found, params), "_row")
-    hits = hits.withColumn("_cut", let(F.struct(F.col(names["text"]).alias("text"), "spans"), cut))
+    hits = found.join(_judge(found, params), "_row")
     changed = F.size("spans") > 0
+    hits = hits.withColumn("_cut", F.when(changed, let(F.struct(F.col(names["text"]).alias("text"), "spans"), cut)))
     new = {"text": F.when(changed, F.col("_cut")).otherwise(F.col(names["text"]))}
     if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
         new["n_chars"] = F.when(changed, F.length("_cut").cast(kind)).otherwise(F.col(names["n_chars"]))
     cleaned = hits.select(*[new.get(c, F.col(k)).alias(c) for c, k in names.items()])
-    return found.where(F.size("_all") == 0).select(*plain).unionByName(cleaned)
+    return searched.where(F.size("_all") == 0).select(*plain).unionByName(cleaned)
