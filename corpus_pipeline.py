@@ -18,6 +18,7 @@ from tidemark.llm.packing import PackParams, pack, pieces
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.secrets import redact_secrets
 from tidemark.operators.sizing import store
+from tidemark.session import run_scratch, scratch_path
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
@@ -29,8 +30,14 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words, similarity of 0.8 or more."""
-    return keep_one(docs, JaccardParams(words=5, percent=80))
+    """One document of each group of near copies: five words, similarity of 0.8 or more.
+
+    The search stores more than its result holds, and that goes before the next stage starts.
+    """
+    path = scratch_path(spark, "distinct")
+    with run_scratch(spark):
+        keep_one(docs, JaccardParams(words=5, percent=80)).write.parquet(path)
+    return spark.read.schema(docs.schema).parquet(path)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
