@@ -1,8 +1,13 @@
 """Personal data: weak labelers vote on candidate spans, EM weighs them, a classifier decides.
 
 Every valid base span (email, ip, card, phone) is kept. Looser candidates (numbers, handles,
-names) are added when the classifier, trained on the labelers' combined opinion, gives them a
-probability of at least ``threshold``.
+names) are added when the classifier gives them a probability of at least ``threshold``.
+
+Labelers are patterns, gazetteers and words near a candidate; each votes for, against or not at
+all. Expectation-maximisation finds how often each casts which vote on personal data and on other
+text, and how much of a kind's candidates is personal data; base spans are known to be. The
+classifier is trained towards what that says of each candidate, on votes, kind, length and the
+two words before it, hashed, so it can tell apart what the labelers vote alike on.
 
 * Null text counts as empty and has no spans; a null id stays null.
 * Very long texts are searched whole; no pattern has to try a run of characters from each place in it.
@@ -14,8 +19,10 @@ probability of at least ``threshold``.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,16 +58,26 @@ AGAINST = r"(?:order|page|version|isbn|issue|invoice|total|year|figure|table|cha
 
 LABELERS = 6
 _LENGTHS = 4
-_FEATURES = len(KINDS) + 3 * LABELERS + _LENGTHS
+# Numbers for the words before a candidate, besides that of no word.
+_WORDS = 32
+_FEATURES = len(KINDS) + 3 * LABELERS + _LENGTHS + 2 * (_WORDS + 1)
 _CANDIDATES = "array<struct<kind:int,start:bigint,stop:bigint,base:boolean,features:array<int>>>"
 
 
 @dataclass(frozen=True)
 class PiiParams:
+    """``trained``: most candidates the classifier is trained on, those of the smallest hashes.
+
+    Votes are counted over all candidates. ``prior``: weight, in candidates, of the votes that
+    are expected of a labeler, for one that votes as its class says, not at all, or the other way.
+    """
+
     threshold: float = 0.9
     em_rounds: int = 40
     train_rounds: int = 400
     context: int = 24
+    trained: int = 20_000
+    prior: tuple[float, float, float] = (3.0, 3.0, 1.0)
 
 
 def _digits(match: Column) -> Column:
@@ -143,10 +160,20 @@ def _votes(kind: str, match: Column, left: Column) -> list[Column]:
 
 
 def _features(kind: str, span: Column) -> Column:
+    """Indices of what holds: the kind, a vote of each labeler, the length, the two words before."""
     first = len(KINDS)
     votes = [v + (first + 3 * i) for i, v in enumerate(_votes(kind, span["match"], span["left"]))]
     length = F.least(F.length(span["match"]) / F.lit(8), F.lit(_LENGTHS - 1)).cast("int") + first + 3 * LABELERS
-    return F.array(F.lit(KINDS.index(kind)), *votes, length).cast("array<int>")
+    words, left = first + 3 * LABELERS + _LENGTHS, F.lower(span["left"])
+    near = [
+        F.regexp_extract(left, r"([a-z]+)[^a-z]*$", 1),
+        F.regexp_extract(left, r"([a-z]+)[^a-z]+[a-z]+[^a-z]*$", 1),
+    ]
+    hashed = [
+        F.when(w == "", 0).otherwise(1 + F.pmod(F.xxhash64(w), F.lit(_WORDS))) + (words + i * (_WORDS + 1))
+        for i, w in enumerate(near)
+    ]
+    return F.array(F.lit(KINDS.index(kind)), *votes, length, *hashed).cast("array<int>")
 
 
 def _candidates(spans: dict[str, Column]) -> Column:
@@ -165,51 +192,91 @@ def _candidates(spans: dict[str, Column]) -> Column:
     return F.concat(*[of(kind) for kind in KINDS])
 
 
-def _reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int) -> list[float]:
-    """Posterior of each vote pattern, with the accuracy of each labeler found by EM.
+Pattern = tuple[int, bool, tuple[int, ...], int]
 
-    Labelers are independent given the class, no opinion says nothing, and both classes are
-    equally likely at first. Accuracies stay within 0.55 and 0.95, so a vote for personal data
-    never counts against it. What comes in is one row per pattern of features, whose number
-    does not depend on the corpus.
+
+@dataclass(frozen=True)
+class Reliabilities:
+    """What EM found: per kind the share of personal data, per class, labeler and vote its share.
+
+    Votes are 0 (against), 1 (no opinion) and 2 (for); class 1 is personal data. A labeler's
+    sensitivity is its share of votes for in class 1, its specificity that of the others in class 0.
     """
-    votes = [[(f - len(KINDS)) % 3 - 1 for f in features[1 : 1 + LABELERS]] for features, _ in patterns]
-    accuracy = [0.7] * LABELERS
-    post = [0.5] * len(patterns)
-    for _ in range(rounds):
-        odds = [sum(v * math.log(a / (1 - a)) for v, a in zip(row, accuracy, strict=True)) for row in votes]
-        post = [1 / (1 + math.exp(-o)) for o in odds]
-        for j in range(LABELERS):
-            right, said = 0.7, 1.0
-            for row, p, (_, n) in zip(votes, post, patterns, strict=True):
-                if row[j]:
-                    said += n
-                    right += n * (p if row[j] > 0 else 1 - p)
-            accuracy[j] = min(0.95, max(0.55, right / said))
-    return post
-
-
-def _train(patterns: list[tuple[tuple[int, ...], int]], post: list[float], rounds: int) -> list[float]:
-    """Logistic regression on the patterns, weighted by their counts, towards the posteriors."""
-    weights = [0.0] * _FEATURES
-    total = sum(n for _, n in patterns) or 1
+
+    rates: dict[int, float]
+    shares: list[list[list[float]]]
+
+    def posterior(self, kind: int, base: bool, votes: Sequence[int]) -> float:
+        if base:
+            return 1.0
+        rate = self.rates[kind]
+        odds = math.log(rate / (1 - rate))
+        for j, v in enumerate(votes):
+            odds += math.log(self.shares[1][j][v] / self.shares[0][j][v])
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+
+
+def reliabilities(patterns: Sequence[Pattern], params: PiiParams) -> Reliabilities:
+    """EM over ``kind, base, votes, count``; their number does not depend on the corpus.
+
+    It starts from the balance of the votes. Given the class, labelers are taken as independent.
+    """
+    agree, silent, other = params.prior
+    prior = [[agree, silent, other], [other, silent, agree]]
+    post = [1.0 if base else 1 / (1 + math.exp(-2.0 * (sum(v) - len(v)))) for _, base, v, _ in patterns]
+    found = Reliabilities({}, [])
+    for _ in range(params.em_rounds):
+        shares = [[list(prior[c]) for _ in range(LABELERS)] for c in (0, 1)]
+        ours: dict[int, float] = {}
+        all_: dict[int, float] = {}
+        for (kind, base, votes, n), p in zip(patterns, post, strict=True):
+            for j, v in enumerate(votes):
+                shares[1][j][v] += n * p
+                shares[0][j][v] += n * (1 - p)
+            if not base:
+                ours[kind] = ours.get(kind, 1.0) + n * p
+                all_[kind] = all_.get(kind, 2.0) + n
+        shares = [[[x / sum(row) for x in row] for row in side] for side in shares]
+        found = Reliabilities({k: ours[k] / all_[k] for k in all_}, shares)
+        post = [found.posterior(kind, base, votes) for kind, base, votes, _ in patterns]
+    return found
+
+
+def _votes_of(features: Sequence[int]) -> tuple[int, ...]:
+    first = len(KINDS)
+    return tuple(f - first - 3 * j for j, f in enumerate(features[1 : 1 + LABELERS]))
+
+
+def _train(rows: Sequence[tuple[Sequence[int], float, int]], rounds: int) -> list[float]:
+    """Logistic regression on ``features, posterior, count``, by steps down the mean loss."""
+    weights = np.zeros(_FEATURES)
+    if not rows:
+        return weights.tolist()
+    at = np.array([r[0] for r in rows])
+    target, count = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float)
+    count /= count.sum()
     for _ in range(rounds):
-        gradient = [1e-4 * w for w in weights]
-        for (features, n), p in zip(patterns, post, strict=True):
-            z = sum(weights[f] for f in features)
-            error = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - p) * n / total
-            for f in features:
-                gradient[f] += error
-        weights = [w - 0.5 * g for w, g in zip(weights, gradient, strict=True)]
-    return [round(w, 9) for w in weights]
+        chance = 1 / (1 + np.exp(-np.clip(weights[at].sum(axis=1), -30, 30)))
+        error = np.repeat((chance - target) * count, at.shape[1])
+        weights -= 0.5 * (np.bincount(at.ravel(), error, _FEATURES) + 1e-4 * weights)
+    return [round(float(w), 9) for w in weights]
 
 
-def fit(candidates: DataFrame, column: str, params: PiiParams) -> list[float]:
-    """Weights of the span classifier, from counts of feature patterns over all candidates."""
-    one = candidates.select(F.explode_outer(column).alias("c")).where("c IS NOT NULL")
-    rows = one.groupBy(F.col("c.features").alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()
-    patterns = sorted((tuple(r["f"]), r["n"]) for r in rows)
-    return _train(patterns, _reliabilities(patterns, params.em_rounds), params.train_rounds)
+def fit(voted: DataFrame, column: str, params: PiiParams) -> list[float]:
+    """Weights of the span classifier: EM over all candidates, training on a bounded number of them.
+
+    ``voted`` has the candidates in ``column`` and a hash of their text in ``_hash``.
+    """
+    one = voted.select("_hash", F.explode(column).alias("c"))
+    votes = F.slice("c.features", 2, LABELERS)
+    counted = one.groupBy("c.kind", "c.base", votes.alias("v")).agg(F.count(F.lit(1)).alias("n")).collect()
+    patterns = sorted((r["kind"], r["base"], _votes_of([0, *r["v"]]), r["n"]) for r in counted)
+    found = reliabilities(patterns, params)
+    order = F.xxhash64("_hash", "c.kind", "c.start")
+    some = one.select("c.features", "c.kind", "c.base", order.alias("h")).orderBy("h", "features").limit(params.trained)
+    shown = some.groupBy("kind", "base", "features").agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = sorted((r["features"], found.posterior(r["kind"], r["base"], _votes_of(r["features"])), r["n"]) for r in shown)
+    return _train(rows, params.train_rounds)
 
 
 def detect_pii(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), params: PiiParams | None = None) -> DataFrame:
@@ -225,7 +292,8 @@ def detect_pii(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), params: Pii
     spans = {**_base_spans(text, digits, params.context), **_loose_spans(text, digits, params.context)}
     found = searched.select("*", *[spans[k].alias(f"_{k}") for k in KINDS])
     kept = [f"_keep_{i}" for i in range(len(keep))]
-    voted = store(found.select(*kept, _candidates({k: F.col(f"_{k}") for k in KINDS}).alias("_all")))
+    all_ = _candidates({k: F.col(f"_{k}") for k in KINDS}).alias("_all")
+    voted = store(found.select(*kept, F.xxhash64("_t").alias("_hash"), all_))
     weights = const_array(fit(voted, "_all", params), "double")
 
     def score(c: Column, w: Column) -> Column:
@@ -253,19 +321,23 @@ def detect_pii(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), params: Pii
 
 
 def pii_digest(found: DataFrame) -> DataFrame:
-    """Counts per base kind, a hash of the base spans, and all spans as text."""
+    """Counts per base kind, a hash of the base spans, all spans as text; what was added, with probabilities."""
 
-    def named(spans: Column) -> Column:
+    def named(spans: Column, *more: str) -> Column:
         def name(s: Column) -> Column:
-            return F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))
+            return F.concat_ws(":", s["kind"], *[s[f].cast("string") for f in ("start", "stop", *more)])
 
         return F.array_join(F.transform(spans, name), ",")
 
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
-    base = F.filter("spans", lambda s: s["base"])
-    counts = [count(kind) for kind in BASE]
+    base, added = F.filter("spans", lambda s: s["base"]), F.filter("spans", lambda s: ~s["base"])
     return found.select(
-        "doc_id", *counts, F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans")
+        "doc_id",
+        *[count(kind) for kind in BASE],
+        F.sha2(named(base), 256).alias("base_sha256"),
+        named(F.col("spans")).alias("spans"),
+        F.size(added).cast("bigint").alias("n_added"),
+        named(added, "probability").alias("added"),
     )
