@@ -79,3 +79,37 @@ def test_odd_rows(odd, odd_rows, labels):
     assert site_quality(odd.limit(0), labels, F.col("source"), F.col("lang")).count() == 0
     without = site_quality(odd, labels.limit(0), F.col("source"), F.col("lang")).collect()
     assert {r.text_probability for r in without} == {0.5} and all(r.kept for r in without)
+
+
+def test_sites_of_one_three_and_a_thousand_documents(spark):
+    """A sparse site stays near the prior, a large one near its own rate, and a site can change a verdict."""
+    def text(i, good, n=60):
+        return " ".join(f"{(i * 31 + k * k) % 211}{'' if (k % 10 < (8 if good else 2)) else '##'}" for k in range(n))
+
+    sites = [("bad.example", 1000, 0.05), ("good.example", 1000, 0.95), ("three.example", 3, 0.0), ("one.example", 1, 0.0)]
+    rows, i = [], 0
+    for host, n, share in sites:
+        for j in range(n):
+            good = (j % 100) / 100 < share
+            rows.append((i, text(i, good), host, "a" if j % 2 else "b", int(good)))
+            i += 1
+    # The same doubtful text on a good and on a bad site.
+    doubtful = " ".join(f"{k}{'##' if k % 2 else ''}" for k in range(60))
+    rows += [(i, doubtful, "good.example", "a", None), (i + 1, doubtful, "bad.example", "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string, good int")
+    labels = docs.where("good IS NOT NULL AND doc_id % 3 = 0").selectExpr("doc_id", "good AS quality", "0 AS toxic")
+    out = {r.doc_id: r for r in site_quality(docs, labels, F.col("host"), F.col("path")).collect()}
+    of = {host: [out[r[0]] for r in rows if r[2] == host] for host, _, _ in sites}
+    rate = sum(r.text_probability for r in out.values()) / len(out)
+
+    def shrunk(host):
+        """How far a site's posterior has come from the global rate to its own mean."""
+        mean = sum(r.text_probability for r in of[host]) / len(of[host])
+        return (of[host][0].host_posterior - rate) / (mean - rate)
+
+    assert shrunk("good.example") > 0.99 and shrunk("bad.example") > 0.99
+    assert 0 < shrunk("one.example") < shrunk("three.example") < 0.99
+    on_good, on_bad = out[i], out[i + 1]
+    assert on_good.text_probability == on_bad.text_probability
+    assert on_good.probability - on_bad.probability > 0.3
+    assert on_good.kept and not on_bad.kept

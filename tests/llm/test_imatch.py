@@ -1,9 +1,13 @@
 import hashlib
+import re
+import struct
+from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm.imatch import IMatchParams, fingerprint_edits, lexicon, term_numbers, with_next
+from tidemark.llm.imatch import IMatchParams, fingerprint_edits, lexicon, with_next
 
 
 @pytest.fixture(scope="module")
@@ -34,15 +38,58 @@ def test_edits_and_likeness(corpus):
     assert near > 0.2 > 0.08 > far
 
 
-def test_lexicon_is_the_band(corpus):
-    params = IMatchParams(min_share=0.12, max_share=0.14)
-    seen = {}
-    texts = [r.t for r in corpus.select(term_numbers(F.col("text"), params).alias("t")).collect()]
-    for terms in texts:
-        for t in terms:
-            seen[t] = seen.get(t, 0) + 1
-    expected = sorted(t for t, n in seen.items() if 0.12 * len(texts) <= n <= 0.14 * len(texts))
-    assert lexicon(corpus, params) == expected and expected
+def xx(value, seed=42):
+    """Spark's hash of a text or of a whole number."""
+    data = value.encode() if isinstance(value, str) else struct.pack("<q", value)
+    n = xxhash.xxh64_intdigest(data, seed % 2**64)
+    return n - 2**64 if n >> 63 else n
+
+
+def terms_of(text):
+    return {xx(w) for w in re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())}
+
+
+def brute(texts, params):
+    """Band and fingerprints, term by term."""
+    seen = Counter(t for text in texts for t in terms_of(text))
+    n = len(texts)
+    band = {t for t, c in seen.items() if params.min_share * n <= c <= params.max_share * n}
+
+    def fingerprint(text):
+        terms = terms_of(text)
+        hashes = sorted(xx(t) for t in (terms & band or terms))
+        out = []
+        for mask, value in [(0, 0), *[((1 << s) - 1, i) for s in params.sizes for i in range(params.parts_per_size)]]:
+            part, seed = [h for h in hashes if h & mask == value], 42
+            for h in part:
+                seed = xx(h, seed)
+            out.append(f"{seed % 2**64:X}".lower() if part else "-")
+        return out
+
+    return band, fingerprint
+
+
+def alike(a, b):
+    used = [(x, y) for x, y in zip(a, b) if x != "-" or y != "-"]
+    return sum(x == y for x, y in used) / len(used) if used else float(a == b)
+
+
+@pytest.mark.parametrize("bits", [1, 6, 20])
+@pytest.mark.parametrize("shares", [(0.12, 0.14), (0.002, 0.1), (0.9, 0.95)])
+def test_band_fingerprints_and_likeness_equal_brute_force(spark, corpus, bits, shares):
+    params = IMatchParams(min_share=shares[0], max_share=shares[1], bits=bits)
+    more = spark.createDataFrame([(1, None), (2, "A b a B"), (3, "w1 W1 été \U0001f600"), (4, " ")], "doc_id long, text string")
+    docs = more.unionByName(corpus.limit(150))
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    band, fingerprint = brute([t for _, t in rows], params)
+    assert lexicon(docs, params) == sorted(band)
+    got = sorted(fingerprint_edits(docs, params).collect(), key=lambda r: r.doc_id)
+    prints = [fingerprint(t) for _, t in rows]
+    for i, (row, new) in enumerate(zip(got, edited(rows), strict=True)):
+        mine, changed = prints[i], fingerprint(new)
+        assert row.fingerprint == " ".join(mine) and row.edited_fingerprint == " ".join(changed)
+        assert row.near_edited == pytest.approx(alike(mine, changed))
+        assert row.near_next == pytest.approx(alike(mine, prints[(i + 1) % len(prints)]))
 
 
 def test_odd_rows(odd, odd_rows):

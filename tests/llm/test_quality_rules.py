@@ -1,11 +1,13 @@
+import math
 import random
 import re
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm.quality import QualityParams, base_counts, quality_rules
+from tidemark.llm.quality import QualityParams, base_counts, quality_rules, trusted_ids
 
 
 def brute(text):
@@ -99,3 +101,41 @@ def test_threshold_rejects_bad_texts_with_ordinary_words(spark):
         assert all(verdict[i]["score"] < least and not verdict[i]["base_failed"] for i, _ in bad)
         assert all(verdict[i]["kept"] for i, _ in good)
         assert not any(verdict[i]["kept"] for i, _ in bad)
+
+
+def xx(*words):
+    """Spark's hash of words, one seeding the next."""
+    seed = 42
+    for w in words:
+        seed = xxhash.xxh64_intdigest(w.encode(), seed)
+    return seed - 2**64 if seed >> 63 else seed
+
+
+def grams(text, buckets):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    return [xx(*w) % buckets for w in [*zip(words), *zip(words, words[1:])]]
+
+
+@pytest.mark.parametrize("buckets", [64, 16_384])
+def test_scores_equal_brute_force(spark, odd, odd_rows, buckets):
+    """The mean log ratio of hashed words and pairs, fitted on the trusted half by hash."""
+    params = QualityParams(buckets=buckets)
+    rows = [(r[0], r[1]) for r in odd_rows]
+    rows += [(100 + i, " ".join(f"w{(i * 7 + k * k) % (97 + i)}" for k in range(60 + i))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(100 + i, 1, 0) for i in range(25)], "doc_id long, quality int, toxic int")
+    fitted = {r.doc_id for r in trusted_ids(labels, params)[0].collect()}
+    assert 0 < len(fitted) < 25
+    raw = Counter(g for _, t in rows for g in grams(t, buckets))
+    good = Counter(g for i, t in rows if i in fitted for g in grams(t, buckets))
+    n, m = sum(raw.values()), sum(good.values())
+    ratio = {
+        b: round(math.log((good[b] + 1) / (m + buckets)) - math.log((raw[b] + 1) / (n + buckets)), 6)
+        for b in range(buckets)
+    }
+    scored, name = quality_rules(docs, labels, params)
+    got = scored.select("text", F.col(name)["score"].alias("score")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        mine = [ratio[g] for g in grams(r.text, buckets)]
+        assert r.score == (pytest.approx(sum(mine) / len(mine), abs=1e-9) if mine else None)

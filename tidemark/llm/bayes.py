@@ -11,6 +11,8 @@ the path without the document itself.
   null host or path is one more group.
 * Repeated rows count as often as they occur. An empty table gives an empty result.
 * Without labels of both kinds every text has probability 0.5.
+* A level whose groups differ no more than chance would make them, or that has one group only, has a
+  strength of ``STRONGEST`` documents, which leaves its groups at the level above.
 * Only the id, text, host and path are read, so other columns may have any name.
 """
 
@@ -26,6 +28,8 @@ from tidemark.llm.quality import hashed_ngrams, ngram_counts, ngram_score
 from tidemark.operators.sizing import broadcast_if_small, store
 
 _EDGE = 1e-4
+# The most documents a prior counts for.
+STRONGEST = 1e6
 
 
 @dataclass(frozen=True)
@@ -124,10 +128,10 @@ def _strength(groups: DataFrame, above: str) -> float:
     ).first()
     g, n = row["g"], row["n"] or 0
     if g < 2 or n <= g:
-        return 1e6
+        return STRONGEST
     inside = max(row["inside"], 0.0) / (n - g)
     spread = (row["between"] / (g - 1) - inside) / ((n - row["nn"] / n) / (g - 1))
-    return min(1e6, max(1.0, inside / spread)) if spread > 0 else 1e6
+    return min(STRONGEST, max(1.0, inside / spread)) if spread > 0 else STRONGEST
 
 
 def _joined(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
@@ -200,7 +204,7 @@ def combine(scored: DataFrame, params: SiteParams) -> DataFrame:
         F.lit(0).cast("bigint").alias("n"),
         F.lit(0.0).alias("total"),
         F.lit(rate).alias("host_posterior"),
-        F.lit(1e6).alias("path_strength"),
+        F.lit(STRONGEST).alias("path_strength"),
         F.lit(rate).alias("path_posterior"),
     )
     joined = _joined(scored, store(paths.unionByName(empty)), ["host", "path"])

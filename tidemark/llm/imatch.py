@@ -5,8 +5,9 @@ document frequency lies in a band count. The sorted distinct terms are hashed on
 and once for each of several random parts of the lexicon; the parts are of different sizes, so
 that short and long texts both have some that an edit leaves alone.
 
-Terms are lower-cased words, hashed to ``2 ** bits`` numbers; the lexicon is a set of these
-numbers, however many words there are. Documents without a term in it use all their terms.
+Terms are lower-cased words, each by a hash of 64 bits. Document frequencies are counted for every
+term; the terms of the band go to each task, as a sorted table that is cut by the hashes' top bits.
+Documents without a term in the band use all their terms.
 
 * Null text counts as empty: its fingerprint is that of no terms. Equal texts have equal fingerprints.
 * Likeness is the share of equal hashes among those that stand for terms in either of two
@@ -34,7 +35,8 @@ class IMatchParams:
     """The band is a share of documents: idf from ``-ln(max_share)`` to ``-ln(min_share)``.
 
     A document has few distinct terms on average, so at most that average divided by
-    ``min_share`` terms can be in the band, however large the corpus.
+    ``min_share`` terms can be in the band, however large the corpus. ``bits``: length of the
+    table that tells most other terms at once; results do not depend on it.
     """
 
     min_share: float = 0.002
@@ -45,27 +47,58 @@ class IMatchParams:
     sizes: tuple[int, ...] = (4, 5, 6, 7, 8, 9, 10)
 
 
-def term_numbers(text: Column, params: IMatchParams) -> Column:
-    """Distinct terms of a text as numbers below ``2 ** bits``."""
-    top = F.lit(1 << params.bits)
-    return F.array_distinct(F.transform(words(F.lower(text)), lambda w: F.pmod(F.xxhash64(w), top).cast("int")))
+def term_hashes(text: Column) -> Column:
+    """Hashes of the distinct terms of a text."""
+    return F.array_distinct(F.transform(words(F.lower(text)), lambda w: F.xxhash64(w)))
 
 
 def lexicon(docs: DataFrame, params: IMatchParams) -> list[int]:
-    """The terms in the band, from document frequencies over all documents."""
-    terms = docs.select(F.explode_outer(term_numbers(text_of(), params)).alias("term"))
+    """The terms in the band, from document frequencies of all terms over all documents."""
+    terms = docs.select(F.explode(term_hashes(text_of())).alias("term"))
     total = docs.count()
-    counts = terms.where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     band = counts.where(F.col("n").between(params.min_share * total, params.max_share * total))
     return sorted(r["term"] for r in band.select("term").collect())
 
 
-def _bit_words(terms: list[int], params: IMatchParams) -> list[int]:
-    """The set of terms as signed 64-bit words."""
-    packed = [0] * (1 << max(0, params.bits - 6))
-    for t in terms:
-        packed[t >> 6] |= 1 << (t & 63)
-    return [w - (1 << 64) if w >> 63 else w for w in packed]
+def _place(term: Column, bits: int) -> Column:
+    """The top bits of a hash, in the order of signed numbers."""
+    return F.shiftright(term, 64 - bits) + (1 << (bits - 1))
+
+
+def band_table(band: list[int], params: IMatchParams) -> Column:
+    """The band as a struct of constants: a bit per place, the first of each place's terms, all terms."""
+    bits = params.bits
+    places = [(t >> (64 - bits)) + (1 << (bits - 1)) for t in band]
+    packed = [0] * (1 << max(0, bits - 6))
+    for p in places:
+        packed[p >> 6] |= 1 << (p & 63)
+    # Places of the second table: about as many as there are terms.
+    wide = min(bits, max(1, len(band).bit_length()))
+    starts, at = [], 0
+    for p in range(1 << wide):
+        starts.append(at)
+        while at < len(band) and places[at] >> (bits - wide) == p:
+            at += 1
+    return F.struct(
+        const_array([w - (1 << 64) if w >> 63 else w for w in packed], "bigint").alias("bits"),
+        const_array([*starts, len(band)], "int").alias("starts"),
+        (const_array(band, "bigint") if band else F.array().cast("array<bigint>")).alias("terms"),
+        F.lit(wide).alias("wide"),
+    )
+
+
+def _in_band(term: Column, table: Column, params: IMatchParams) -> Column:
+    place = _place(term, params.bits)
+    low = F.call_function("shiftright", place, params.bits - table["wide"]).cast("int")
+    first = table["starts"][low]
+
+    def found(at: Column) -> Column:
+        return F.exists(F.slice(table["terms"], at["first"] + 1, at["n"]), lambda t: t == term)
+
+    near = F.struct(first.alias("first"), (table["starts"][low + 1] - first).alias("n"))
+    seen = F.getbit(table["bits"][F.shiftright(place, 6).cast("int")], place.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return F.when(seen, let(near, found)).otherwise(F.lit(False))
 
 
 def _parts(params: IMatchParams) -> list[tuple[int, int]]:
@@ -73,18 +106,14 @@ def _parts(params: IMatchParams) -> list[tuple[int, int]]:
     return [((1 << s) - 1, i % (1 << s)) for s in params.sizes for i in range(params.parts_per_size)]
 
 
-def fingerprint(text: Column, bit_words: Column, params: IMatchParams) -> Column:
+def fingerprint(text: Column, table: Column, params: IMatchParams) -> Column:
     """An array of hashes in hexadecimal: all terms, then one per part; ``-`` for none."""
 
-    def known(d: Column) -> Column:
-        return F.filter(
-            d["terms"], lambda t: F.getbit(d["bits"][F.shiftright(t, 6)], t.bitwiseAND(F.lit(63))) == 1
-        )
-
     def chosen(d: Column) -> Column:
-        return let(known(d), lambda k: F.when(F.size(k) > 0, k).otherwise(d["terms"]))
+        known = F.filter(d["terms"], lambda t: _in_band(t, d["table"], params))
+        return let(known, lambda k: F.when(F.size(k) > 0, k).otherwise(d["terms"]))
 
-    terms = let(F.struct(term_numbers(text, params).alias("terms"), bit_words.alias("bits")), chosen)
+    terms = let(F.struct(term_hashes(text).alias("terms"), table.alias("table")), chosen)
 
     def hashes(t: Column) -> Column:
         def of(part: Column) -> Column:
@@ -173,7 +202,7 @@ def fingerprint_edits(docs: DataFrame, params: IMatchParams | None = None) -> Da
     place of its own last quarter.
     """
     params = params or IMatchParams()
-    bits = const_array(_bit_words(lexicon(docs, params), params), "bigint")
+    table = band_table(lexicon(docs, params), params)
     order = Window.partitionBy("_bucket").orderBy("_turn", F.col("_id").asc_nulls_first(), "_tie")
     rows = with_next(docs).withColumn("_next", F.lead("_text").over(order))
     n = F.length("_text")
@@ -187,8 +216,8 @@ def fingerprint_edits(docs: DataFrame, params: IMatchParams | None = None) -> Da
         *place,
         "n_chars",
         F.sha2("_edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("_text"), bits, params).alias("_print"),
-        F.when(F.col("_turn") == 0, fingerprint(F.col("_edited"), bits, params)).alias("_edited_print"),
+        fingerprint(F.col("_text"), table, params).alias("_print"),
+        F.when(F.col("_turn") == 0, fingerprint(F.col("_edited"), table, params)).alias("_edited_print"),
     )
     rows = rows.withColumn("_next_print", F.lead("_print").over(order)).where("_turn = 0")
     return rows.select(
