@@ -79,6 +79,9 @@ def test_backlog_in_several_batches(spark, places):
     assert scan_events(spark, out).count() == 4
     assert run_stream(spark, StreamConfig(source, out, checkpoint)) == 0
     assert text_source("x", bytes_per_batch=10).options == {"maxBytesPerTrigger": "10"}
+    assert text_source("x").options == {"maxFilesPerTrigger": "10000"}
+    assert text_source("x", files_per_batch=None).options == {}
+    assert kafka_source("h:1", "t", "login").options["maxOffsetsPerTrigger"] == "50000000"
 
 
 def test_all_batches_are_counted(spark, places):

@@ -15,11 +15,13 @@ from tidemark.operators.events import encode_events, generate_events
 from tidemark.plans.batch import build_gold, build_model, build_silver, run_batch
 from tidemark.plans.stream import StreamConfig, run_stream
 from tidemark.session import run_scratch, scale_conf
-from tidemark.sources.streams import StreamSource, kafka_source, text_source
-
-# Bounds of one batch: a failure repeats no more than that, however long the backlog is.
-FILES_PER_BATCH = 10_000
-OFFSETS_PER_BATCH = 50_000_000
+from tidemark.sources.streams import (
+    FILES_PER_BATCH,
+    OFFSETS_PER_BATCH,
+    StreamSource,
+    kafka_source,
+    text_source,
+)
 
 LOGIN_CONF = "spark.tidemark.login"
 
