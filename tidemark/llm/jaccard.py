@@ -56,7 +56,8 @@ class JaccardParams:
     takes of an entry at a time; larger ones are cut and all pairs of cuts done. ``shingles``: most
     shingles of the classes of one cut, which bounds a task's memory. ``compared``: about how many
     texts are compared with one in a group. ``large``: from how many classes on a component is
-    searched as one.
+    searched as one. ``spare``: one block more for so many that may differ; with more of them a
+    similar class shares more entries, and fewer others share as many.
     """
 
     words: int = 5
@@ -67,6 +68,7 @@ class JaccardParams:
     shingles: int = 1 << 21
     compared: int = 64
     large: int = 16
+    spare: int = 8
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -109,17 +111,18 @@ def _levels(size: int, params: JaccardParams) -> list[tuple[int, int]]:
     return out
 
 
-def block_keys(shingles: np.ndarray, params: JaccardParams) -> np.ndarray:
-    """Directory entries of a set: one per block of each of its levels.
+def block_keys(shingles: np.ndarray, params: JaccardParams) -> tuple[np.ndarray, int]:
+    """Directory entries of a set, one per block of each of its levels, and how many a similar set shares.
 
     Sets of a level differ in at most ``most`` shingles if they are similar, and there are more
-    blocks than that, some to spare. Empty blocks are no entry, unless a set has more of them
-    than the spare ones: two sets could then agree in empty blocks only.
+    blocks than that, some to spare: as many are the same in both, but for those that are empty
+    in both. Empty blocks are no entry, unless a set has more of them than the spare ones: two sets
+    could then agree in empty blocks only.
     """
-    keys = []
+    keys, least = [], []
     for level, high in _levels(len(shingles), params):
         most = 2 * (high - 1) * (100 - params.percent) // (100 + params.percent)
-        spare = 1 + most // 32
+        spare = 1 + most // params.spare
         blocks = most + 1 + spare if most else 1
         block = (shingles % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
@@ -130,7 +133,8 @@ def block_keys(shingles: np.ndarray, params: JaccardParams) -> np.ndarray:
         if blocks - len(place) > spare:
             empty = np.setdiff1d(np.arange(blocks), place).astype(np.uint64)
             keys.append(_mix(_mix(empty + np.uint64(level) * np.uint64(1 << 32))))
-    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
+        least.append(max(1, len(place) - most))
+    return (np.concatenate(keys), min(least)) if keys else (np.empty(0, np.uint64), 1)
 
 
 # A count this large is not kept; it stands for any number, so that a bound stays one.
@@ -205,6 +209,9 @@ class CountTree:
         return self.order[boxes]
 
 
+# Rounds in which classes without enough shared entries are left out.
+PRUNED = 2
+
 _SKETCH = "n long, h1 long, h2 long, vector binary"
 
 
@@ -250,40 +257,60 @@ def _among(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
 
 
 def _entries(texts: DataFrame, params: JaccardParams) -> DataFrame:
-    """``key, id`` of the directory entries that at least two classes share.
+    """``key, id, need`` of the directory entries that at least two classes share.
 
-    ``texts`` has one document of each class. Entries are sorted inside the partitions and passed
-    through one by one: what is held is one batch, however many classes share an entry.
+    ``texts`` has one document of each class; ``need`` is how many entries a similar class shares.
+    Entries are sorted inside the partitions and passed through one by one: what is held is one
+    batch, however many classes share an entry.
     """
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             found = [block_keys(shingle_set(t.as_py().encode(), params.words), params) for t in batch.column(1)]
-            keys = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
-            owners = np.repeat(ids, [len(k) for k in found])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(owners)], names=["key", "id"])
+            counts = [len(k) for k, _ in found]
+            keys = np.concatenate([k for k, _ in found]).view(np.int64) if found else np.empty(0, np.int64)
+            needs = np.repeat(np.array([n for _, n in found], np.int32), counts)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(ids, counts)), pa.array(needs)], _ENTRY)
 
-    keyed = texts.select("id", "text").mapInArrow(keys_of, "key long, id long")
+    keyed = texts.select("id", "text").mapInArrow(keys_of, "key long, id long, need int")
     dealt = keyed.repartition("key").sortWithinPartitions("key", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The last row waits for the next one, which tells whether its entry has company.
-        key, id_, before = np.empty(0, np.int64), np.empty(0, np.int64), None
+        held, before = None, None
         for batch in batches:
-            key = np.concatenate([key, batch.column(0).to_numpy()])
-            id_ = np.concatenate([id_, batch.column(1).to_numpy()])
-            if len(key) < 2:
+            table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            if table.num_rows < 2:
+                held = table if table.num_rows else held
                 continue
+            key = table.column("key").to_numpy()
             same = key[1:] == key[:-1]
             shared = same | np.concatenate([[key[0] == before], same[:-1]])
-            out = key[:-1][shared], id_[:-1][shared]
-            key, id_, before = key[-1:], id_[-1:], key[-2]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["key", "id"])
-        if len(key) and key[0] == before:
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(id_)], names=["key", "id"])
+            yield from table.slice(0, len(key) - 1).filter(pa.array(shared)).to_batches()
+            held, before = table.slice(len(key) - 1), key[-2]
+        if held is not None and held.column("key")[0].as_py() == before:
+            yield from held.to_batches()
+
+    return _pruned(store(dealt.mapInArrow(run, "key long, id long, need int")))
+
+
+_ENTRY = ["key", "id", "need"]
 
-    return store(dealt.mapInArrow(run, "key long, id long"))
+
+def _pruned(entries: DataFrame) -> DataFrame:
+    """Without classes that share fewer entries than a similar class would, and entries left with one class.
+
+    Classes that have a passage in common and little else go here, however many they are. Each
+    round leaves fewer companions to the classes that stay.
+    """
+    for _ in range(PRUNED):
+        shared = entries.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.min("need").alias("least"))
+        kept = store(shared.where("c >= least").select("id"))
+        rest = _among(entries, kept, "id", "left_semi")
+        company = rest.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+        entries = store(rest.join(company, "key", "left_semi").select(*_ENTRY))
+    return entries
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, params: JaccardParams) -> DataFrame:
@@ -379,7 +406,8 @@ def _open_rows(entries: DataFrame, labels: DataFrame, points: DataFrame, params:
     large = per.where(F.col("classes") >= params.large).select(
         "component", _cuts(F.col("classes"), F.col("all"), params)
     )
-    rows = store(entries.join(named.join(large, "component", "left"), "id").select("key", "id", "n", "component", "cuts"))
+    rows = entries.join(named.join(large, "component", "left"), "id")
+    rows = store(rows.select("key", "id", "need", "n", "component", "cuts"))
     spread = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     # Tables, so that an entry that very many share is a key Spark can split.
     return store(rows.join(store(spread.where("low < high").select("key")), "key"))
@@ -456,8 +484,8 @@ def _tree_pairs(rows: DataFrame, labels: DataFrame, points: DataFrame, params: J
     ``rows`` are those of classes outside of large components. An entry with more classes or
     shingles than a cut is cut, and every two cuts meet in a task of their own.
     """
-    labelled = rows.select("key", "id", "n").join(labels.select("id", "component"), "id", "left")
-    labelled = store(labelled.select("key", "id", "n", F.coalesce("component", "id").alias("component")))
+    labelled = rows.select("key", "id", "need", "n").join(labels.select("id", "component"), "id", "left")
+    labelled = store(labelled.select("key", "id", "need", "n", F.coalesce("component", "id").alias("component")))
     spread = labelled.groupBy("key").agg(
         F.min("component").alias("low"),
         F.max("component").alias("high"),
@@ -471,34 +499,71 @@ def _tree_pairs(rows: DataFrame, labels: DataFrame, points: DataFrame, params: J
     joined = labelled.drop("n").join(open_, "key")
     cut = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
     others = F.sequence(F.lit(0), F.col("cuts") - 1)
-    placed = joined.select("key", "id", "component", cut.alias("cut"), F.explode(others).alias("other"))
+    placed = joined.select("key", "id", "need", "component", cut.alias("cut"), F.explode(others).alias("other"))
     placed = placed.select(
-        "key", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), "cut", "id", "component"
+        "key", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), "cut", "id", "need", "component"
     )
     groups = placed.join(points.select("id", "n", "vector"), "id").select(
-        "key", "i", "j", "cut", "id", "component", "n", "vector"
+        "key", "i", "j", "cut", "id", "need", "component", "n", "vector"
     )
 
-    def run(keys: tuple, table: pa.Table) -> pa.Table:
-        ids, labels_ = table.column("id").to_numpy(), table.column("component").to_numpy()
-        sizes = table.column("n").to_numpy()
-        vectors = _unpack(table.column("vector").to_pylist())
-        cuts = table.column("cut").to_numpy()
-        i, j = keys[1].as_py(), keys[2].as_py()
-        points_, queries = np.flatnonzero(cuts == i), np.flatnonzero(cuts == j)
-        out_a, out_b = [], []
-        if len(points_) and len(queries):
-            tree = CountTree(vectors[points_], sizes[points_], params.percent)
-            for q in queries:
-                near = points_[tree.search(vectors[q], sizes[q])]
-                near = near[(labels_[near] != labels_[q]) & ((ids[near] < ids[q]) | (i != j))]
-                out_a.append(ids[near]), out_b.append(np.full(len(near), ids[q]))
-        a = np.concatenate(out_a) if out_a else np.empty(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.empty(0, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    found = groups.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
-    return store(found.distinct())
+    names = ["key", "i", "j"]
+    dealt = groups.repartition(*names).sortWithinPartitions(*names)
+    percent = params.percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows of one group follow each other; the last group of a batch waits for the next one.
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            marks = [held.column(name).to_numpy() for name in names]
+            new = np.ones(held.num_rows, bool)
+            new[1:] = np.any([m[1:] != m[:-1] for m in marks], axis=0)
+            starts = np.flatnonzero(new)
+            if len(starts) > 1:
+                yield _pairs_of_groups(held.slice(0, starts[-1]), starts, percent)
+                held = held.slice(starts[-1])
+        if held is not None and held.num_rows:
+            yield _pairs_of_groups(held, np.array([0, held.num_rows]), percent)
+
+    # A pair comes once from each entry it shares, unless some tree can tell that it is none.
+    found = dealt.mapInArrow(run, "a long, b long, need int").groupBy("a", "b")
+    counted = found.agg(F.count(F.lit(1)).alias("c"), F.min("need").alias("least"))
+    return store(counted.where("c >= least").select("a", "b"))
+
+
+def _pairs_of_groups(table: pa.Table, starts: np.ndarray, percent: int) -> pa.RecordBatch:
+    """Pairs ``a, b`` that the tree of each group lets pass, and the entries they need to share.
+
+    The groups begin at ``starts``, whose last place ends them.
+    """
+    ids, labels, sizes, cuts, i, j, needs = (
+        table.column(name).to_numpy() for name in ("id", "component", "n", "cut", "i", "j", "need")
+    )
+    vectors = table.column("vector").to_pylist()
+    out_a, out_b, out_need = [], [], []
+    for low, high in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        if high - low < 2:
+            continue
+        counts = _unpack(vectors[low:high])
+        points = np.flatnonzero(cuts[low:high] == i[low])
+        queries = np.flatnonzero(cuts[low:high] == j[low])
+        if not len(points) or not len(queries):
+            continue
+        mine, of, size = ids[low:high], labels[low:high], sizes[low:high]
+        tree = CountTree(counts[points], size[points], percent)
+        for q in queries:
+            near = points[tree.search(counts[q], size[q])]
+            near = near[(of[near] != of[q]) & ((mine[near] < mine[q]) | (i[low] != j[low]))]
+            if len(near):
+                out_a.append(mine[near]), out_b.append(np.full(len(near), mine[q]))
+                # The larger of two bounds, each of which holds.
+                out_need.append(np.maximum(needs[low:high][near], needs[low + q]))
+    a, b, need = (
+        np.concatenate(out) if out else np.empty(0, np.int64) for out in (out_a, out_b, out_need)
+    )
+    columns = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "need"])
 
 
 def jaccard_groups(docs: DataFrame, params: JaccardParams | None = None) -> tuple[DataFrame, DataFrame, dict[str, str]]:
