@@ -421,7 +421,9 @@ def _outside_links(rows: DataFrame, labels: DataFrame, texts: DataFrame, params:
     """
     present = rows.where("cuts IS NOT NULL").select("key", F.col("component").alias("c"), F.col("cuts").alias("k"))
     met = rows.join(store(present.distinct()), "key").where("component <> c AND (cuts IS NULL OR component > c)")
-    outside = store(met.select("id", "c", "k").distinct())
+    # A member that is similar shares that many entries with the class, so the component does.
+    shared = met.groupBy("id", "c", "k").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("least"))
+    outside = store(shared.where("n >= least").select("id", "c", "k"))
     cut = F.pmod(F.xxhash64("id"), F.col("k")).cast("int").alias("cut")
     homes = store(outside.select("c", "k").distinct())
     members = labels.join(homes, labels["component"] == homes["c"]).select("c", cut, F.lit(0).alias("asks"), "id")
