@@ -146,7 +146,7 @@ def test_wide_groups_count_equal_ids_first(aligner, monkeypatch, wide):
             for x in found.a[a_group == g].tolist()
             for y in found.b[b_group == g].tolist()
         )
-        codes, times = m.linked_pairs(parts)
+        codes, times = m.linked_pairs([p.codes for p in parts], [p.wide for p in parts])
         assert dict(zip(codes.tolist(), times.tolist())) == {x * aligner.width + y: c for (x, y), c in links.items()}
         counts = m.unpacked(sum(p.counts for p in parts))
         assert counts == (len(found.a), len(found.b), len(found.cuts), sum(links.values()))

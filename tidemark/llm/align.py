@@ -4,7 +4,8 @@ A space and the text are cut by a byte-level vocabulary (A, from ``tokenizers``)
 vocabulary with byte fallback (B, from ``sentencepiece``, which adds the space itself). The places
 the libraries report, characters for A and the spans of the encoded message for B, are coarse
 cuts: a token that ends inside a character, or a piece that stands for one byte of it, has no
-place of its own there. Their ends are refined by the lengths of the tokens' decoded bytes.
+place of its own there. Their ends are refined by the lengths of the tokens' decoded bytes. Segments
+of ASCII characters need no more than those lengths, which are the spans there.
 
 Where both vocabularies let no token run from a character on into a space, a text is the sequence
 of its segments, each a space and what follows it, and these are encoded one by one; the segments
@@ -24,11 +25,12 @@ with every one of B in it; over the corpus, a pair of ids counts the documents t
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import json
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 from typing import NamedTuple
@@ -47,7 +49,8 @@ BATCH_CHARS = 1 << 20
 # Links of a group, above which equal ids of it are counted before they are paired.
 WIDE = 1 << 12
 # Segments of at most so many characters are remembered, about as many of them as said.
-SHORT, KNOWN = 48, 150_000
+SHORT, KNOWN = 48, 250_000
+_VISIBLE = re.compile("[!-~]")
 _SEGMENT = re.compile(r"(?<=[!-~])(?= [\s\S])")
 # Pairs with more than this share of all are joined by broadcast; there are at most a million.
 HOT_SHARE = 1e-6
@@ -171,53 +174,60 @@ class Aligner:
                 yield found if kept else None
 
     def _encoded(self, fulls: list[str]) -> tuple[list[int], Alignment | None]:
-        """Which of the texts (each a space and more) have tokens, and the alignment of those, one after the other."""
-        first = self.first.encode_batch(fulls, add_special_tokens=False)
-        second = [m.pieces for m in self.second.encode([f[1:] for f in fulls], return_type="proto", num_threads=1)]
-        raws = [f.encode() for f in fulls]
-        a_ids, b_ids = [e.ids for e in first], [[p.id for p in pieces] for pieces in second]
-        kept = list(range(len(fulls)))
-        if not (self._joined(a_ids, self.a_bytes, raws) and self._joined(b_ids, self.b_bytes, raws)):
-            # Some text does not come back from its tokens.
-            kept = [
-                i
-                for i in kept
-                if self._joined(a_ids[i : i + 1], self.a_bytes, raws[i : i + 1])
-                and self._joined(b_ids[i : i + 1], self.b_bytes, raws[i : i + 1])
-            ]
-        if not kept:
-            return kept, None
-        a = np.array(list(chain.from_iterable([a_ids[i] for i in kept])), np.int64)
-        b = np.array(list(chain.from_iterable([b_ids[i] for i in kept])), np.int64)
-        places = chain.from_iterable(chain.from_iterable([first[i].offsets for i in kept]))
-        spans = np.fromiter(places, np.int64, 2 * len(a)).reshape(-1, 2)
-        chars = np.array([len(fulls[i]) for i in kept], np.int64)
-        spans += np.repeat(np.cumsum(chars) - chars, [len(a_ids[i]) for i in kept])[:, None]
-        sizes = np.array([len(raws[i]) for i in kept], np.int64)
-        if sizes.sum() > chars.sum():
-            # Characters to bytes.
-            points = np.frombuffer("".join([fulls[i] for i in kept]).encode("utf-32-le"), np.uint32)
-            widths = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
-            spans = np.concatenate([[0], np.cumsum(widths)])[spans]
+        """Which of the texts (each a space and more) have tokens, and the alignment of those, one after the other.
+
+        They are encoded as one text, so each but the last must end as a segment does.
+        """
+        found = self._whole("".join(fulls))
+        if found is not None:
+            stops = np.cumsum([len(f.encode()) for f in fulls])
+            at = np.minimum(np.searchsorted(found.cuts, stops), len(found.cuts) - 1)
+            if (found.cuts[at] == stops).all():
+                return list(range(len(fulls))), found
+        if len(fulls) == 1:
+            return [], None
+        # Some text does not come back from its tokens: look for it in either half.
+        half = len(fulls) // 2
+        (left, first), (right, second) = self._encoded(fulls[:half]), self._encoded(fulls[half:])
+        kept = [*left, *(half + i for i in right)]
+        if first is None or second is None:
+            return kept, first or second
+        by = sum(len(fulls[i].encode()) for i in left)
+        places = [
+            np.concatenate([getattr(first, n), getattr(second, n) + by]) for n in ("a_ends", "b_ends", "cuts")
+        ]
+        ids = [np.concatenate([getattr(first, n), getattr(second, n)]) for n in ("a", "b")]
+        return kept, Alignment(*ids, *places)
+
+    def _whole(self, full: str) -> Alignment | None:
+        """The alignment of a space and a text, None if its tokens do not join to it."""
+        raw = full.encode()
+        first = self.first.encode(full, add_special_tokens=False)
+        a, pieces = first.ids, []
+        if full.isascii():
+            b = self.second.encode(full[1:])
+        else:
+            message = self.second.encode(full[1:], return_type="proto")
+            pieces = [(p.id, p.begin, p.end) for p in message.pieces]
+            b = [p[0] for p in pieces]
+        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
+            return None
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        if not pieces:
+            # Every byte is a character: the lengths of decoded tokens are those of the spans.
+            a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+            return Alignment(a, b, a_ends, b_ends, np.intersect1d(a_ends, b_ends, assume_unique=True))
+        spans = np.fromiter(chain.from_iterable(first.offsets), np.int64, 2 * len(a)).reshape(-1, 2)
+        # Characters to bytes.
+        points = np.frombuffer(full.encode("utf-32-le"), np.uint32)
+        widths = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+        spans = np.concatenate([[0], np.cumsum(widths)])[spans]
         a_ends = refine(spans[:, 0], spans[:, 1], self.a_sizes[a])
-        # The messages count bytes of the text, without the space.
-        counts = [len(b_ids[i]) for i in kept]
-        starts = np.cumsum(sizes) - sizes
-        begins = np.array([p.begin for i in kept for p in second[i]], np.int64) + np.repeat(starts + 1, counts)
-        ends = np.array([p.end for i in kept for p in second[i]], np.int64) + np.repeat(starts + 1, counts)
-        begins[np.cumsum(counts) - counts] = starts
-        b_ends = refine(begins, ends, self.b_sizes[b])
-        return kept, Alignment(a, b, a_ends, b_ends, np.intersect1d(a_ends, b_ends, assume_unique=True))
-
-    @staticmethod
-    def _joined(ids: list[list[int]], decoded: list[bytes], raws: list[bytes]) -> bool:
-        """Whether the tokens of every text join to it."""
-        parts = [decoded[i] for i in chain.from_iterable(ids)]
-        if b"".join(parts) != b"".join(raws):
-            return False
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-        counts = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
-        return bool(counts.min() > 0 and (ends[counts - 1] == np.cumsum(list(map(len, raws)))).all())
+        # The message counts bytes of the text, without the space.
+        flat = np.array(pieces, np.int64) + 1
+        flat[0, 1] = 0
+        b_ends = refine(flat[:, 1], flat[:, 2], self.b_sizes[b])
+        return Alignment(a, b, a_ends, b_ends, np.intersect1d(a_ends, b_ends, assume_unique=True))
 
     def segments(self, text: str) -> list[str]:
         """A space and the text, cut before each space between a visible ASCII character and another one."""
@@ -234,12 +244,20 @@ class Aligner:
             met = {s for segments in cut for s in segments}
             new = dict.fromkeys(met.difference(known, older))
             known.update((s, older[s]) for s in met.difference(known, new))
-            for batch in _bounded(list(new)):
+            # The last segment of a text may end in any way; such are encoded alone.
+            inner = [s for s in new if _VISIBLE.match(s, len(s) - 1)]
+            alone = [[s] for s in new if not _VISIBLE.match(s, len(s) - 1)]
+            for ascii_ in (True, False):
+                alone.extend(_bounded([s for s in inner if s.isascii() is ascii_]))
+            for batch in alone:
                 new.update(self._made(batch))
             long = {s: new[s] for s in new if len(s) > SHORT}
             known.update((s, part) for s, part in new.items() if s not in long)
             for segments in cut:
-                found = [known[s] if s in known else long[s] for s in segments]
+                if long and not long.keys().isdisjoint(segments):
+                    found = [known[s] if s in known else long[s] for s in segments]
+                else:
+                    found = [known[s] for s in segments]
                 yield found if found and None not in found else None
 
     def _made(self, segments: list[str]) -> Iterator[tuple[str, Part]]:
@@ -313,14 +331,14 @@ def _aligner(params: AlignParams) -> Aligner:
     return Aligner(params)
 
 
-def linked_pairs(parts: list[Part]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct linked pairs of a text, and how often each is linked."""
-    codes, times = np.unique(np.frombuffer(b"".join([p.codes for p in parts]), np.int64), return_counts=True)
-    wide = [p.wide for p in parts if p.wide is not None]
-    if wide:
-        codes, place = np.unique(np.concatenate([codes, *[w[0] for w in wide]]), return_inverse=True)
-        times = np.bincount(place, np.concatenate([times, *[w[1] for w in wide]])).astype(np.int64)
-    return codes, times
+def linked_pairs(codes: Iterable[bytes], wide: Iterable[tuple | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct linked pairs of a text's parts, and how often each is linked."""
+    pairs, times = np.unique(np.frombuffer(b"".join(codes), np.int64), return_counts=True)
+    apart = [w for w in wide if w is not None]
+    if apart:
+        pairs, place = np.unique(np.concatenate([pairs, *[w[0] for w in apart]]), return_inverse=True)
+        times = np.bincount(place, np.concatenate([times, *[w[1] for w in apart]])).astype(np.int64)
+    return pairs, times
 
 
 def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -358,12 +376,17 @@ def _mapped(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(params)
-        for batch in batches:
-            start = 0
-            for some in _bounded(batch.column(len(keep)).to_pylist()):
-                cut = [batch.column(i).slice(start, len(some)) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*cut, *columns(aligner, some)], names=[*keep, *names])
-                start += len(some)
+        # The segments kept are many objects without cycles, which the collector would visit again and again.
+        gc.disable()
+        try:
+            for batch in batches:
+                start = 0
+                for some in _bounded(batch.column(len(keep)).to_pylist()):
+                    cut = [batch.column(i).slice(start, len(some)) for i in range(len(keep))]
+                    yield pa.RecordBatch.from_arrays([*cut, *columns(aligner, some)], names=[*keep, *names])
+                    start += len(some)
+        finally:
+            gc.enable()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields)
     return rows.mapInArrow(run, f"{fields}, {schema}")
@@ -394,9 +417,10 @@ def linked_documents(docs: DataFrame, params: AlignParams) -> Linked:
             if parts is None:
                 counts.append((0, 0, 0, 0)), hashes.append(""), codes.append(_NONE), times.append(_NONE)
                 continue
-            counts.append(unpacked(sum([p.counts for p in parts])))
-            hashes.append(hashlib.sha256(b";".join([p.groups for p in parts])).hexdigest())
-            pairs, each = linked_pairs(parts)
+            sums, groups, raw, wide = zip(*parts, strict=True)
+            counts.append(unpacked(sum(sums)))
+            hashes.append(hashlib.sha256(b";".join(groups)).hexdigest())
+            pairs, each = linked_pairs(raw, wide)
             codes.append(pairs), times.append(each)
         numbers = [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
         element = pa.int32() if narrow else pa.int64()
