@@ -52,3 +52,20 @@ def test_stages_take_odd_documents(spark, odd):
         out = stage(spark, docs, SF_DIR)
         assert stage(spark, docs.limit(0), SF_DIR).count() == 0
         assert out.count() > 0
+
+
+def test_all_stages_over_odd_documents(spark, odd):
+    """Nulls, empty, long and repeated texts and clashing names through the whole pipeline, the first stage included."""
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    given = spark.read.parquet(f"{SF_DIR}/documents.parquet").select(*names).limit(60)
+    docs = odd.select(*names, "kept", "spans", "size").unionByName(given, allowMissingColumns=True)
+    short = F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+")) < 50
+    expected = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF_DIR).count() == 0
+        docs = store(stage(spark, docs, SF_DIR))
+        if name != "packing":
+            assert docs.columns == expected and docs.where(short).count() == 0
+        # One word four thousand times over is no document, and nothing but the given ones is left.
+        assert docs.where("doc_id IS NULL OR doc_id = 10 AND lang = 'la'" if name != "packing" else "doc_id IS NULL").isEmpty()
+        assert docs.count() > 0
