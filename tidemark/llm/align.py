@@ -50,7 +50,6 @@ BATCH_CHARS = 1 << 20
 WIDE = 1 << 12
 # Segments of at most so many characters are remembered, about as many of them as said.
 SHORT, KNOWN = 48, 250_000
-_VISIBLE = re.compile("[!-~]")
 _SEGMENT = re.compile(r"(?<=[!-~])(?= [\s\S])")
 # Pairs with more than this share of all are joined by broadcast; there are at most a million.
 HOT_SHARE = 1e-6
@@ -180,7 +179,7 @@ class Aligner:
         """
         found = self._whole("".join(fulls))
         if found is not None:
-            stops = np.cumsum([len(f.encode()) for f in fulls])
+            stops = np.cumsum(_byte_lengths(fulls))
             at = np.minimum(np.searchsorted(found.cuts, stops), len(found.cuts) - 1)
             if (found.cuts[at] == stops).all():
                 return list(range(len(fulls))), found
@@ -241,14 +240,22 @@ class Aligner:
             if len(self._known) > KNOWN:
                 self._known, self._older = {}, self._known
             known, older = self._known, self._older
-            met = {s for segments in cut for s in segments}
-            new = dict.fromkeys(met.difference(known, older))
-            known.update((s, older[s]) for s in met.difference(known, new))
+            new = {}
+            for s in set().union(*cut).difference(known):
+                if s in older:
+                    known[s] = older[s]
+                else:
+                    new[s] = None
             # The last segment of a text may end in any way; such are encoded alone.
-            inner = [s for s in new if _VISIBLE.match(s, len(s) - 1)]
-            alone = [[s] for s in new if not _VISIBLE.match(s, len(s) - 1)]
-            for ascii_ in (True, False):
-                alone.extend(_bounded([s for s in inner if s.isascii() is ascii_]))
+            alone, plain, others = [], [], []
+            for s in new:
+                if not "!" <= s[-1] <= "~":
+                    alone.append([s])
+                elif s.isascii():
+                    plain.append(s)
+                else:
+                    others.append(s)
+            alone.extend([*_bounded(plain), *_bounded(others)])
             for batch in alone:
                 new.update(self._made(batch))
             long = {s: new[s] for s in new if len(s) > SHORT}
@@ -266,7 +273,7 @@ class Aligner:
         if not kept:
             return
         n, m = len(kept), len(found.cuts)
-        stops = np.cumsum([len(segments[i].encode()) for i in kept])
+        stops = np.cumsum(_byte_lengths([segments[i] for i in kept]))
         a_group, b_group = found.groups()
         of_group = np.searchsorted(stops, found.cuts)
         a_count, b_count = np.bincount(a_group, minlength=m), np.bincount(b_group, minlength=m)
@@ -314,6 +321,10 @@ class Aligner:
         return {j: tuple(np.concatenate(c) for c in zip(*pairs, strict=True)) for j, pairs in out.items()}
 
 
+def _byte_lengths(texts: list[str]) -> list[int]:
+    return [len(t) if t.isascii() else len(t.encode()) for t in texts]
+
+
 def _bounded(texts: list[str]) -> Iterator[list[str]]:
     """Consecutive texts of about ``BATCH_CHARS`` characters together, at least one at a time."""
     start = 0
