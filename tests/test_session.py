@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 import types
 
 import pytest
@@ -37,6 +40,66 @@ def test_a_cluster_with_a_folder_of_one_machine_is_refused(path):
     assert shared_dir(Fake("yarn", **default)) == "/shared"
 
 
+class Cluster:
+    """A real session that says it is a cluster's, with a folder that has no scheme of its own."""
+
+    def __init__(self, spark, folder, lost=0):
+        self.read, self._jvm, self.tried, self._spark, self._lost = spark.read, spark._jvm, 0, spark, lost
+        settings = {"spark.checkpoint.dir": folder}
+        self.conf = types.SimpleNamespace(get=lambda key, default=None: settings.get(key, default))
+        self.sparkContext = types.SimpleNamespace(
+            master="spark://h:7077", applicationId="app", defaultParallelism=2, _jsc=spark.sparkContext._jsc
+        )
+
+    def range(self, start, end, step, partitions):
+        self.tried += 1
+        return self._spark.range(start, end - self._lost, step, partitions)
+
+
+def test_a_mount_is_known_by_trying_it(spark, tmp_path):
+    folder = str(tmp_path / "mount")
+    cluster = Cluster(spark, folder)
+    assert shared_dir(cluster) == shared_dir(cluster) == folder
+    assert cluster.tried == 1
+    # More machines: they may lack the mount.
+    cluster.sparkContext.defaultParallelism = 4
+    assert shared_dir(cluster) == folder
+    assert cluster.tried == 2
+    assert os.listdir(f"{folder}/tidemark-scratch") == []
+
+
+def test_a_folder_in_which_rows_get_lost_is_refused(spark, tmp_path):
+    folder = str(tmp_path / "own")
+    for _ in range(2):
+        with pytest.raises(RuntimeError, match="one machine.*4 rows were written there and 3 found"):
+            shared_dir(Cluster(spark, folder, lost=1))
+
+
+def test_queries_on_a_cluster_with_a_mounted_folder(tmp_path):
+    """Executors of their own, and a session that does not call itself local."""
+    names = ["scan_csv", "label_encode", "split_shape", "stream_bronze"]
+    code = f"""
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+conf = {{
+    "spark.master": "local-cluster[2,1,1024]", "spark.executor.memory": "900m", "spark.ui.enabled": "false",
+    "spark.checkpoint.dir": {str(tmp_path / "mount")!r}, "spark.sql.shuffle.partitions": "4",
+}}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+spark.sparkContext.master = "spark://h:7077"
+for name in {names}:
+    print(name, entry.queries()[name](spark, "/root/testdata/sf0.001").count(), flush=True)
+spark.stop()
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = os.environ | {"PYTHONPATH": root}
+    command = [sys.executable, "-c", code]
+    done = subprocess.run(command, cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert [line.split()[0] for line in done.stdout.splitlines()] == names
+    assert all(int(line.split()[1]) > 0 for line in done.stdout.splitlines())
+
+
 def test_a_jobs_scratch_goes_with_it(spark):
     with run_scratch(spark):
         path = scratch_path(spark, "x")
