@@ -19,6 +19,7 @@ label_encode
 label_encode_nulls
 log_run
 model_report
+label_encode_shuffled
 """.split()
 
 _RUN = """
