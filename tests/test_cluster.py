@@ -35,6 +35,7 @@ scored_rows
 split_shape
 select_features
 stratified_split
+stream_available_now
 """.split()
 
 _RUN = """
