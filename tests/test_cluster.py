@@ -7,7 +7,9 @@ import json
 import os
 import subprocess
 import sys
+from pathlib import Path
 
+import pyspark
 import pytest
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -68,7 +70,14 @@ def found(tmp_path_factory):
     """What differs from the SQL's rows, by query."""
     folder = tmp_path_factory.mktemp("cluster")
     tests = os.path.dirname(os.path.abspath(__file__))
-    env = os.environ | {"PYTHONPATH": f"{os.path.dirname(tests)}{os.pathsep}{tests}"}
+    # The executors' logs go to work in Spark's home.
+    home = folder / "spark"
+    home.mkdir()
+    for part in Path(pyspark.__file__).parent.iterdir():
+        if part.name != "work":
+            (home / part.name).symlink_to(part)
+    env = os.environ | {"PYTHONPATH": f"{os.path.dirname(tests)}{os.pathsep}{tests}", "SPARK_HOME": str(home)}
+    env |= {"SPARK_SCALA_VERSION": "2.13"}
     command = [sys.executable, "-c", _RUN, str(folder / "mount"), SF_DIR, *NAMES]
     done = subprocess.run(command, cwd=folder, env=env, capture_output=True, text=True, timeout=1800)
     assert done.returncode == 0, done.stderr[-2000:]
