@@ -100,6 +100,34 @@ spark.stop()
     assert all(int(line.split()[1]) > 0 for line in done.stdout.splitlines())
 
 
+@pytest.mark.parametrize("taken", ["tidemark-scratch", None])
+def test_scratch_tables_go_where_they_can_be_written(spark, tmp_path, taken):
+    """A file stands for another user's folder: the tests may run as a user who can write anywhere."""
+    if taken:
+        (tmp_path / taken).write_text("")
+    cluster = Cluster(spark, str(tmp_path))
+    cluster.sparkContext.applicationId = f"app-{taken}"
+    path = scratch_path(cluster, "x")
+    own = "tidemark-scratch" if taken is None else f"tidemark-scratch-app-{taken}"
+    assert os.path.dirname(path) == f"{tmp_path}/{own}"
+    assert cluster.tried == 1
+    with run_scratch(cluster):
+        inside = scratch_path(cluster, "x")
+        spark.range(3).write.parquet(inside)
+        assert spark.read.parquet(inside).count() == 3
+    assert os.listdir(tmp_path / own) == []
+
+
+def test_a_folder_set_on_the_context_is_used(spark, tmp_path):
+    cluster = Cluster(spark, None)
+    cluster.sparkContext.applicationId = "app-context"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(cluster)
+    cluster.sparkContext.getCheckpointDir = lambda: f"file:{tmp_path}/set"
+    assert shared_dir(cluster) == f"file:{tmp_path}/set"
+    assert scratch_path(cluster, "x").startswith(f"file:{tmp_path}/set/tidemark-scratch/x-")
+
+
 def test_a_jobs_scratch_goes_with_it(spark):
     with run_scratch(spark):
         path = scratch_path(spark, "x")
