@@ -17,6 +17,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables a
 NAMES = """
 label_encode
 label_encode_nulls
+log_run
 """.split()
 
 _RUN = """
