@@ -18,6 +18,7 @@ NAMES = """
 label_encode
 label_encode_nulls
 log_run
+model_report
 """.split()
 
 _RUN = """
