@@ -20,6 +20,7 @@ label_encode_nulls
 log_run
 model_report
 label_encode_shuffled
+predict
 """.split()
 
 _RUN = """
