@@ -21,6 +21,7 @@ log_run
 model_report
 label_encode_shuffled
 predict
+run_batch
 """.split()
 
 _RUN = """
