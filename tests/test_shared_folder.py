@@ -22,6 +22,7 @@ model_report
 label_encode_shuffled
 predict
 run_batch
+predict_proba
 """.split()
 
 _RUN = """
