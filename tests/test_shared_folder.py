@@ -23,6 +23,7 @@ label_encode_shuffled
 predict
 run_batch
 predict_proba
+run_stream
 """.split()
 
 _RUN = """
