@@ -24,6 +24,7 @@ predict
 run_batch
 predict_proba
 run_stream
+save_model
 """.split()
 
 _RUN = """
