@@ -25,6 +25,7 @@ run_batch
 predict_proba
 run_stream
 save_model
+scan_csv
 """.split()
 
 _RUN = """
