@@ -26,6 +26,7 @@ predict_proba
 run_stream
 save_model
 scan_csv
+run_stream_batches
 """.split()
 
 _RUN = """
