@@ -27,6 +27,7 @@ run_stream
 save_model
 scan_csv
 run_stream_batches
+scan_csv_inferred
 """.split()
 
 _RUN = """
