@@ -28,6 +28,7 @@ save_model
 scan_csv
 run_stream_batches
 scan_csv_inferred
+scan_stream
 """.split()
 
 _RUN = """
