@@ -29,6 +29,7 @@ scan_csv
 run_stream_batches
 scan_csv_inferred
 scan_stream
+scan_table
 """.split()
 
 _RUN = """
