@@ -30,6 +30,7 @@ run_stream_batches
 scan_csv_inferred
 scan_stream
 scan_table
+scan_csv_raw
 """.split()
 
 _RUN = """
