@@ -31,6 +31,7 @@ scan_csv_inferred
 scan_stream
 scan_table
 scan_csv_raw
+scored_rows
 """.split()
 
 _RUN = """
