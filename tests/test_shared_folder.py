@@ -32,6 +32,7 @@ scan_stream
 scan_table
 scan_csv_raw
 scored_rows
+split_shape
 """.split()
 
 _RUN = """
