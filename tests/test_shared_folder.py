@@ -33,6 +33,7 @@ scan_table
 scan_csv_raw
 scored_rows
 split_shape
+select_features
 """.split()
 
 _RUN = """
