@@ -34,6 +34,7 @@ scan_csv_raw
 scored_rows
 split_shape
 select_features
+stratified_split
 """.split()
 
 _RUN = """
