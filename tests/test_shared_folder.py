@@ -36,6 +36,7 @@ split_shape
 select_features
 stratified_split
 stream_available_now
+stream_bronze
 """.split()
 
 _RUN = """
