@@ -1,0 +1,187 @@
+"""Boosted trees over cells: cuts, trees and the work the rounds take."""
+
+import math
+import pickle
+import random
+import subprocess
+import sys
+import uuid
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark import cloudpickle
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from tidemark.config import ModelParams
+from tidemark.operators import boosting as b
+from tidemark.operators import model as m
+from tidemark.operators.sizing import store
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def jobs_of(spark, run) -> int:
+    """Spark jobs that a call starts."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    drawn = [F.pmod(F.xxhash64("id", F.lit(i)), F.lit(n)).cast("double").alias(f"x{i}") for i, n in enumerate((2, 7, 31))]
+    chance = F.pmod(F.xxhash64("id", F.lit("y")), F.lit(100)).alias("chance")
+    table = spark.range(4_000).select(F.col("id").cast("string").alias("customer_id"), *drawn, chance)
+    chance = F.col("chance")
+    churn = (chance < 20 + 30 * F.col("x0") + 10 * F.abs(F.col("x1") - 3) - F.col("x2")).cast("int")
+    return store(table.withColumn("churn", churn).drop("chance"))
+
+
+FEATURES = ["x0", "x1", "x2"]
+
+
+def trees_text(model) -> str:
+    return model.stages[-1].toDebugString.split("\n", 1)[1]
+
+
+def test_train_gbt_takes_no_job_per_level(spark):
+    """A hundred rounds of four levels; every job over the rows would read all of them again."""
+    assert jobs_of(spark, lambda: entry.queries()["train_gbt"](spark, SF_DIR).collect()) < 250
+
+
+def test_rounds_add_no_jobs(spark, rows):
+    few, many = [
+        jobs_of(spark, lambda: m.train_gbt(rows, rows, ModelParams(rounds=n), FEATURES)) for n in (2, 40)
+    ]
+    assert few == many < 40
+
+
+def test_same_trees_as_spark(spark, rows):
+    """With as many bins as values, Spark's learner on the rows finds these trees."""
+    params = ModelParams(rounds=12, learning_rate=0.3, depth=3)
+    mine = m.train_gbt(rows, rows, params, FEATURES)
+    settings = {"maxIter": 12, "stepSize": 0.3, "maxDepth": 3, "seed": 42, "labelCol": "churn"}
+    theirs = Pipeline(stages=[*m.feature_stages(FEATURES), GBTClassifier(**settings)]).fit(rows)
+    scores = [
+        sorted(map(tuple, m.predict(model, rows).select("customer_id", "churn_probability", "prediction").collect()))
+        for model in (mine, theirs)
+    ]
+    for one, other in zip(*scores, strict=True):
+        assert one[0] == other[0] and one[1] == pytest.approx(other[1], abs=1e-9)
+    importances = [model.stages[-1].featureImportances.toArray() for model in (mine, theirs)]
+    assert importances[0] == pytest.approx(importances[1], abs=1e-6)
+
+
+def test_jobs_over_many_tasks_give_the_trees_of_one(spark, rows, monkeypatch):
+    params = ModelParams(rounds=13, learning_rate=0.3, depth=3)
+    one = trees_text(m.train_gbt(rows, rows, params, FEATURES))
+    monkeypatch.setattr(m, "ROWS_PER_TASK", 100)
+    assert trees_text(m.train_gbt(rows, rows.repartition(5), params, FEATURES)) == one
+
+
+def test_no_level_and_deep_trees(spark, rows, monkeypatch):
+    flat = m.predict(m.train_gbt(rows, rows, ModelParams(rounds=1, depth=0), FEATURES), rows)
+    f = rows.agg(F.avg(2 * F.col("churn") - 1)).first()[0]
+    assert [r[0] for r in flat.select("churn_probability").distinct().collect()] == [
+        pytest.approx(1 / (1 + math.exp(-2 * f)), abs=1e-12)
+    ]
+    monkeypatch.setattr(m, "DEEPEST", 2)
+    deep = m.train_gbt(rows, rows, ModelParams(rounds=2, depth=3), FEATURES)
+    assert max(tree.depth for tree in deep.stages[-1].trees) == 3
+
+
+@pytest.mark.parametrize("label, told", [(2, "2"), (None, "null")])
+def test_other_labels_are_refused(spark, rows, label, told):
+    odd = rows.withColumn("churn", F.when(F.col("customer_id") == "7", F.lit(label).cast("int")).otherwise(F.col("churn")))
+    with pytest.raises(Exception, match=f"churn must be 0 or 1, not {told}"):
+        m.train_gbt(odd, odd, ModelParams(rounds=1), FEATURES)
+
+
+def test_no_rows(spark, rows):
+    with pytest.raises(ValueError, match="no rows"):
+        m.train_gbt(rows, rows.limit(0), ModelParams(rounds=1), FEATURES)
+
+
+def odd_values():
+    rng = random.Random(3)
+    inf = math.inf
+    yield "two rare neighbours", [5.0] * 900 + [1e6, math.nextafter(1e6, 2e6)]
+    yield "both zeros", [0.0, -0.0] * 20 + [5e-324, -5e-324]
+    yield "infinities", [inf, -inf, 1.7e308, -1.7e308, 1.5e308, 0.0] * 3
+    yield "far from zero", [1e9 + i % 1000 for i in range(3000)]
+    yield "one value", [3.5] * 50
+    yield "skewed", [rng.lognormvariate(0, 8) for _ in range(3000)]
+    yield "one in two", [7.0 if i % 2 else rng.uniform(-1, 1) for i in range(3000)]
+    yield "codes", [float(i) for i in range(2000)]
+
+
+@pytest.mark.parametrize("values", [pytest.param(v, id=name) for name, v in odd_values()])
+def test_cuts(spark, values):
+    frame = spark.createDataFrame([([v],) for v in values], "x array<double>").repartition(3)
+    (ranges,) = m.value_ranges(frame, 32)
+    x, (n, low, high) = np.array(values), ranges.T
+    assert n.sum() == len(values)
+    assert (low[1:] > high[:-1]).all()
+    assert ((low == high) | (n * 256 <= n.sum())).all()
+    cuts = b.cuts_of(ranges, 32)
+    assert len(cuts) < 32 and (np.diff(cuts) > 0).all()
+    found = np.unique(x)
+    bins = np.searchsorted(cuts, x)
+    if len(found) <= 32:
+        assert (np.searchsorted(cuts, found) == np.arange(len(found))).all()
+    else:
+        # A bin of several values holds about its share of the rows.
+        for k in np.unique(bins):
+            assert len(np.unique(x[bins == k])) == 1 or (bins == k).sum() <= len(x) / 32 * 1.3 + 1
+
+
+def test_more_bins_than_a_word_holds(spark):
+    """Twenty features of 32 bins need two words."""
+    names = [f"x{i}" for i in range(20)]
+    table = spark.range(3_000).select(
+        F.col("id").cast("string").alias("customer_id"),
+        *[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(997)).cast("double").alias(x) for i, x in enumerate(names)],
+    )
+    table = store(table.withColumn("churn", (F.col("x3") + F.col("x19") > 900).cast("int")))
+    model = m.train_gbt(table, table, ModelParams(rounds=3, depth=3), names)
+    used = {i for i, v in enumerate(model.stages[-1].featureImportances.toArray()) if v > 0.01}
+    assert used == {3, 19}
+    right = m.predict(model, table).where("prediction = churn").count()
+    assert right > 2_700
+
+
+def test_bins_are_those_of_the_models_thresholds(spark, rows):
+    """What a tree says of a row is the mean of the rows it was fitted to in that leaf."""
+    model = m.train_gbt(rows, rows, ModelParams(rounds=1, depth=3), FEATURES)
+    tree = model.stages[-1].trees[0]
+    scored = tree.transform(Pipeline(stages=m.feature_stages(FEATURES)).fit(rows).transform(rows))
+    leaves = scored.groupBy("prediction").agg(F.avg(2 * F.col("churn") - 1).alias("mean")).collect()
+    assert len(leaves) > 4 and all(r.prediction == pytest.approx(r["mean"], abs=1e-12) for r in leaves)
+
+
+def test_the_learner_travels_by_value(tmp_path):
+    """Workers need not be able to import this package."""
+    layout = b.Layout.of([np.array([0.5])])
+    fit = b.whole_fit(b.Rounds.over(layout, 10, 2, 0.1, 1))
+    (tmp_path / "fit").write_bytes(cloudpickle.dumps(fit))
+    cells = {"w0": [0, 1], "positives": [1, 4], "negatives": [4, 1], "score": [0.0, 0.0]}
+    batch = pa.RecordBatch.from_pydict(cells)
+    here = [r.to_pydict() for r in fit([batch])]
+    code = (
+        "import pickle, sys, pyarrow as pa; fit = pickle.load(open(sys.argv[1], 'rb')); "
+        f"print([r.to_pydict() for r in fit([pa.RecordBatch.from_pydict({cells})])]); "
+        "assert not any(m.startswith('tidemark') for m in sys.modules)"
+    )
+    command = [sys.executable, "-c", code, str(tmp_path / "fit")]
+    done = subprocess.run(command, cwd=tmp_path, env={"PATH": "/usr/bin"}, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+    assert done.stdout.strip() == str(here)
+    assert pickle.loads(cloudpickle.dumps(layout)).bins == 2
