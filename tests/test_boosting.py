@@ -57,6 +57,10 @@ def test_train_gbt_takes_no_job_per_level(spark):
     assert jobs_of(spark, lambda: entry.queries()["train_gbt"](spark, SF_DIR).collect()) < 250
 
 
+def test_run_batch_takes_no_job_per_level(spark):
+    assert jobs_of(spark, lambda: entry.queries()["run_batch"](spark, SF_DIR).collect()) < 250
+
+
 def test_rounds_add_no_jobs(spark, rows):
     few, many = [
         jobs_of(spark, lambda: m.train_gbt(rows, rows, ModelParams(rounds=n), FEATURES)) for n in (2, 40)
