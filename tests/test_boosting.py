@@ -61,6 +61,19 @@ def test_run_batch_takes_no_job_per_level(spark):
     assert jobs_of(spark, lambda: entry.queries()["run_batch"](spark, SF_DIR).collect()) < 250
 
 
+def test_model_report_takes_no_job_per_level(spark):
+    assert jobs_of(spark, lambda: entry.queries()["model_report"](spark, SF_DIR).collect()) < 250
+
+
+def test_flags_leave_few_cells(spark, rows):
+    """The rounds see one row for each combination, however many rows there are."""
+    counted = store(rows.select(F.array("x0", (F.col("x1") > 3).cast("double")).alias("x"), F.col("churn").alias("y")))
+    cuts = [b.cuts_of(r, 32) for r in m.value_ranges(counted, 32)]
+    cells = m.cells_of(counted, cuts, b.Layout.of(cuts))
+    assert cells.count() == 4
+    assert cells.agg(F.sum(F.col("positives") + F.col("negatives"))).first()[0] == 4_000
+
+
 def test_rounds_add_no_jobs(spark, rows):
     few, many = [
         jobs_of(spark, lambda: m.train_gbt(rows, rows, ModelParams(rounds=n), FEATURES)) for n in (2, 40)
