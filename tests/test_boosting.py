@@ -100,6 +100,7 @@ def test_same_trees_as_spark(spark, rows):
 def test_jobs_over_many_tasks_give_the_trees_of_one(spark, rows, monkeypatch):
     params = ModelParams(rounds=13, learning_rate=0.3, depth=3)
     one = trees_text(m.train_gbt(rows, rows, params, FEATURES))
+    monkeypatch.setattr(m, "WHOLE_CELLS", 300)
     monkeypatch.setattr(m, "ROWS_PER_TASK", 100)
     assert trees_text(m.train_gbt(rows, rows.repartition(5), params, FEATURES)) == one
 
